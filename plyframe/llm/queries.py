@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, preference, topk, urlfilter
+from . import ann, bpe, mixing, ngram_join, preference, quality, topk, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 URL_GLOBS = ("*/**/login**", "*/**/cart**", "**.exe", "**.zip")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_ngrams, log_weight, key, kept) of every document."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op2_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [urlfilter.Rule.prefix(*r) for r in URL_RULES]
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules, "allow", [urlfilter.Rule(g, "block") for g in URL_GLOBS])
@@ -38,6 +43,11 @@ FROM s LEFT JOIN m USING (page_id)
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_join.join(table(spark, sf_dir, "documents"), n=3, percent=90)
+    return members.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+
+
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen and rejected: the conversations 2k and 2k + 1.  Masks are written as `begin-end` joined by commas."""
     turns = table(spark, sf_dir, "conversations")
@@ -70,14 +80,18 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN), RANKS, PATTERN)
     return rows.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -121,7 +135,11 @@ FROM c
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_url_globs, op4_preference_pairs, op5_exact_top_k, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix)}
+    listed = (
+        op1_importance_resampling, op2_url_globs, op3_ngram_jaccard, op4_preference_pairs, op5_exact_top_k,
+        op6_toxicity, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix,
+    )
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
