@@ -51,30 +51,38 @@ def encode_text(text: str, enc: tiktoken.Encoding, chunk: int = CHUNK) -> np.nda
     return ids[0] if len(ids) == 1 else np.concatenate([np.zeros(0, np.uint32), *ids])
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_tokens long, ids array<int>) of every text."""
-
+def _run(rank_file: str, pattern: str, text_col: str, decoded: bool):
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for batch in slices(batches, text_col):
-            ids = [encode_text(text or "", enc).astype(np.int32) for text in batch.column(text_col).to_pylist()]
-            lengths = np.array([len(x) for x in ids], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)], [id_col, "n_tokens", "ids"])
+        for batch in slices(batches, text_col, 4 << 20):
+            lengths, ids, raw = [0], [np.zeros(0, np.int32)], []
+            for text in batch.column(text_col).to_pylist():
+                own = encode_text(text or "", enc)
+                lengths.append(len(own))
+                ids.append(own.astype(np.int32))
+                if decoded:
+                    raw.append(enc.decode_bytes(own.tolist()))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(np.concatenate(ids)))
+            made = [pa.array(lengths[1:], pa.int64()), lists, *([pa.array(raw, pa.binary())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], [batch.schema.names[0], "n_tokens", "ids", *(["decoded"] if decoded else [])])
+
+    return run
+
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>")
+def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id_col, n_tokens long, ids array<int>) of every text; with `decoded` the bytes of the ids too, in the same pass."""
+    shape = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>" + ", decoded binary" * decoded
+    return docs.select(id_col, text_col).mapInArrow(_run(rank_file, pattern, text_col, decoded), shape)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `encode` with `decoded` binary: the raw bytes of the ids."""
+    """(id_col, decoded binary): the raw bytes of a table of ids."""
 
     def run(batches):
         enc = encoding(rank_file, pattern)
         for batch in slices(batches, "ids"):
-            decoded = [enc.decode_bytes(ids or []) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+            raw = [enc.decode_bytes(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(raw, pa.binary())], [id_col, "decoded"])
 
-    rows = encoded.select(id_col, "n_tokens", "ids")
-    return rows.mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded binary")
+    shape = f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, decoded binary"
+    return encoded.select(id_col, "ids").mapInArrow(run, shape)

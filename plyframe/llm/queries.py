@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, ngram_join, preference, quality, topk, toxicity, urlfilter
+from . import ann, bpe, lines, mixing, ngram_join, preference, quality, topk, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +93,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN), RANKS, PATTERN)
+    rows = bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN, decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -134,10 +134,16 @@ FROM c
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text_sha256 of what is left) of every document."""
+    rows = lines.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     listed = (
         op1_importance_resampling, op2_url_globs, op3_ngram_jaccard, op4_preference_pairs, op5_exact_top_k,
-        op6_toxicity, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix,
+        op6_toxicity, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix, op10_line_dedup,
     )
     return {f.__name__: f for f in listed}
 
