@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+MODULES = ("block_queries", "board_queries", "table_queries")
+
+
+def _all():
+    found = {}
+    for name in MODULES:
+        found |= import_module(f".plans.{name}", __package__).QUERIES
+    return found
 
 
 def queries():
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
