@@ -11,11 +11,11 @@ are hashes of (length, segment, substring); equal ones give candidate pairs, whi
 bit-parallel edit distance: one machine word holds the 2 * edits + 1 diagonals, and a batch of pairs runs side by side.
 
 Before entries are shuffled, sketches of fixed size (how many index entries, and how many probes, fall on each of 2^24
-slots) drop entries that nothing can meet; they only save work.
+slots) drop entries that nothing can meet; they only save work.  Equal lines are told by a 64-bit hash.
 
 Defined cases: null texts stay null, empty texts stay empty; rows that repeat both id and text are decided alike, and so
-counted as one; a null id comes first; blanks count as text; lines are ended by a line feed only.  Other columns pass
-through, but for n_chars, which is counted again where lines went.
+counted as one; a null id comes first, and texts of one id in the order of a hash; blanks count as text; lines are ended by
+a line feed only.  Other columns pass through, but for n_chars, which is counted again where lines went.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, small
-from .textbytes import mix, powers
+from .common import BROADCAST_ROWS, durable, slices, small
+from .textbytes import PIECE, mix, powers, utf8
 
-SLOT_BITS, LANES, _ROWS = 24, 64, 1 << 16
+SLOT_BITS, LANES, _ROWS = 24, 8, 1 << 18
+_KEY = "_row_key"
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +48,54 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(0, i - first_long), base + (i >= first_long)
 
 
-def entries(texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index, probe): hashes of shape (lines, edits + 1) and (lines, probes); 0 stands for a probe out of bounds."""
-    data, offsets = code_points(texts)
+def line_spans(column: pa.Array) -> tuple[np.ndarray, ...]:
+    """(data, text, place, begin, end): the bytes of a batch and its lines in order; a null text has no lines."""
+    data, offsets = utf8(column)
+    feed = np.flatnonzero(data == 10)
+    owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, feed, "right") - 1])
+    begin = np.concatenate([offsets[:-1], feed + 1])
+    order = np.lexsort((begin, owner))
+    owner, begin = owner[order], begin[order]
+    last = np.append(owner[1:] != owner[:-1], True) if len(owner) else np.zeros(0, bool)
+    end = np.where(last, offsets[owner + 1], np.append(begin[1:], 0) - 1) if len(owner) else begin
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    if column.null_count:
+        there = column.is_valid().to_numpy(zero_copy_only=False)[owner]
+        owner, place, begin, end = owner[there], place[there], begin[there], end[there]
+    return data, owner, place, begin, end
+
+
+def line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int | None = None):
+    """(h, length, index, probe) of lines: a hash, the code points, and with `edits` the entries.
+
+    index has the shape (lines, edits + 1) and probe (lines, probes); 0 stands for a probe out of bounds.  The lines are
+    worked on in runs of about a megabyte.
+    """
+    n, parts = len(begin), []
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + PIECE, "right")))
+        parts.append(_hash_run(data[begin[at] : end[to - 1]], begin[at:to] - begin[at], end[at:to] - begin[at], edits))
+        at = to
+    if not parts:
+        parts = [_hash_run(data[:0], begin, end, edits)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _hash_run(data: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int | None):
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    begin, length = offsets[:-1], np.diff(offsets)
+    lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where code points begin
+    base = np.searchsorted(lead, begin)
+    length = np.searchsorted(lead, end) - base
+    h = mix((total[end] - total[begin]) * down[begin] + length.astype(np.uint64))
+    if edits is None:
+        return h, length
 
     def hashed(start, size, l, i):
-        a = begin + start
-        h = mix((total[a + size] - total[a]) * down[a])
-        return mix(h + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1))
+        a, b = lead[base + start], lead[base + start + size]
+        return mix(mix((total[b] - total[a]) * down[a]) + l.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1))
 
     index = [hashed(*segment(length, i, edits), length, i) for i in range(edits + 1)]
     probe = []
@@ -70,8 +107,14 @@ def entries(texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
             for off in range(low, high + 1):
                 at = start + off
                 ok = (l > edits) & (at >= 0) & (at + size <= length)
-                probe.append(np.where(ok, hashed(np.where(ok, at, 0), np.where(ok, size, 0), l, i), 0))
-    return np.stack(index, axis=1), np.stack(probe, axis=1)
+                probe.append(np.where(ok, hashed(np.where(ok, at, 0), np.where(ok, size, 0), l, i), np.uint64(0)))
+    return h, length, np.stack(index, axis=1), np.stack(probe, axis=1)
+
+
+def entries(texts: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, probe) of some lines."""
+    data, _, _, begin, end = line_spans(pa.array(texts, pa.string()))
+    return line_hashes(data, begin, end, edits)[2:]
 
 
 def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
@@ -109,29 +152,37 @@ def within(left: list[str], right: list[str], edits: int) -> np.ndarray:
     return (np.abs(m - n) <= edits) & (distance - edits + start <= edits)
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, place, line, h, length): h is a hash of the line."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(F.split(text_col, "\n")).alias("place", "line"))
-    return rows.withColumn("h", F.xxhash64("line")).withColumn("length", F.length("line"))
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with a hash of id and text, which names a row."""
+    return docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
-def with_entries(lines: DataFrame, edits: int, id_type: str) -> DataFrame:
-    """The lines without their text, with `index` and `probe` entries."""
-    names = ["doc_id", "text_hash", "place", "h", "length"]
+def line_entries(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_key, place, h, index, probe) of the lines that count."""
 
     def listed(x: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
 
     def run(batches):
-        for batch in slices(batches, "line", 4 << 20):
-            index, probe = entries(batch.column("line").to_pylist(), edits)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], listed(index), listed(probe)], [*names, "index", "probe"])
+        for batch in slices(batches, text_col, 2 << 20):
+            data, text, place, begin, end = line_spans(batch.column(text_col))
+            long = end - begin >= shortest  # a line has no more code points than bytes
+            text, place = text[long], place[long]
+            h, length, index, probe = line_hashes(data, begin[long], end[long], edits)
+            counts = length >= shortest
+            text = pa.array(text[counts])
+            made = [pa.array(place[counts].astype(np.int32)), pa.array(h[counts].view(np.int64)), listed(index[counts]), listed(probe[counts])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), *made], ["doc_id", "row_key", "place", "h", "index", "probe"])
 
-    return lines.select(*names, "line").mapInArrow(run, f"doc_id {id_type}, text_hash long, place int, h long, length int, index array<long>, probe array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).mapInArrow(run, f"doc_id {kind}, row_key long, place int, h long, index array<long>, probe array<long>")
 
 
 def slot_sketch(distinct: DataFrame) -> np.ndarray:
-    """(2, slots) uint8: index entries and probes on each slot, at most 255."""
+    """(2, slots) uint8: index entries and probes on each slot, at most 255.
+
+    A task sends a block of slots as it is or, if few were touched, as (slot, count) pairs.
+    """
 
     def run(batches):
         total = np.zeros((2, 1 << SLOT_BITS), np.uint8)
@@ -141,14 +192,21 @@ def slot_sketch(distinct: DataFrame) -> np.ndarray:
                 at, count = np.unique(flat[flat != 0] >> np.uint64(64 - SLOT_BITS), return_counts=True)
                 at = at.astype(np.int64)
                 total[kind, at] = np.minimum(total[kind, at].astype(np.int64) + count, 255)
-        blocks = total.reshape(-1, _ROWS)
+        blocks, out = total.reshape(-1, _ROWS), []
+        for block in blocks:
+            at = np.flatnonzero(block)
+            out.append(block.tobytes() if 5 * len(at) >= _ROWS else at.astype(np.uint32).tobytes() + block[at].tobytes())
         lane = np.full(len(blocks), TaskContext.get().partitionId() % LANES, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(lane), pa.array([x.tobytes() for x in blocks], pa.binary())], ["rows", "lane", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(lane), pa.array(out, pa.binary())], ["rows", "lane", "counts"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(_ROWS, np.int64)
         for x in group["counts"]:
-            total += np.frombuffer(x, np.uint8)
+            if len(x) == _ROWS:
+                total += np.frombuffer(x, np.uint8)
+            else:
+                n = len(x) // 5
+                total[np.frombuffer(x[: 4 * n], np.uint32)] += np.frombuffer(x[4 * n :], np.uint8)
         return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
 
     shape = "rows int, lane int, counts binary"
@@ -159,7 +217,7 @@ def slot_sketch(distinct: DataFrame) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def candidates(distinct: DataFrame, edits: int) -> DataFrame:
+def candidates(distinct: DataFrame) -> DataFrame:
     """(a, b) of different distinct lines that share an entry, a < b."""
     sketch = distinct.sparkSession.sparkContext.broadcast(slot_sketch(distinct))
 
@@ -169,10 +227,9 @@ def candidates(distinct: DataFrame, edits: int) -> DataFrame:
             h = np.asarray(batch.column("h"))
             index, probe = (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(h), -1) for c in ("index", "probe"))
             slot = lambda x: (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            own = (probe[:, :, None] == index[:, None, :]).any(axis=2)  # a line meets its own segments
-            mine = (index[:, :, None] == probe[:, None, :]).any(axis=2)
-            probed = (probe != 0) & (count[0][slot(probe)] > own)
-            indexed = count[1][slot(index)] > mine
+            same = probe[:, :, None] == index[:, None, :]  # a line meets its own segments
+            probed = (probe != 0) & (count[0][slot(probe)] > same.any(axis=2))
+            indexed = count[1][slot(index)] > same.any(axis=1)
             for x, keep, kind in ((probe, probed, True), (index, indexed, False)):
                 line, at = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(x[line, at].view(np.int64)), pa.array(np.full(len(line), kind))], ["h", "entry", "probes"])
@@ -183,45 +240,111 @@ def candidates(distinct: DataFrame, edits: int) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, line) of the lines `wanted` (h, row_key, place), read from the documents that hold them."""
+    by_row = durable(wanted.groupBy(F.col("row_key").alias("w_key")).agg(F.collect_list(F.struct("place", "h")).alias("places")))
+    held = keyed(docs, id_col, text_col).join(small(by_row), F.col(_KEY) == F.col("w_key")).select(text_col, "places")
+
+    def run(batches):
+        for batch in slices(batches, text_col, 2 << 20):
+            found = [(p["h"], parts[p["place"]]) for text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for parts in [text.split("\n")] for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([line for _, line in found], pa.string())], ["h", "line"])
+
+    return held.mapInArrow(run, "h long, line string").dropDuplicates(["h"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs whose lines are within `edits`."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    texts = lines.select("h", "line").join(small(wanted), "h", "left_semi").dropDuplicates(["h"])
 
     def run(batches):
-        for whole in batches:
-            for batch in slices(iter([whole]), "x", 1 << 20):
-                near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+        for batch in slices(batches, "x", 1 << 20):
+            near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the lines that repeat an earlier one taken out of the text, and n_lines, n_dropped (int)."""
-    lines = split_lines(docs, id_col, text_col)
-    long = lines.where(F.col("length") >= max(shortest, edits + 1))
-    first = F.struct("doc_id", "text_hash", "place")
-    found = with_entries(long, edits, docs.schema[id_col].dataType.simpleString())
-    distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("times"), F.first("index").alias("index"), F.first("probe").alias("probe")))
-    near = verified(durable(candidates(distinct, edits)), long, edits)
-    firsts = distinct.select("h", "first", "times")
+def judged_lines(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
+    """(h, f_key, f_place, near) of the distinct lines of which a copy goes: f_* is the first place, near whether that goes too."""
+    first = F.struct("doc_id", "row_key", "place")
+    found = line_entries(docs, edits, shortest, id_col, text_col)
+    # rows that repeat id and text repeat (row_key, place); such lines go nowhere by themselves
+    many = (F.max("row_key") != F.min("row_key")) | (F.max("place") != F.min("place"))
+    distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), many.alias("many"), F.first("index").alias("index"), F.first("probe").alias("probe")))
+    pairs = durable(candidates(distinct))
+    firsts = distinct.select("h", "first", "many")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h").select("h", "first.row_key", "first.place")
+    near = verified(pairs, texts_of(docs, wanted, id_col, text_col), edits)
     both = near.union(near.select("b", "a")).toDF("h", "other").join(firsts.select(F.col("h").alias("other"), F.col("first").alias("earliest")), "other")
     earlier = both.groupBy("h").agg(F.min("earliest").alias("earliest"))
     judged = firsts.join(earlier, "h", "left").withColumn("near", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
-    judged = durable(judged.where(F.col("near") | (F.col("times") > 1)).select("h", F.col("first.doc_id").alias("f_id"), F.col("first.text_hash").alias("f_text"), F.col("first.place").alias("f_place"), "near"))
-    is_first = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_text")) & (F.col("place") == F.col("f_place"))
-    gone = long.select("doc_id", "text_hash", "place", "h").join(small(judged), "h").where(F.col("near") | ~is_first)
-    gone = durable(gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_text")).agg(F.collect_set("place").alias("places")))
-    marked = docs.withColumn("_text_hash", F.xxhash64(text_col)).join(small(gone), F.col(id_col).eqNullSafe(F.col("g_id")) & (F.col("_text_hash") == F.col("g_text")), "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("places"))
-    text = F.when(F.col("places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    out = marked.withColumns({"n_lines": F.coalesce(F.size(parts), F.lit(0)), "n_dropped": F.coalesce(F.size("places"), F.lit(0)), text_col: text})
+    return judged.where(F.col("near") | F.col("many")).select("h", F.col("first.row_key").alias("f_key"), F.col("first.place").alias("f_place"), "near")
+
+
+def _rebuilt(batch: pa.RecordBatch, names: list[str], text_col: str, gone, spans) -> pa.RecordBatch:
+    """The batch's columns `names` without the lines marked in `gone`, and n_lines, n_dropped."""
+    data, text, place, begin, end = spans
+    n = batch.num_rows
+    lines, dropped = np.bincount(text, minlength=n), np.bincount(text[gone], minlength=n)
+    column = batch.column(text_col)
+    if dropped.any():
+        raw, texts = data.tobytes(), column.to_pylist()
+        first = np.searchsorted(text, np.arange(n + 1))
+        for i in np.flatnonzero(dropped):
+            own = range(first[i], first[i + 1])
+            texts[i] = b"\n".join(raw[begin[k] : end[k]] for k in own if not gone[k]).decode()
+        column = pa.array(texts, pa.string())
+    made = {"n_lines": pa.array(lines.astype(np.int32)), "n_dropped": pa.array(dropped.astype(np.int32)), text_col: column}
+    return pa.RecordBatch.from_arrays([made.get(c, batch.column(c) if c in batch.schema.names else None) for c in names], names)
+
+
+def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with the lines that repeat an earlier one taken out of the text, and n_lines, n_dropped (int)."""
+    shortest = max(shortest, edits + 1)
+    judged = durable(judged_lines(docs, edits, shortest, id_col, text_col))
+    names = [*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"]
+    own = [c for c in names[:-2] if c != text_col]
+    shape = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-2]], "n_lines int, n_dropped int"])
+    rows = keyed(docs, id_col, text_col)
+    if judged.count() <= BROADCAST_ROWS:
+        table = judged.toPandas().sort_values("h")
+        known = docs.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("h", "f_key", "f_place", "near")))
+
+        def run(batches):
+            keys, f_key, f_place, near = known.value
+            for batch in slices(batches, text_col, 2 << 20):
+                spans = line_spans(batch.column(text_col))
+                data, text, place, begin, end = spans
+                gone, long = np.zeros(len(text), bool), np.flatnonzero(end - begin >= shortest)
+                h, length = line_hashes(data, begin[long], end[long])
+                h = h.view(np.int64)
+                at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                if len(keys):
+                    key = np.asarray(batch.column(_KEY))[text[long]]
+                    is_first = (key == f_key[at]) & (place[long] == f_place[at])
+                    gone[long] = (length >= shortest) & (keys[at] == h) & (near[at] | ~is_first)
+                yield _rebuilt(batch, names, text_col, gone, spans)
+
+        out = rows.select(*own, text_col, _KEY).mapInArrow(run, shape)
+    else:
+        lines = line_entries(docs, edits, shortest, id_col, text_col).select("row_key", "place", "h").join(judged, "h")
+        is_first = (F.col("row_key") == F.col("f_key")) & (F.col("place") == F.col("f_place"))
+        gone_places = lines.where(F.col("near") | ~is_first).groupBy(F.col("row_key").alias("g_key")).agg(F.collect_set("place").alias("_gone"))
+
+        def run(batches):
+            for batch in slices(batches, text_col, 2 << 20):
+                spans = line_spans(batch.column(text_col))
+                gone, first = np.zeros(len(spans[1]), bool), np.searchsorted(spans[1], np.arange(batch.num_rows))
+                for i, places in enumerate(batch.column("_gone").to_pylist()):
+                    if places:
+                        gone[first[i] + np.array(places)] = True
+                yield _rebuilt(batch, names, text_col, gone, spans)
+
+        out = rows.join(gone_places, F.col(_KEY) == F.col("g_key"), "left").select(*own, text_col, "_gone").mapInArrow(run, shape)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *[c for c in ("n_lines", "n_dropped") if c not in docs.columns])
+    return out
 
 
 def keep(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,7 +113,9 @@ def deduped(rows, edits, shortest):
     return out
 
 
-def test_line_dedup_equals_brute_force(make, odd_rows):
+@pytest.mark.parametrize("limit", [lines.BROADCAST_ROWS, -1])
+def test_line_dedup_equals_brute_force(make, odd_rows, limit, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", limit)  # with and without a broadcast of the repeated lines
     rnd = random.Random(4)
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(8, 40))) for _ in range(12)]
     rows = [r for r in odd_rows if r[0] != 4]
