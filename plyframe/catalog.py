@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("block_queries", "board_queries", "table_queries")
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans.flow import book_report
 
-def _all():
+MODULES = ("flow", "block_queries", "board_queries", "table_queries", "reader_queries")
+FLAGSHIP = book_report
+
+
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found = {}
     for name in MODULES:
         found |= import_module(f".plans.{name}", __package__).QUERIES
     return found
 
 
-def queries():
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, (query, _) in _all().items()}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _all().items() if sql}
