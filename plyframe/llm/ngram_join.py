@@ -126,9 +126,9 @@ def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, i
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, node long, n long, tokens array<long>")
 
 
-def rows_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, row binary): the whole sets of the nodes `wanted`, computed again from one document of each."""
-    chosen = durable(members.join(wanted.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("own_id")))
+def rows_of(docs: DataFrame, owners: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, row binary): the whole sets of the nodes `wanted`, computed again from one document (least) of each."""
+    chosen = durable(owners.join(wanted.distinct(), "node").select("node", F.col("least").alias("own_id")))
     ids = chosen.select("own_id").distinct()
     texts = docs.select(F.col(id_col), text_col).join(small(ids), F.col(id_col).eqNullSafe(F.col("own_id"))).select(text_col)
 
@@ -166,7 +166,7 @@ def cluster(percent: int):
     return run
 
 
-def heavy_links(docs: DataFrame, members: DataFrame, columns: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
+def heavy_links(docs: DataFrame, owners: DataFrame, columns: DataFrame, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
     """True links (u, v) between rows of heavy columns, enough to connect most of each family."""
     heavy = columns.where(F.col("m") >= HEAVY)
     pick = lambda seed: F.min_by(F.struct("h", "total"), F.xxhash64("h", F.lit(seed)))
@@ -174,7 +174,7 @@ def heavy_links(docs: DataFrame, members: DataFrame, columns: DataFrame, n: int,
     picked = picked.select("node", F.posexplode("picks").alias("lane", "p")).select("node", "lane", "p.h", "p.total")
     parts = F.ceil(F.col("total") / BUCKET_NGRAMS)
     picked = durable(picked.withColumn("part", F.pmod(F.xxhash64("node", "lane"), parts)).select("node", "lane", "h", "part"))
-    rows = rows_of(docs, members, picked.select("node"), n, id_col, text_col)
+    rows = rows_of(docs, owners, picked.select("node"), n, id_col, text_col)
     return picked.join(rows, "node").groupBy("lane", "h", "part").applyInPandas(cluster(bounds.percent), "u long, v long")
 
 
@@ -250,22 +250,23 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     bounds = Bounds(percent)
     all_rows = durable(first_columns(docs, frequency_sketch(docs, n, text_col), n, bounds, id_col, text_col))
     members = all_rows.select("doc_id", "node", "n")
+    # one row per node before any join on it: a node of many equal documents is then no hot key
+    owners = durable(members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")))
     nodes = all_rows.where(F.col("node").isNotNull()).select("node", "n", "tokens").dropDuplicates(["node"])
     entries = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "h"))
     shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
     columns = durable(entries.join(shared, "h"))
     links = None
     if columns.where(F.col("m") >= HEAVY).limit(1).count():
-        links = durable(heavy_links(docs, members, columns, n, bounds, id_col, text_col))
+        links = durable(heavy_links(docs, owners, columns, n, bounds, id_col, text_col))
         columns = columns.join(components(links), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     else:
         columns = columns.withColumn("comp", F.col("node"))
     pairs = durable(partial_products(columns, bounds))
-    rows = rows_of(docs, members, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, id_col, text_col)
+    rows = rows_of(docs, owners, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, id_col, text_col)
     found = durable(full_products(pairs, rows, percent))
     links = found if links is None else found.unionByName(links)
-    by_node = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    by_node = by_node.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_node = owners.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
     component = durable(by_node.join(ids, "root").select("node", "component_id"))
     named = members.join(component, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
