@@ -10,8 +10,8 @@ that length: those whose start is off by no more edits than the segments before
 are hashes of (length, segment, substring); equal ones give candidate pairs, which are verified by the banded
 bit-parallel edit distance: one machine word holds the 2 * edits + 1 diagonals, and a batch of pairs runs side by side.
 
-Before entries are shuffled, sketches of fixed size (how many index entries, and how many probes, fall on each of 2^24
-slots) drop entries that nothing can meet; they only save work.  Equal lines are told by a 64-bit hash.
+Before probes are shuffled, a sketch of bounded size (whether none, one or more index entries fall on each of up to 2^28
+slots) drops those that nothing can meet; it only saves work.  Equal lines are told by a 64-bit hash.
 
 Defined cases: null texts stay null, empty texts stay empty; rows that repeat both id and text are decided alike, and so
 counted as one; a null id comes first, and texts of one id in the order of a hash; blanks count as text; lines are ended by
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, durable, slices, small
 from .textbytes import PIECE, mix, powers, utf8
 
-SLOT_BITS, LANES, _ROWS = 24, 8, 1 << 18
+MOST_BITS, LANES = 28, 4
 _KEY = "_row_key"
 
 
@@ -164,7 +164,7 @@ def line_entries(docs: DataFrame, edits: int, shortest: int, id_col: str, text_c
         return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
 
     def run(batches):
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             data, text, place, begin, end = line_spans(batch.column(text_col))
             long = end - begin >= shortest  # a line has no more code points than bytes
             text, place = text[long], place[long]
@@ -178,65 +178,71 @@ def line_entries(docs: DataFrame, edits: int, shortest: int, id_col: str, text_c
     return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).mapInArrow(run, f"doc_id {kind}, row_key long, place int, h long, index array<long>, probe array<long>")
 
 
-def slot_sketch(distinct: DataFrame) -> np.ndarray:
-    """(2, slots) uint8: index entries and probes on each slot, at most 255.
+def slot_bits(lines: int, edits: int) -> int:
+    """Bits of a slot's number: about 16 slots or more for each index entry, within bounds of the sketch's size."""
+    return min(MOST_BITS, max(18, int(16 * max(1, lines) * (edits + 1)).bit_length()))
 
-    A task sends a block of slots as it is or, if few were touched, as (slot, count) pairs.
-    """
+
+def slot_sketch(distinct: DataFrame, bits: int) -> np.ndarray:
+    """How many index entries fall on each slot, 0, 1 or more (2), four slots to a byte: at most 64 MB."""
+    block = 1 << min(20, bits)
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, count = np.unique(np.concatenate(held), return_counts=True)
+        rows, first = np.unique(at // block, return_index=True)
+        edge = np.append(first, len(at))
+        slots, many = (at % block).astype(np.uint32), np.minimum(count, 2).astype(np.uint8)
+        blobs = [slots[x:y].tobytes() + many[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        lane = np.full(len(rows), TaskContext.get().partitionId() % LANES, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(lane), pa.array(blobs, pa.binary())], ["rows", "lane", "counts"])
 
     def run(batches):
-        total = np.zeros((2, 1 << SLOT_BITS), np.uint8)
+        held: list[np.ndarray] = []
         for batch in batches:
-            for kind, name in enumerate(("index", "probe")):
-                flat = batch.column(name).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                at, count = np.unique(flat[flat != 0] >> np.uint64(64 - SLOT_BITS), return_counts=True)
-                at = at.astype(np.int64)
-                total[kind, at] = np.minimum(total[kind, at].astype(np.int64) + count, 255)
-        blocks, out = total.reshape(-1, _ROWS), []
-        for block in blocks:
-            at = np.flatnonzero(block)
-            out.append(block.tobytes() if 5 * len(at) >= _ROWS else at.astype(np.uint32).tobytes() + block[at].tobytes())
-        lane = np.full(len(blocks), TaskContext.get().partitionId() % LANES, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(lane), pa.array(out, pa.binary())], ["rows", "lane", "counts"])
+            held.append(batch.column("index").flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
+            if sum(map(len, held)) > 1 << 21:
+                yield sent(held)
+                held = []
+        if held:
+            yield sent(held)
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_ROWS, np.int64)
+        total = np.zeros(block, np.int64)
         for x in group["counts"]:
-            if len(x) == _ROWS:
-                total += np.frombuffer(x, np.uint8)
-            else:
-                n = len(x) // 5
-                total[np.frombuffer(x[: 4 * n], np.uint32)] += np.frombuffer(x[4 * n :], np.uint8)
-        return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [np.minimum(total, 255).astype(np.uint8).tobytes()]})
+            n = len(x) // 5
+            np.add.at(total, np.frombuffer(x[: 4 * n], np.uint32), np.frombuffer(x[4 * n :], np.uint8))
+        at = np.flatnonzero(total)
+        packed = at.astype(np.uint32).tobytes() + np.minimum(total[at], 2).astype(np.uint8).tobytes()
+        return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [packed]})
 
     shape = "rows int, lane int, counts binary"
-    parts = distinct.select("index", "probe").mapInArrow(run, shape).groupBy("rows", "lane").applyInPandas(add, shape)
-    out = np.zeros((2 << SLOT_BITS) // _ROWS * _ROWS, np.uint8)
+    parts = distinct.select("index").mapInArrow(run, shape).groupBy("rows", "lane").applyInPandas(add, shape)
+    out = np.zeros((1 << bits) // 4, np.uint8)
     for row in parts.groupBy("rows").applyInPandas(add, shape).toPandas().itertuples():
-        out[row.rows * _ROWS : (row.rows + 1) * _ROWS] = np.frombuffer(row.counts, np.uint8)
-    return out.reshape(2, -1)
+        n = len(row.counts) // 5
+        at = np.frombuffer(row.counts[: 4 * n], np.uint32).astype(np.int64) + row.rows * block
+        np.bitwise_or.at(out, at >> 2, np.frombuffer(row.counts[4 * n :], np.uint8) << (2 * (at & 3)).astype(np.uint8))
+    return out
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
+def candidates(distinct: DataFrame, edits: int) -> DataFrame:
     """(a, b) of different distinct lines that share an entry, a < b."""
-    sketch = distinct.sparkSession.sparkContext.broadcast(slot_sketch(distinct))
+    bits = slot_bits(distinct.count(), edits)
+    sketch = distinct.sparkSession.sparkContext.broadcast(slot_sketch(distinct, bits))
 
     def run(batches):
-        count = sketch.value
+        packed = sketch.value
         for batch in batches:
             h = np.asarray(batch.column("h"))
             index, probe = (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(h), -1) for c in ("index", "probe"))
-            slot = lambda x: (x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            same = probe[:, :, None] == index[:, None, :]  # a line meets its own segments
-            probed = (probe != 0) & (count[0][slot(probe)] > same.any(axis=2))
-            indexed = count[1][slot(index)] > same.any(axis=1)
-            for x, keep, kind in ((probe, probed, True), (index, indexed, False)):
-                line, at = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(x[line, at].view(np.int64)), pa.array(np.full(len(line), kind))], ["h", "entry", "probes"])
-
-    kept = durable(distinct.select("h", "index", "probe").mapInArrow(run, "h long, entry long, probes boolean"))
-    probes = kept.where("probes").select(F.col("h").alias("x"), "entry")
-    pairs = probes.join(kept.where("not probes").select(F.col("h").alias("y"), "entry"), "entry").where("x <> y")
+            slot = (probe >> np.uint64(64 - bits)).astype(np.int64)
+            count = packed[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
+            own = (probe[:, :, None] == index[:, None, :]).any(axis=2)  # a line meets its own segments
+            line, at = np.nonzero((probe != 0) & (count > own))
+            yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(probe[line, at].view(np.int64))], ["x", "entry"])
+
+    probes = distinct.select("h", "index", "probe").mapInArrow(run, "x long, entry long")
+    pairs = probes.join(distinct.select(F.col("h").alias("y"), F.explode("index").alias("entry")), "entry").where("x <> y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -246,7 +252,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     held = keyed(docs, id_col, text_col).join(small(by_row), F.col(_KEY) == F.col("w_key")).select(text_col, "places")
 
     def run(batches):
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             found = [(p["h"], parts[p["place"]]) for text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for parts in [text.split("\n")] for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([line for _, line in found], pa.string())], ["h", "line"])
 
@@ -272,7 +278,7 @@ def judged_lines(docs: DataFrame, edits: int, shortest: int, id_col: str, text_c
     # rows that repeat id and text repeat (row_key, place); such lines go nowhere by themselves
     many = (F.max("row_key") != F.min("row_key")) | (F.max("place") != F.min("place"))
     distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), many.alias("many"), F.first("index").alias("index"), F.first("probe").alias("probe")))
-    pairs = durable(candidates(distinct))
+    pairs = durable(candidates(distinct, edits))
     firsts = distinct.select("h", "first", "many")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h").select("h", "first.row_key", "first.place")
     near = verified(pairs, texts_of(docs, wanted, id_col, text_col), edits)
@@ -313,7 +319,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
 
         def run(batches):
             keys, f_key, f_place, near = known.value
-            for batch in slices(batches, text_col, 2 << 20):
+            for batch in slices(batches, text_col, 1 << 20):
                 spans = line_spans(batch.column(text_col))
                 data, text, place, begin, end = spans
                 gone, long = np.zeros(len(text), bool), np.flatnonzero(end - begin >= shortest)
@@ -333,7 +339,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
         gone_places = lines.where(F.col("near") | ~is_first).groupBy(F.col("row_key").alias("g_key")).agg(F.collect_set("place").alias("_gone"))
 
         def run(batches):
-            for batch in slices(batches, text_col, 2 << 20):
+            for batch in slices(batches, text_col, 1 << 20):
                 spans = line_spans(batch.column(text_col))
                 gone, first = np.zeros(len(spans[1]), bool), np.searchsorted(spans[1], np.arange(batch.num_rows))
                 for i, places in enumerate(batch.column("_gone").to_pylist()):
