@@ -33,10 +33,11 @@ _PAIR = np.uint64(0xA24BAED4963EE407)
 
 @dataclass(frozen=True)
 class Model:
-    """log p_target - log p_raw of each bucket, and the constant taken off for each n-gram."""
+    """log p_target - log p_raw of each bucket, the constant taken off for each n-gram, and the log prior odds."""
 
     ratio: np.ndarray
-    cut: float
+    cut: float = 0.0
+    prior: float = 0.0
 
 
 def ngrams(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +93,7 @@ def weigh(docs: DataFrame, model: Model, keep: list[str], text_col: str, tempera
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(size.astype(np.int64)), pa.array(total)], [*keep, "n_ngrams", "ratio"])
 
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    weight = F.when(F.col("n_ngrams") > 0, F.col("ratio") - F.lit(model.cut) * F.col("n_ngrams"))
+    weight = F.when(F.col("n_ngrams") > 0, F.col("ratio") - F.lit(model.cut) * F.col("n_ngrams") + F.lit(model.prior))
     rows = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
     return rows.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
 
@@ -103,12 +104,14 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, label_rows: int = 40
     marked = docs.select(id_col, text_col).join(known, id_col, "left").withColumn("target", F.col("good") & F.col("fits"))
     raw, target = counts(marked, bits, text_col, "target")
     share = lambda x: np.log((x + 0.5) / (x.sum() + 0.5 * len(x)))
-    plain = Model(share(target) - share(raw), 0.0)
+    plain = Model(share(target) - share(raw))
     unseen = docs.select(id_col, text_col).join(known.where(~F.col("fits")), id_col)
     scored = weigh(unseen, plain, ["good"], text_col, 0.0, "good", 0).where(F.col("n_ngrams") > 0)
     step = 1 / 256
     bins = scored.groupBy(F.floor(F.col("ratio") / F.col("n_ngrams") / F.lit(step)).alias("bin"), "good").count().toPandas()
-    return Model(plain.ratio, best_cut(bins, clean_cost) * step)
+    good, bad = (int(bins.loc[bins["good"] == kind, "count"].sum()) for kind in (True, False))
+    prior = max(0.0, float(np.log(good / bad))) if good and bad else 0.0
+    return Model(plain.ratio, best_cut(bins, clean_cost) * step, prior)
 
 
 def best_cut(bins, clean_cost: float) -> float:
