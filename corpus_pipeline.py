@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.llm import bpe, lines, mixing, ngram_join, quality
-from plyframe.llm.common import durable, table
+from plyframe.llm.common import durable, table, unnamed
 from plyframe.llm.queries import PATTERN, RANKS
 
 
@@ -31,8 +31,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in training order, once for each copy of which the mix takes half of the words or more."""
-    copies = mixing.curriculum(mixing.plan(docs))
-    return copies.where(2 * F.col("words") >= F.col("size")).select(*docs.columns)
+    plain, names = unnamed(docs)
+    planned = mixing.plan(plain, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"])
+    copies = mixing.curriculum(planned, names["doc_id"]).where(2 * F.col("words") >= F.col("size"))
+    return copies.select(*plain.columns).toDF(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unnamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns named by place, and the new name of each; keeps operators' own names from clashing."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `size` bytes of `column` (one row at least)."""
     for batch in batches:

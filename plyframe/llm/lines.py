@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, slices, small
+from .common import BROADCAST_ROWS, durable, slices, small, unnamed
 from .textbytes import PIECE, mix, powers, utf8
 
 MOST_BITS, LANES = 28, 4
@@ -336,7 +336,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
     else:
         lines = line_entries(docs, edits, shortest, id_col, text_col).select("row_key", "place", "h").join(judged, "h")
         is_first = (F.col("row_key") == F.col("f_key")) & (F.col("place") == F.col("f_place"))
-        gone_places = lines.where(F.col("near") | ~is_first).groupBy(F.col("row_key").alias("g_key")).agg(F.collect_set("place").alias("_gone"))
+        gone_places = lines.where(F.col("near") | ~is_first).groupBy(F.col("row_key").alias("_g_key")).agg(F.collect_set("place").alias("_gone"))
 
         def run(batches):
             for batch in slices(batches, text_col, 1 << 20):
@@ -347,7 +347,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
                         gone[first[i] + np.array(places)] = True
                 yield _rebuilt(batch, names, text_col, gone, spans)
 
-        out = rows.join(gone_places, F.col(_KEY) == F.col("g_key"), "left").select(*own, text_col, "_gone").mapInArrow(run, shape)
+        out = rows.join(gone_places, F.col(_KEY) == F.col("_g_key"), "left").select(*own, text_col, "_gone").mapInArrow(run, shape)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out
@@ -355,5 +355,8 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
 
 def keep(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`dedup` with the columns of `docs`, without the documents all of whose lines went."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return dedup(docs.select(*names), edits, shortest, id_col, text_col).where("n_dropped = 0 or n_dropped < n_lines").select(*names)
+    plain, names = unnamed(docs)
+    if "n_chars" in names:
+        plain, names["n_chars"] = plain.withColumnRenamed(names["n_chars"], "n_chars"), "n_chars"
+    left = dedup(plain, edits, shortest, names[id_col], names[text_col]).where("n_dropped = 0 or n_dropped < n_lines")
+    return left.select(*names.values()).toDF(*docs.columns)

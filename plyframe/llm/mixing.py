@@ -22,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, unnamed
 
 WEIGHTS = (5, 2, 1)
 #: By weight: (time, intensity) knots.  Heavy sources fade, light ones grow, the middle stays.
@@ -69,12 +69,13 @@ def plan(
 ) -> DataFrame:
     """The rows of `docs` with size, source_size, target, taken and `copies`: array of (copy, words, position)."""
     made = ["size", "source_size", "target", "taken", "copies"]
-    source = F.col(source_col).cast("string")
-    sized = docs.select(
-        *[F.col(c) for c in docs.columns if c not in made],
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    plain, names = unnamed(docs)
+    source = F.col(names[source_col]).cast("string")
+    sized = plain.select(
+        *plain.columns,
+        F.coalesce(F.regexp_count(F.col(names[text_col]), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("t")).alias("source_key"),
-        F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("0" * 32)).alias("order_key"),
+        F.coalesce(F.md5(F.col(names[id_col]).cast("string")), F.lit("0" * 32)).alias("order_key"),
     )
     sources = durable(targets(sized.select("source_key", "size"), weights, cap))
     share = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -82,7 +83,7 @@ def plan(
     ranges = laid.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source_key", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_key", "range").orderBy("order_key", id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "range").orderBy("order_key", names[id_col], "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = laid.join(ranges, ["source_key", "range"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     quota = F.floor(F.col("target") + F.lit(0.5))
     at = lambda k: F.lit(k) * F.col("source_size") + F.col("start")
@@ -98,7 +99,7 @@ def plan(
     for w in words[1:]:
         taken = taken + w
     return placed.select(
-        *[F.col(c) for c in docs.columns if c not in made], "size", "source_size", "target", taken.alias("taken"), F.array_compact(copies).alias("copies")
+        *[F.col(names[c]).alias(c) for c in docs.columns if c not in made], "size", "source_size", "target", taken.alias("taken"), F.array_compact(copies).alias("copies")
     )
 
 

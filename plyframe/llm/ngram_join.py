@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, small
+from .common import durable, slices, small, unnamed
 from .components import components
 from .textbytes import mix, shingles, utf8, words
 
@@ -280,5 +280,6 @@ def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     members, _ = join(docs, n, percent, id_col, text_col)
     later = F.col("node").isNotNull() & (F.col("doc_id") > F.col("component_id"))
-    gone = durable(members.groupBy(F.col("doc_id").alias("gone_id")).agg(F.bool_and(F.coalesce(later, F.lit(False))).alias("all")).where("all").select("gone_id"))
-    return docs.join(small(gone), F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = durable(members.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_and(F.coalesce(later, F.lit(False))).alias("all")).where("all").select("_gone_id"))
+    plain, names = unnamed(docs)
+    return plain.join(small(gone), F.col(names[id_col]) == F.col("_gone_id"), "left_anti").toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, slices, unnamed
 from .textbytes import BLANK, mix, utf8, words
 
 _KINDS = np.full(256, 2, np.uint8)
@@ -89,7 +89,7 @@ def weigh(docs: DataFrame, model: Model, keep: list[str], text_col: str, tempera
         for batch in slices(batches, text_col):
             bucket, text = ngrams(batch.column(text_col), bits)
             size = np.bincount(text, minlength=batch.num_rows)
-            total = np.bincount(text, shared.value.ratio[bucket], minlength=batch.num_rows)
+            total = np.bincount(text, shared.value.ratio[bucket], minlength=batch.num_rows).astype(np.float64)  # integers if there are no n-grams
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(size.astype(np.int64)), pa.array(total)], [*keep, "n_ngrams", "ratio"])
 
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
@@ -163,5 +163,6 @@ def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, seed: in
     _, model, least = resample(docs, labels, None, temperature, seed, None, id_col, text_col, **fitting)
     if least is None:
         return docs.limit(0)
-    again = weigh(docs, model, docs.columns, text_col, temperature, id_col, seed)
-    return again.where(F.col("key") >= F.lit(least)).select(*docs.columns)
+    plain, names = unnamed(docs)
+    again = weigh(plain, model, plain.columns, names[text_col], temperature, names[id_col], seed)
+    return again.where(F.col("key") >= F.lit(least)).select(*plain.columns).toDF(*docs.columns)
