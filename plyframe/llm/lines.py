@@ -13,6 +13,11 @@ bit-parallel edit distance: one machine word holds the 2 * edits + 1 diagonals,
 Before probes are shuffled, a sketch of bounded size (whether none, one or more index entries fall on each of up to 2^28
 slots) drops those that nothing can meet; it only saves work.  Equal lines are told by a 64-bit hash.
 
+Entries on which more than LIGHT pairs meet are not paired by a join.  Each of their lines is first verified against the
+earliest line on the other side of the entry; a line that is near it goes, whatever else it meets.  The lines of an entry
+are then compared in tiles of at most 2 * TILE rows inside a task, by length and by counts of code point pairs (an edit changes
+four of them at most), and only pairs that pass, with a line not known to go, are listed and verified.
+
 Defined cases: null texts stay null, empty texts stay empty; rows that repeat both id and text are decided alike, and so
 counted as one; a null id comes first, and texts of one id in the order of a hash; blanks count as text; lines are ended by
 a line feed only.  Other columns pass through, but for n_chars, which is counted again where lines went.
@@ -31,6 +36,7 @@ from .common import BROADCAST_ROWS, durable, slices, small, unnamed
 from .textbytes import PIECE, mix, powers, utf8
 
 MOST_BITS, LANES = 28, 4
+LIGHT, TILE, BUCKETS = 256, 2048, 64
 _KEY = "_row_key"
 
 
@@ -225,8 +231,8 @@ def slot_sketch(distinct: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def candidates(distinct: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of different distinct lines that share an entry, a < b."""
+def met_entries(distinct: DataFrame, edits: int) -> DataFrame:
+    """(h, entry, probes boolean): the probes that may meet an index entry, and the index entries that they may meet."""
     bits = slot_bits(distinct.count(), edits)
     sketch = distinct.sparkSession.sparkContext.broadcast(slot_sketch(distinct, bits))
 
@@ -239,11 +245,112 @@ def candidates(distinct: DataFrame, edits: int) -> DataFrame:
             count = packed[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
             own = (probe[:, :, None] == index[:, None, :]).any(axis=2)  # a line meets its own segments
             line, at = np.nonzero((probe != 0) & (count > own))
-            yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(probe[line, at].view(np.int64))], ["x", "entry"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(probe[line, at].view(np.int64))], ["h", "entry"])
+
+    probes = durable(distinct.select("h", "index", "probe").mapInArrow(run, "h long, entry long"))
+    index = distinct.select("h", F.explode("index").alias("entry")).join(probes.select("entry").distinct(), "entry", "left_semi")
+    return durable(probes.withColumn("probes", F.lit(True)).union(index.select("h", "entry", F.lit(False))))
+
+
+def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def light_pairs(met: DataFrame) -> DataFrame:
+    """(a, b) of different lines that share an entry, a < b."""
+    probes, index = met.where("probes").select(F.col("h").alias("x"), "entry"), met.where("not probes").select(F.col("h").alias("y"), "entry")
+    return ordered(probes.join(index, "entry").where("x <> y"), "x", "y")
+
+
+def leader_pairs(met: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b), a < b: each line of an entry and the earliest line on the entry's other side, if that is earlier."""
+    rows = met.join(firsts.select("h", "first"), "h")
+    leads = rows.groupBy("entry", (~F.col("probes")).alias("probes")).agg(F.min(F.struct("first", "h")).alias("lead"))
+    later = rows.join(leads, ["entry", "probes"]).where(F.col("lead.first") < F.col("first"))
+    return ordered(later.withColumn("y", F.col("lead.h")), "h", "y")
 
-    probes = distinct.select("h", "index", "probe").mapInArrow(run, "x long, entry long")
-    pairs = probes.join(distinct.select(F.col("h").alias("y"), F.explode("index").alias("entry")), "entry").where("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(h, n, counts binary): the length of a line and how often pairs of code points fall on each of BUCKETS, 255 at most."""
+
+    def run(batches):
+        for batch in slices(batches, "line", 1 << 20):
+            data, at = code_points(batch.column("line").to_pylist())
+            lines = len(at) - 1
+            owner = np.repeat(np.arange(lines), np.diff(at))
+            slot = (data[:-1] * np.uint32(0x9E3779B1) + data[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(26)
+            inside = owner[1:] == owner[:-1]
+            total = np.bincount((owner[1:] * BUCKETS + slot)[inside], minlength=lines * BUCKETS)
+            blob = np.minimum(total, 255).astype(np.uint8).reshape(lines, BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(np.diff(at)), pa.array([x.tobytes() for x in blob], pa.binary())], ["h", "n", "counts"])
+
+    return texts.mapInArrow(run, "h long, n long, counts binary")
+
+
+def tile_pairs(met: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -> DataFrame:
+    """(a, b), a < b, of the lines of an entry whose lengths and counts may be within `edits`, unless both are in `gone`."""
+    lines = met.select("entry", "h").distinct()
+    tiles = F.ceil(F.col("own") / TILE).cast("int")
+    rows = lines.join(lines.groupBy("entry").agg(F.count(F.lit(1)).alias("own")), "entry").withColumn("tiles", tiles)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    known = durable(counts.join(gone.withColumn("gone", F.lit(True)), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+    rows = rows.select("entry", "h", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(known, "h")
+    rows = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "n", "h")
+
+    def pairs(x: dict[str, np.ndarray]) -> np.ndarray:
+        out, live, far = [], np.arange(len(x["h"])), 1
+        while len(live := live[live + far < len(x["h"])]):
+            live = live[x["n"][live + far] - x["n"][live] <= edits]  # lengths ascend: none further passes either
+            other = live + far
+            ok = ~(x["gone"][live] & x["gone"][other]) & ((x["i"][live] == x["j"][live]) | (x["tile"][live] != x["tile"][other]))
+            a, b = live[ok], other[ok]
+            ok = np.abs(x["counts"][a] - x["counts"][b]).sum(axis=1) <= 4 * edits
+            out.append(np.stack([x["h"][a[ok]], x["h"][b[ok]]]))
+            far += 1
+        return np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("entry", "i", "j", "tile", "h", "n", "gone")}
+            x["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+            if held is not None:
+                x = {c: np.concatenate([held[c], x[c]]) for c in x}
+            cut = np.flatnonzero((x["entry"][1:] != x["entry"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])) + 1
+            edge = [0, *cut]
+            for begin, end in zip(edge[:-1], edge[1:], strict=True):
+                a, b = pairs({c: v[begin:end] for c, v in x.items()})
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["x", "y"])
+            held = {c: v[edge[-1] :] for c, v in x.items()}
+        if held is not None:
+            a, b = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["x", "y"])
+
+    return ordered(rows.mapInArrow(run, "x long, y long"), "x", "y")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of distinct lines within `edits`: all pairs but, on crowded entries, some whose later line goes by another one."""
+    firsts = distinct.select("h", "first")
+    where = lambda rows: rows.distinct().join(firsts, "h").select("h", "first.row_key", "first.place")
+    met = met_entries(distinct, edits)
+    sizes = met.groupBy("entry").agg((F.count_if("probes") * F.count_if(~F.col("probes"))).alias("pairs"))
+    crowded = durable(sizes.where(F.col("pairs") > LIGHT).select("entry"))
+    n_crowded = crowded.count()
+    if not n_crowded:
+        pairs, links = durable(light_pairs(met)), None
+    else:
+        heavy = durable(met.join(small(crowded, n_crowded), "entry", "left_semi"))
+        texts = durable(texts_of(docs, where(heavy.select("h")), id_col, text_col))
+        links = durable(verified(leader_pairs(heavy, firsts), texts, edits))
+        order = links.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
+        gone = order.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
+        light = light_pairs(met.join(small(crowded, n_crowded), "entry", "left_anti"))
+        pairs = durable(light.union(tile_pairs(heavy, pair_counts(texts), gone, edits)).distinct())
+    near = verified(pairs, texts_of(docs, where(pairs.select(F.explode(F.array("a", "b")).alias("h"))), id_col, text_col), edits)
+    return near if links is None else near.union(links).distinct()
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -278,10 +385,8 @@ def judged_lines(docs: DataFrame, edits: int, shortest: int, id_col: str, text_c
     # rows that repeat id and text repeat (row_key, place); such lines go nowhere by themselves
     many = (F.max("row_key") != F.min("row_key")) | (F.max("place") != F.min("place"))
     distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), many.alias("many"), F.first("index").alias("index"), F.first("probe").alias("probe")))
-    pairs = durable(candidates(distinct, edits))
     firsts = distinct.select("h", "first", "many")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(firsts, "h").select("h", "first.row_key", "first.place")
-    near = verified(pairs, texts_of(docs, wanted, id_col, text_col), edits)
+    near = near_lines(docs, distinct, edits, id_col, text_col)
     both = near.union(near.select("b", "a")).toDF("h", "other").join(firsts.select(F.col("h").alias("other"), F.col("first").alias("earliest")), "other")
     earlier = both.groupBy("h").agg(F.min("earliest").alias("earliest"))
     judged = firsts.join(earlier, "h", "left").withColumn("near", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
