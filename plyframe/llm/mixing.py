@@ -8,7 +8,8 @@ md5(doc_id), the whole order again for each further copy; a copy that starts aft
 the position where the demand reaches x, that is total * G^-1(x / T).  `curriculum` range-sorts the copies by position.
 
 A source of any size is laid out by two running sums: it is split into about sqrt(rows) ranges of md5, one running sum
-goes over the ranges and one inside each range, so no task holds a source.
+goes over the ranges and one inside each range, so no task holds a source; the row of each source is broadcast where these are
+few, as a join by source would leave each in one task.
 
 Defined cases: a null text has size 0; a null doc_id sorts first; a document of size 0 is never taken; repeated rows are
 documents of their own (in one order among equals); an empty table gives an empty plan; only the copy that crosses the
@@ -22,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, unnamed
+from .common import WORD, durable, small, unnamed
 
 WEIGHTS = (5, 2, 1)
 #: By weight: (time, intensity) knots.  Heavy sources fade, light ones grow, the middle stays.
@@ -79,7 +80,7 @@ def plan(
     )
     sources = durable(targets(sized.select("source_key", "size"), weights, cap))
     share = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    laid = sized.join(sources, "source_key").withColumn("range", F.floor(share * F.ceil(F.sqrt("n_rows"))).cast("long"))
+    laid = sized.join(small(sources), "source_key").withColumn("range", F.floor(share * F.ceil(F.sqrt("n_rows"))).cast("long"))
     ranges = laid.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source_key", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("base"))
