@@ -7,8 +7,9 @@ overlap of x and y.  Two sets link when 100 * overlap >= percent * union, so siz
 2. Columns are ordered rare first by a document-frequency sketch of fixed size (any order gives the same result).  A pair
    that links must meet in the first columns of both rows, whose number follows from the sizes, so only that block of
    columns is multiplied at first: rows that share a column meet in blocks of at most BLOCK by BLOCK rows, and a pair is
-   dropped whose sizes or whose places in the two rows leave too little overlap.  The partial overlaps of the block are
-   summed by pair and bounded once more; then the remaining columns of the surviving pairs are multiplied.
+   dropped whose sizes or whose places in the two rows leave too little overlap even if all columns before are shared.
+   The partial overlaps of the block are summed by pair and bounded once more, by the places of the last shared column
+   too; then the remaining columns of the surviving pairs are multiplied.
 3. Families of near copies would meet in all pairs.  Rows in a column of HEAVY rows and more are therefore first clustered:
    each goes with its whole row to two buckets, drawn by smallest hash from its heavy columns, and is multiplied with the
    bucket's leaders only (rows no leader has linked so far).  Links found there are true links; step 2 then leaves
@@ -197,12 +198,12 @@ def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
             a, b = live, live + far
             ok = (x["comp"][a] != x["comp"][b]) & (x["node"][a] != x["node"][b]) & ((x["i"][a] == x["j"][a]) | (x["block"][a] != x["block"][b]))
             ok &= x["pos"][a] < bounds.first_small(x["n"][a])
-            room = np.minimum(x["n"][a] - x["pos"][a], x["n"][b] - x["pos"][b])
-            ok &= room >= bounds.overlap(x["n"][a], x["n"][b])
-            out.append(np.stack([a[ok], b[ok]]))
+            seen, room = np.minimum(x["pos"][a], x["pos"][b]), np.minimum(x["n"][a] - x["pos"][a], x["n"][b] - x["pos"][b])
+            ok &= seen + room >= bounds.overlap(x["n"][a], x["n"][b])  # at any shared column, of all that may lie before it and from it on
+            out.append(np.stack([a[ok], b[ok], room[ok]]))
             far += 1
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x["node"][a]), pa.array(x["node"][b]), pa.array(x["n"][a]), pa.array(x["n"][b])], ["a", "b", "na", "nb"])
+        a, b, room = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x["node"][a]), pa.array(x["node"][b]), pa.array(x["n"][a]), pa.array(x["n"][b]), pa.array(room)], ["a", "b", "na", "nb", "room"])
 
     def run(batches):
         held = None
@@ -218,10 +219,11 @@ def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
         if held is not None:
             yield pairs(held)
 
-    found = rows.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    found = rows.mapInArrow(run, "a long, b long, na long, nb long, room long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.min("room").alias("room"))
     needed = F.ceil(F.lit(bounds.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + bounds.percent))
     rest = F.greatest(F.ceil(F.lit(2 * bounds.percent) * F.col("na") / F.lit(100 + bounds.percent)), F.ceil(F.lit(bounds.percent) * F.col("nb") / F.lit(100))) - 1
-    return found.where(F.col("shared") + rest >= needed)
+    # room is that of the last shared column: beyond the shared ones no more can follow than lie behind it
+    return found.where((F.col("shared") + rest >= needed) & (F.col("shared") + F.col("room") - 1 >= needed)).drop("room")
 
 
 def full_products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:

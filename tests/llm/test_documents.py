@@ -70,6 +70,38 @@ def test_components_equal_brute_force(make, odd_rows, n, percent, monkeypatch):
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in members.collect()), key=str) == component_ids(rows, n, percent)
 
 
+@pytest.mark.parametrize(("n", "percent", "heavy"), [(3, 90, 2), (3, 90, 10_000), (5, 80, 10_000), (1, 80, 10_000)])
+def test_links_between_sets_of_different_size(make, monkeypatch, n, percent, heavy):
+    """Copies with words inserted or cut, whose own n-grams are rare and so stand before the shared ones."""
+    rng, rows = random.Random(n), []
+    for k in range(12):
+        text = [f"d{k}w{i}" for i in range(rng.choice([300, 950]))]
+        rows.append((len(rows), " ".join(text)))
+        for share in (0.02, 0.05, 0.1, 0.15):
+            at = rng.randrange(len(text))
+            more = [f"x{len(rows)}w{i}" for i in range(int(share * len(text)))]
+            rows.append((len(rows), " ".join(text[:at] + more + text[at:])))
+            rows.append((len(rows), " ".join(text[: int(len(text) * (1 - share))])))
+            few = set(rng.sample(range(len(text)), max(1, int(share * len(text)) // 8)))
+            rows.append((len(rows), " ".join(w for i, w in enumerate(text[: int(len(text) * (1 - share / 2))]) if i not in few)))
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    members, _ = ngram_join.join(make(rows), n, percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in members.collect()), key=str) == component_ids(rows, n, percent)
+
+
+def test_every_shared_column_counts(make):
+    """950 and 1000 n-grams, 940 shared: own ones stand before and among the shared ones of the first block."""
+    rng, rows = random.Random(1), []
+    both = [f"c{i}" for i in range(940)]
+    for k in range(6):
+        a, b = [f"a{k}_{i}" for i in range(10)], [f"b{k}_{i}" for i in range(60)]
+        mine = [f"{k}{w}" for w in both]
+        rows += [(2 * k, " ".join(mine + a)), (2 * k + 1, " ".join(mine + b))]
+    rng.shuffle(rows)
+    members, _ = ngram_join.join(make(rows), 1, 90)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in members.collect()), key=str) == component_ids(rows, 1, 90)
+
+
 def test_join_of_an_empty_table(make):
     members, links = ngram_join.join(make([]))
     assert members.count() == 0 and links.count() == 0
