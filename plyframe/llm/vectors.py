@@ -15,13 +15,13 @@ BLOCK = "block long, n int, ids binary, data binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id long, v array<double>) of the vectors that take part."""
+    """(vec_id long, v array<double>) of the vectors that take part, repeated rows once."""
     v = F.col(vec_col).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(~bad & (F.size("v") > 0))
     usual = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("v") == (usual[0]["d"] if usual else 0))
+    return rows.where(F.size("v") == (usual[0]["d"] if usual else 0)).distinct()
 
 
 def matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ class Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: (query, candidate), -inf where a candidate takes no part."""
-        if scores.shape[1] > self.k:
+        if scores.shape[1] > self.k and len(np.unique(ids)) == len(ids):  # repeats would fill the k places of the cut
             cut = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         else:
             cut = self.floor

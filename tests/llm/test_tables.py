@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plyframe.llm import ann, preference, queries, topk, urlfilter
+from plyframe.llm import vectors as vectors_module
 from plyframe.llm.components import components
 from tests.against import connect, rows_of, rows_of_sql
 
@@ -98,6 +99,19 @@ def test_top_k_equals_brute_force(spark, levels, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute(whole, range(0, 120, 20), 20, lambda a, b: int(a @ b))
 
 
+def test_repeated_rows_leave_room_for_others(spark):
+    """A row repeated more than k times among the best of one tile."""
+    x = np.random.default_rng(5).normal(size=(120, 16)).astype(np.float32).round(1)
+    x[3] = 4 * x[0]
+    df = vectors(spark, x, [(3, x[3].tolist())] * 50 + [(0, x[0].tolist())] * 3)
+    whole = np.floor(64 * x.astype(np.float64)).astype(int)
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 20)
+    assert sorted(map(tuple, got.collect())) == brute(whole, range(0, 120, 20), 20, lambda a, b: int(a @ b))
+    best = vectors_module.Best(1, 2)
+    best.add(np.array([[9.0, 9.0, 9.0, 5.0, 4.0]]), np.array([1, 1, 1, 2, 3]))
+    assert best.id.tolist() == [1, 2]
+
+
 def test_top_k_of_few_and_large(spark):
     df = vectors(spark, np.array([[1.0, 2.0], [3e9, -3e9], [3e9, 3e9]]))
     assert topk.top_k(df, df.where("vec_id = 0"), 20).count() == 2
