@@ -3,7 +3,9 @@
 Coarse centroids and the codebooks of the residuals' parts are fitted on a bounded sample (`sample` rows, by hash of
 the id); every row is indexed: it goes to its nearest centroid's list with the codes of its residual.  A query probes the
 lists whose centroids are nearest, scores their rows by a table of products of its parts with the codewords (asymmetric:
-the query is not quantised), and reranks the best `rerank` of each piece of a list by the exact cosine in doubles.
+the query is not quantised), and reranks by the exact cosine in doubles: in each piece of a list the best `rerank`, all
+rows tied with them, and all that the quantisation error of their residuals lets be among the k best of the piece.  So the
+result is exact, down to the smaller ids of equal rows, over the probed lists; only lists that are not probed lose rows.
 How many lists are probed is fitted on the sample too: the fewest that hold `hold` of the true neighbours of 200 of its
 rows.  Lists are split into pieces of about `piece` rows and queries into chunks of as many, so one list may hold any share of
 all rows and any number of queries may probe it.
@@ -41,6 +43,9 @@ class Model:
         rest, width = x - self.centroids[lists], self.codebooks.shape[2]
         return np.stack([_nearest(rest[:, p * width : (p + 1) * width], book) for p, book in enumerate(self.codebooks)], axis=1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        return self.centroids[lists] + np.concatenate([book[codes[:, p]] for p, book in enumerate(self.codebooks)], axis=1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(query, part, code): products of the query's parts with the codewords."""
         parts, _, width = self.codebooks.shape
@@ -112,7 +117,8 @@ def search(
             if len(ids):
                 own = model.value.assign(unit(v))
                 codes = model.value.encode(unit(v), own)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in v], pa.binary())], ["list", "vec_id", "codes", "v"])
+                error = np.linalg.norm(unit(v) - model.value.decode(codes, own), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([r.tobytes() for r in v], pa.binary())], ["list", "vec_id", "codes", "error", "v"])
 
     def probe(batches):
         for batch in batches:
@@ -121,7 +127,7 @@ def search(
                 at = np.argsort(-(unit(v) @ model.value.centroids.T), axis=1)[:, : model.value.probes]
                 yield pa.RecordBatch.from_arrays([pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), pa.array(ids), pa.array([r.tobytes() for r in v], pa.binary())], ["lists", "query_id", "q"])
 
-    filed = durable(rows.mapInArrow(index, "list int, vec_id long, codes binary, v binary"))
+    filed = durable(rows.mapInArrow(index, "list int, vec_id long, codes binary, error double, v binary"))
     sizes = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
     places = {r["list"]: r["pieces"] for r in sizes.collect()}  # one row per list: at most 4096
     pieces = F.create_map(*[F.lit(v) for kv in places.items() for v in kv])
@@ -137,16 +143,21 @@ def search(
         if not len(c) or not len(q):
             return empty
         ids, exact = c["vec_id"].to_numpy(), np.stack([np.frombuffer(v) for v in c["v"]])
-        codes = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]])
+        codes, error = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]]), c["error"].to_numpy() + 1e-9
         q_ids, asked_v = q["query_id"].to_numpy(), np.stack([np.frombuffer(v) for v in q["q"]])
         tables = model.value.tables(unit(asked_v))
         length, out, part = np.linalg.norm(exact, axis=1), [], np.arange(codes.shape[1])
         for i in range(len(q_ids)):
             near = tables[i][part, codes].sum(axis=1)  # the list's own product is the same for all its rows
-            keep = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-            keep = keep[ids[keep] != q_ids[i]]
+            other = ids != q_ids[i]
+            keep = np.flatnonzero(other)
+            if len(keep) > max(rerank, k):
+                tied = near >= np.partition(near[keep], -rerank)[-rerank]
+                least = np.partition((near - error)[keep], -k)[-k]  # k rows are at least as near as that
+                keep = np.flatnonzero(other & (tied | (near + error >= least)))
             if len(keep):
-                score = exact[keep] @ asked_v[i] / (length[keep] * np.linalg.norm(asked_v[i]))
+                # by row, not as one matrix product: equal rows then score equally, wherever they stand
+                score = (exact[keep] * asked_v[i]).sum(axis=1) / (length[keep] * np.linalg.norm(asked_v[i]))
                 best = Best(1, k)
                 best.add(score[None, :], ids[keep])
                 out.append(pd.DataFrame({"query_id": np.full(len(best.id), q_ids[i]), "vec_id": best.id, "score": best.score}))

@@ -156,6 +156,35 @@ def test_recall(spark):
     assert hits / 300 >= 0.9
 
 
+def recall(spark, x, asked, **how):
+    """Share of the 5 nearest, smaller ids first among equal ones, that is found for each asked row."""
+    df = vectors(spark, x)
+    got = {}
+    for r in ann.search(df, df.where(F.col("vec_id").isin(asked)), 5, **how).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in asked:
+        s = (u * u[q]).sum(axis=1).round(12)
+        s[q] = -2
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), -s))[:5].tolist()))
+    return hits / (5 * len(asked))
+
+
+def test_recall_of_a_large_group_of_copies(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 32)).astype(np.float32)
+    copies = np.random.default_rng(7).permutation(3000)[:1000]
+    x[copies] = x[copies[0]]
+    assert recall(spark, x, sorted(copies[:40].tolist())) == 1
+
+
+def test_recall_of_clusters(spark):
+    """Near copies that share a code: which of them are nearest only the exact cosine tells."""
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(4, 32))[rng.integers(0, 4, 3000)] + 1e-4 * rng.normal(size=(3000, 32))).astype(np.float32)
+    assert recall(spark, x, list(range(0, 3000, 60)), lists=4) >= 0.95
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (4, 6), (9, 9), (7, 8), (8, 3), (1, 2)], "u long, v long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (4, 4), (5, 4), (6, 4)}
