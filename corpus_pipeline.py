@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group with a similarity of 0.8 or more on five words."""
-    return ngram_join.distinct_documents(docs, n=5, percent=80)
+    return ngram_join.distinct_documents(docs, n=5, percent=80, repeats=False)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

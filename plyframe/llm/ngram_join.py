@@ -106,8 +106,11 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     return out
 
 
-def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, n, tokens) of each document: its set's id (null if empty), size and first block of columns."""
+def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(doc_id, node, n, tokens) of each document: its set's id (null if empty), size and first block of columns.
+
+    With `row_col`, a long column, also that as row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
@@ -121,10 +124,12 @@ def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, i
                 tokens.append(s[order[: bounds.first(len(s)) if len(s) else 0]].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], ["doc_id", "node", "n", "tokens"])
+            more = [batch.column(row_col)] if row_col else []
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists, *more], ["doc_id", "node", "n", "tokens", "row"][: 4 + len(more)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, node long, n long, tokens array<long>")
+    shape = f"doc_id {kind}, node long, n long, tokens array<long>" + (", row long" if row_col else "")
+    return docs.select(id_col, text_col, *([row_col] if row_col else [])).mapInArrow(run, shape)
 
 
 def rows_of(docs: DataFrame, owners: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -244,13 +249,14 @@ def full_products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links): (doc_id, node, n_shingles, component_id) of every document, and links (u, v) between nodes.
 
     The links connect each component; between rows that they connect, further links are not listed.
+    With `row_col` it is (keys, roots) instead: (node, doc_id, row, copies) of the distinct rows with words, and (node, root).
     """
     bounds = Bounds(percent)
-    all_rows = durable(first_columns(docs, frequency_sketch(docs, n, text_col), n, bounds, id_col, text_col))
+    all_rows = durable(first_columns(docs, frequency_sketch(docs, n, text_col), n, bounds, id_col, text_col, row_col))
     members = all_rows.select("doc_id", "node", "n")
     # one row per node before any join on it: a node of many equal documents is then no hot key
     owners = durable(members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")))
@@ -269,19 +275,35 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     found = durable(full_products(pairs, rows, percent))
     links = found if links is None else found.unionByName(links)
     by_node = owners.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if row_col:
+        # equal rows are one, with their number, and nodes meet their root by one row each: no hot key
+        keys = durable(all_rows.where(F.col("node").isNotNull()).groupBy("node", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies")))
+        return keys, by_node.select("node", "root")
     ids = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
     component = durable(by_node.join(ids, "root").select("node", "component_id"))
     named = members.join(component, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return named.select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id"), links
 
 
-def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without those linked to a document of smaller id: one document of each component stays.
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """One row of `docs` of each component: that of the smallest doc_id (nulls last), of these the one of the smallest hash.
 
-    An id that rows of several sets repeat goes only if all of them do; texts without words stay.
+    Rows equal to it in all columns stay beside it only if `repeats`; texts without words stay.
     """
-    members, _ = join(docs, n, percent, id_col, text_col)
-    later = F.col("node").isNotNull() & (F.col("doc_id") > F.col("component_id"))
-    gone = durable(members.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.bool_and(F.coalesce(later, F.lit(False))).alias("all")).where("all").select("_gone_id"))
     plain, names = unnamed(docs)
-    return plain.join(small(gone), F.col(names[id_col]) == F.col("_gone_id"), "left_anti").toDF(*docs.columns)
+    keyed = plain.withColumn("_row", F.xxhash64(*plain.columns))
+    keys, roots = join(keyed, n, percent, names[id_col], names[text_col], "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "copies")).alias("first")
+    by_node = keys.groupBy("node").agg(first)
+    kept = by_node.join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
+    kept = durable(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.row").alias("_key"), F.col("first.copies").alias("_copies")))
+    same = lambda left, right: (left["_row"] == right["_key"]) & left[names[id_col]].eqNullSafe(right["_id"])
+    gone = keys.select(F.col("doc_id").alias(names[id_col]), F.col("row").alias("_row"))
+    gone = durable(gone.join(kept, same(gone, kept), "left_anti").select(F.col(names[id_col]).alias("_id"), F.col("_row").alias("_key")))
+    left = keyed.join(small(gone), same(keyed, gone), "left_anti")
+    several = durable(kept.where("_copies > 1").select("_id", "_key"))
+    count = 0 if repeats else several.count()
+    if count:
+        once = left.join(small(several, count), same(left, several), "left_semi").dropDuplicates(["_row", names[id_col]])
+        left = left.join(small(several, count), same(left, several), "left_anti").unionByName(once)
+    return left.drop("_row").toDF(*docs.columns)

@@ -115,6 +115,14 @@ def test_one_document_of_each_group_stays(make, odd_rows):
     assert kept == sorted([d for d, _ in rows if d is None or d in empty or (d, d) in ids], key=str)
 
 
+def test_one_row_of_each_group_stays(make):
+    """Repeated rows, copies without id and copies whose id another text uses."""
+    a, b, c = ("the first text of some words here", "a second one that is quite different", "third and alone it stands in this")
+    rows = [(4, a), (4, a), (4, a), (None, a), (5, a), (5, b), (9, b), (None, c), (None, c), (3, None), (3, None)]
+    got = ngram_join.distinct_documents(make(rows), repeats=False).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(4, a), (5, b), (None, c), (3, None), (3, None)], key=str)
+
+
 # --- 10: line dedup
 
 
