@@ -17,7 +17,7 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_t
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Judged where no rule fits: globs of pages that are no prose.
-URL_GLOBS = ("*/**/login**", "*/**/cart**", "**.exe", "**.zip")
+URL_GLOBS = ("*/login**", "*/**/login**", "*/cart**", "*/**/cart**", "**.exe", "**.zip")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

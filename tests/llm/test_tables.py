@@ -48,6 +48,14 @@ def test_rules_over_odd_urls(spark):
     assert urlfilter.judge(pages.limit(0), rules, "allow").count() == 0
 
 
+def test_production_globs_at_the_top_of_a_site(spark):
+    urls = {"https://x.org/login": "block", "https://x.org/login/a": "block", "https://x.org/cart?a=b": "block", "https://x.org/a/b/cart": "block", "https://x.org/a/login": "block", "https://login.org/": "allow", "https://x.org/alogin": "allow"}
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [urlfilter.Rule.prefix(*r) for r in queries.URL_RULES]
+    got = urlfilter.judge(pages, rules, "allow", [urlfilter.Rule(g, "block") for g in queries.URL_GLOBS]).collect()
+    assert {r.page_id: r.verdict for r in got} == dict(enumerate(urls.values()))
+
+
 # --- 4: preference formatting
 
 
