@@ -1,7 +1,7 @@
 """Book archives: zip files of manifest, pages, pictures and corrections, read and written by tasks.
 
 A folder of archives is read with Spark's binaryFile source, one archive per row, and opened in Arrow batches; a book is
-written by the task that holds its members, one archive per row, to any folder by `write_archives`.
+written by the task that holds its members, one archive per row, as the contents that `archives` returns.
 """
 
 from __future__ import annotations
