@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,11 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder of `spark.checkpoint.dir`.
 
-    Where neither the setting nor a checkpoint folder exists (tests on one machine), a temporary folder is used.
+    Where neither the setting nor a checkpoint folder exists, a folder in the warehouse is used in local mode, where one
+    machine is all there is; on a cluster that is an error, as no folder is known to be shared.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint()
 
 
@@ -42,7 +45,7 @@ def unnamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows of about `size` bytes of `column` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,13 +10,15 @@ that length: those whose start is off by no more edits than the segments before
 are hashes of (length, segment, substring); equal ones give candidate pairs, which are verified by the banded
 bit-parallel edit distance: one machine word holds the 2 * edits + 1 diagonals, and a batch of pairs runs side by side.
 
-Before probes are shuffled, a sketch of bounded size (whether none, one or more index entries fall on each of up to 2^28
-slots) drops those that nothing can meet; it only saves work.  Equal lines are told by a 64-bit hash.
+Index and probe entries are dealt by their value to the tasks that pair them, 12 rows of two numbers for each line (with two
+edits); nothing of them is broadcast or sent to the driver.  Equal lines are told by a 64-bit hash.  An entry that is frequent
+within one run of lines (FREQUENT of about RUN) is marked: its rows are dealt by line rather than by entry, so that
+no task gets all lines of one entry, and the mark tells the entry's own task to pass on what other runs sent there.
 
-Entries on which more than LIGHT pairs meet are not paired by a join.  Each of their lines is first verified against the
-earliest line on the other side of the entry; a line that is near it goes, whatever else it meets.  The lines of an entry
-are then compared in tiles of at most 2 * TILE rows inside a task, by length and by counts of code point pairs (an edit changes
-four of them at most), and only pairs that pass, with a line not known to go, are listed and verified.
+Entries that are marked or on which more than LIGHT pairs meet are not paired where they are dealt.  Each of their lines is
+first verified against the earliest line that the entry lets it meet; a line that is near it goes, whatever else it meets.
+The lines of an entry are then compared in tiles of at most 2 * TILE rows inside a task, by length and by counts of code point
+pairs (an edit changes four of them at most), and only pairs that pass, with a line not known to go, are listed and verified.
 
 Defined cases: null texts stay null, empty texts stay empty; rows that repeat both id and text are decided alike, and so
 counted as one; a null id comes first, and texts of one id in the order of a hash; blanks count as text; lines are ended by
@@ -28,15 +30,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, durable, slices, small, unnamed
 from .textbytes import PIECE, mix, powers, utf8
 
-MOST_BITS, LANES = 28, 4
+RUN, FREQUENT, HELD = 1 << 15, 16, 1 << 16
 LIGHT, TILE, BUCKETS = 256, 2048, 64
+#: Kinds of entry rows, in the low bits of their code: the mark of a frequent entry, an index entry (which is a probe too), a probe, and both dealt by line.
+MARK, INDEX, PROBE, FAR_INDEX, FAR_PROBE = range(5)
 _KEY = "_row_key"
 
 
@@ -74,8 +77,8 @@ def line_spans(column: pa.Array) -> tuple[np.ndarray, ...]:
 def line_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int | None = None):
     """(h, length, index, probe) of lines: a hash, the code points, and with `edits` the entries.
 
-    index has the shape (lines, edits + 1) and probe (lines, probes); 0 stands for a probe out of bounds.  The lines are
-    worked on in runs of about a megabyte.
+    index has the shape (lines, edits + 1) and probe (lines, probes); a line probes its own index entries too, so these are not
+    repeated in probe, where 0 stands for one out of bounds.  The lines are worked on in runs of about a megabyte.
     """
     n, parts = len(begin), []
     at = 0
@@ -111,6 +114,8 @@ def _hash_run(data: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int |
             start, size = segment(np.maximum(l, 0), i, edits)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             for off in range(low, high + 1):
+                if shorter == off == 0:
+                    continue
                 at = start + off
                 ok = (l > edits) & (at >= 0) & (at + size <= length)
                 probe.append(np.where(ok, hashed(np.where(ok, at, 0), np.where(ok, size, 0), l, i), np.uint64(0)))
@@ -163,110 +168,128 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn(_KEY, F.xxhash64(F.col(id_col), F.col(text_col)))
 
 
-def line_entries(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row_key, place, h, index, probe) of the lines that count."""
+def counting_lines(batch: pa.RecordBatch, text_col: str, shortest: int):
+    """(data, text, place, begin, end) of the lines of a batch that may count: a line has no more code points than bytes."""
+    data, text, place, begin, end = line_spans(batch.column(text_col))
+    long = end - begin >= shortest
+    return data, text[long], place[long], begin[long], end[long]
 
-    def listed(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel().view(np.int64)))
+
+def line_places(docs: DataFrame, shortest: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row_key, place, h) of the lines that count."""
 
     def run(batches):
-        for batch in slices(batches, text_col, 1 << 20):
-            data, text, place, begin, end = line_spans(batch.column(text_col))
-            long = end - begin >= shortest  # a line has no more code points than bytes
-            text, place = text[long], place[long]
-            h, length, index, probe = line_hashes(data, begin[long], end[long], edits)
+        for batch in slices(batches, text_col):
+            data, text, place, begin, end = counting_lines(batch, text_col, shortest)
+            h, length = line_hashes(data, begin, end)
             counts = length >= shortest
             text = pa.array(text[counts])
-            made = [pa.array(place[counts].astype(np.int32)), pa.array(h[counts].view(np.int64)), listed(index[counts]), listed(probe[counts])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), *made], ["doc_id", "row_key", "place", "h", "index", "probe"])
+            made = [pa.array(place[counts].astype(np.int32)), pa.array(h[counts].view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), *made], ["doc_id", "row_key", "place", "h"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).mapInArrow(run, f"doc_id {kind}, row_key long, place int, h long, index array<long>, probe array<long>")
-
+    return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).mapInArrow(run, f"doc_id {kind}, row_key long, place int, h long")
 
-def slot_bits(lines: int, edits: int) -> int:
-    """Bits of a slot's number: about 16 slots or more for each index entry, within bounds of the sketch's size."""
-    return min(MOST_BITS, max(18, int(16 * max(1, lines) * (edits + 1)).bit_length()))
 
+def line_entries(docs: DataFrame, edits: int, shortest: int, text_col: str) -> DataFrame:
+    """(code, h): a row for each entry of each distinct line of a run of lines; the code is entry and kind (see MARK)."""
 
-def slot_sketch(distinct: DataFrame, bits: int) -> np.ndarray:
-    """How many index entries fall on each slot, 0, 1 or more (2), four slots to a byte: at most 64 MB."""
-    block = 1 << min(20, bits)
-
-    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
-        at, count = np.unique(np.concatenate(held), return_counts=True)
-        rows, first = np.unique(at // block, return_index=True)
-        edge = np.append(first, len(at))
-        slots, many = (at % block).astype(np.uint32), np.minimum(count, 2).astype(np.uint8)
-        blobs = [slots[x:y].tobytes() + many[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        lane = np.full(len(rows), TaskContext.get().partitionId() % LANES, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(lane), pa.array(blobs, pa.binary())], ["rows", "lane", "counts"])
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, index, probe = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, once = np.unique(h, return_index=True)
+        entry = np.concatenate([index[once], probe[once]], axis=1)
+        kind = np.broadcast_to(np.where(np.arange(entry.shape[1]) < index.shape[1], INDEX, PROBE), entry.shape)
+        line = np.broadcast_to(np.arange(len(h))[:, None], entry.shape)[entry != 0]
+        entry, kind = entry[entry != 0] >> np.uint64(3), kind[entry != 0]
+        values, of, count = np.unique(entry, return_inverse=True, return_counts=True)
+        far, marks = count[of] >= FREQUENT, values[count >= FREQUENT]
+        code = np.concatenate([entry << np.uint64(3) | (kind + (FAR_INDEX - INDEX) * far).astype(np.uint64), marks << np.uint64(3)])
+        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.concatenate([h[line], marks]).view(np.int64))], ["code", "h"])
 
     def run(batches):
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(batch.column("index").flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
-            if sum(map(len, held)) > 1 << 21:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in slices(batches, text_col):
+            data, _, _, begin, end = counting_lines(batch, text_col, shortest)
+            h, length, index, probe = line_hashes(data, begin, end, edits)
+            counts = length >= shortest
+            held.append((h[counts], index[counts], probe[counts]))
+            if sum(len(x[0]) for x in held) > RUN:
                 yield sent(held)
                 held = []
         if held:
             yield sent(held)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.int64)
-        for x in group["counts"]:
-            n = len(x) // 5
-            np.add.at(total, np.frombuffer(x[: 4 * n], np.uint32), np.frombuffer(x[4 * n :], np.uint8))
-        at = np.flatnonzero(total)
-        packed = at.astype(np.uint32).tobytes() + np.minimum(total[at], 2).astype(np.uint8).tobytes()
-        return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [packed]})
-
-    shape = "rows int, lane int, counts binary"
-    parts = distinct.select("index").mapInArrow(run, shape).groupBy("rows", "lane").applyInPandas(add, shape)
-    out = np.zeros((1 << bits) // 4, np.uint8)
-    for row in parts.groupBy("rows").applyInPandas(add, shape).toPandas().itertuples():
-        n = len(row.counts) // 5
-        at = np.frombuffer(row.counts[: 4 * n], np.uint32).astype(np.int64) + row.rows * block
-        np.bitwise_or.at(out, at >> 2, np.frombuffer(row.counts[4 * n :], np.uint8) << (2 * (at & 3)).astype(np.uint8))
-    return out
-
-
-def met_entries(distinct: DataFrame, edits: int) -> DataFrame:
-    """(h, entry, probes boolean): the probes that may meet an index entry, and the index entries that they may meet."""
-    bits = slot_bits(distinct.count(), edits)
-    sketch = distinct.sparkSession.sparkContext.broadcast(slot_sketch(distinct, bits))
+    return docs.select(text_col).mapInArrow(run, "code long, h long")
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(entry, x, y): pairs x < y of lines that meet on an entry (entry null), and the lines x of crowded entries, y 1 if x only probes."""
+    kind = F.col("code").bitwiseAND(F.lit(7))
+    dealt = entries.repartition(F.when(kind >= FAR_INDEX, F.col("h")).otherwise(F.shiftright("code", 3))).sortWithinPartitions("code")
+
+    def rows(entry: np.ndarray | None, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        first = pa.nulls(len(x), pa.int64()) if entry is None else pa.array(entry)
+        return pa.RecordBatch.from_arrays([first, pa.array(x), pa.array(y)], ["entry", "x", "y"])
+
+    def crowded(entry: np.ndarray, kind: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        lines = kind != MARK
+        return rows(entry[lines], h[lines], ((kind == PROBE) | (kind == FAR_PROBE))[lines].astype(np.int64))
+
+    def paired(entry: np.ndarray, kind: np.ndarray, h: np.ndarray):
+        """What becomes of whole entries; the rows of an entry are in the order of their kinds."""
+        first = np.concatenate([[0], np.flatnonzero(entry[1:] != entry[:-1]) + 1])
+        size = np.diff(np.append(first, len(entry)))
+        total = lambda which: np.add.reduceat((kind == which).astype(np.int64), first)
+        indexed = total(INDEX)
+        pairs = indexed * (indexed - 1) // 2 + indexed * total(PROBE)
+        full = np.repeat((pairs > LIGHT) | (total(MARK) > 0), size) | (kind >= FAR_INDEX)
+        yield crowded(entry[full], kind[full], h[full])
+        last = np.repeat(first + indexed + total(PROBE), size)  # without marks, index entries and probes come first
+        live, far, out = np.flatnonzero((kind == INDEX) & ~full & (np.repeat(pairs, size) > 0)), 1, []
+        while len(live := live[live + far < last[live]]):
+            a, b = h[live], h[live + far]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b])
+            far += 1
+        if out:
+            yield rows(None, *np.unique(np.concatenate(out, axis=1), axis=1))
 
     def run(batches):
-        packed = sketch.value
+        held, passed = None, None
         for batch in batches:
-            h = np.asarray(batch.column("h"))
-            index, probe = (batch.column(c).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(h), -1) for c in ("index", "probe"))
-            slot = (probe >> np.uint64(64 - bits)).astype(np.int64)
-            count = packed[slot >> 2] >> (2 * (slot & 3)).astype(np.uint8) & 3
-            own = (probe[:, :, None] == index[:, None, :]).any(axis=2)  # a line meets its own segments
-            line, at = np.nonzero((probe != 0) & (count > own))
-            yield pa.RecordBatch.from_arrays([pa.array(h[line]), pa.array(probe[line, at].view(np.int64))], ["h", "entry"])
+            code, h = (batch.column(c).to_numpy() for c in ("code", "h"))
+            if held is not None:
+                code, h = np.concatenate([held[0], code]), np.concatenate([held[1], h])
+            entry, kind = code >> 3, code & 7
+            if passed is not None and len(entry) and (more := int(np.searchsorted(entry, passed, "right"))):
+                yield crowded(entry[:more], kind[:more], h[:more])
+                code, h, entry, kind = code[more:], h[more:], entry[more:], kind[more:]
+            if not len(code):
+                held = None
+                continue
+            cut = int(np.searchsorted(entry, entry[-1]))
+            if cut:
+                yield from paired(entry[:cut], kind[:cut], h[:cut])
+            held = code[cut:], h[cut:]
+            if len(held[0]) > HELD:  # far more than LIGHT pairs
+                passed, held = entry[-1], None
+                yield crowded(entry[cut:], kind[cut:], h[cut:])
+        if held is not None:
+            yield from paired(held[0] >> 3, held[0] & 7, held[1])
 
-    probes = durable(distinct.select("h", "index", "probe").mapInArrow(run, "h long, entry long"))
-    index = distinct.select("h", F.explode("index").alias("entry")).join(probes.select("entry").distinct(), "entry", "left_semi")
-    return durable(probes.withColumn("probes", F.lit(True)).union(index.select("h", "entry", F.lit(False))))
+    return dealt.mapInArrow(run, "entry long, x long, y long")
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def light_pairs(met: DataFrame) -> DataFrame:
-    """(a, b) of different lines that share an entry, a < b."""
-    probes, index = met.where("probes").select(F.col("h").alias("x"), "entry"), met.where("not probes").select(F.col("h").alias("y"), "entry")
-    return ordered(probes.join(index, "entry").where("x <> y"), "x", "y")
-
-
-def leader_pairs(met: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b), a < b: each line of an entry and the earliest line on the entry's other side, if that is earlier."""
-    rows = met.join(firsts.select("h", "first"), "h")
-    leads = rows.groupBy("entry", (~F.col("probes")).alias("probes")).agg(F.min(F.struct("first", "h")).alias("lead"))
-    later = rows.join(leads, ["entry", "probes"]).where(F.col("lead.first") < F.col("first"))
+def leader_pairs(heavy: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b), a < b: each line of an entry and the earliest line that it meets there, if that is earlier."""
+    rows = heavy.join(firsts.select("h", "first"), "h")
+    own = F.struct("first", "h")
+    leads = durable(rows.groupBy("entry").agg(F.min(own).alias("any"), F.min(F.when(~F.col("probes"), own)).alias("indexed")))
+    lead = F.when(F.col("probes"), F.col("indexed")).otherwise(F.col("any"))
+    later = rows.join(small(leads), "entry").withColumn("lead", lead).where(F.col("lead.first") < F.col("first"))
     return ordered(later.withColumn("y", F.col("lead.h")), "h", "y")
 
 
@@ -274,7 +297,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     """(h, n, counts binary): the length of a line and how often pairs of code points fall on each of BUCKETS, 255 at most."""
 
     def run(batches):
-        for batch in slices(batches, "line", 1 << 20):
+        for batch in slices(batches, "line"):
             data, at = code_points(batch.column("line").to_pylist())
             lines = len(at) - 1
             owner = np.repeat(np.arange(lines), np.diff(at))
@@ -287,14 +310,13 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, n long, counts binary")
 
 
-def tile_pairs(met: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -> DataFrame:
+def tile_pairs(lines: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -> DataFrame:
     """(a, b), a < b, of the lines of an entry whose lengths and counts may be within `edits`, unless both are in `gone`."""
-    lines = met.select("entry", "h").distinct()
     tiles = F.ceil(F.col("own") / TILE).cast("int")
     rows = lines.join(lines.groupBy("entry").agg(F.count(F.lit(1)).alias("own")), "entry").withColumn("tiles", tiles)
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     known = durable(counts.join(gone.withColumn("gone", F.lit(True)), "h", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
-    rows = rows.select("entry", "h", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(known, "h")
+    rows = rows.select("entry", "h", "probes", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(known, "h")
     rows = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j", "n", "h")
 
     def pairs(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -302,7 +324,7 @@ def tile_pairs(met: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -
         while len(live := live[live + far < len(x["h"])]):
             live = live[x["n"][live + far] - x["n"][live] <= edits]  # lengths ascend: none further passes either
             other = live + far
-            ok = ~(x["gone"][live] & x["gone"][other]) & ((x["i"][live] == x["j"][live]) | (x["tile"][live] != x["tile"][other]))
+            ok = ~(x["gone"][live] & x["gone"][other]) & ~(x["probes"][live] & x["probes"][other]) & ((x["i"][live] == x["j"][live]) | (x["tile"][live] != x["tile"][other]))
             a, b = live[ok], other[ok]
             ok = np.abs(x["counts"][a] - x["counts"][b]).sum(axis=1) <= 4 * edits
             out.append(np.stack([x["h"][a[ok]], x["h"][b[ok]]]))
@@ -314,7 +336,7 @@ def tile_pairs(met: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("entry", "i", "j", "tile", "h", "n", "gone")}
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("entry", "i", "j", "tile", "h", "n", "gone", "probes")}
             x["counts"] = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
             if held is not None:
                 x = {c: np.concatenate([held[c], x[c]]) for c in x}
@@ -331,23 +353,24 @@ def tile_pairs(met: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -
     return ordered(rows.mapInArrow(run, "x long, y long"), "x", "y")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, id_col: str, text_col: str) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b) of distinct lines within `edits`: all pairs but, on crowded entries, some whose later line goes by another one."""
     firsts = distinct.select("h", "first")
     where = lambda rows: rows.distinct().join(firsts, "h").select("h", "first.row_key", "first.place")
-    met = met_entries(distinct, edits)
-    sizes = met.groupBy("entry").agg((F.count_if("probes") * F.count_if(~F.col("probes"))).alias("pairs"))
-    crowded = durable(sizes.where(F.col("pairs") > LIGHT).select("entry"))
+    met = durable(meetings(line_entries(docs, edits, shortest, text_col)))
+    light = met.where(F.col("entry").isNull()).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    passed = met.where(F.col("entry").isNotNull())
+    crowded = durable(passed.groupBy("entry").agg(F.min("y").alias("least")).where("least = 0").select("entry"))  # the others have probes only
     n_crowded = crowded.count()
     if not n_crowded:
-        pairs, links = durable(light_pairs(met)), None
+        pairs, links = durable(light), None
     else:
-        heavy = durable(met.join(small(crowded, n_crowded), "entry", "left_semi"))
+        heavy = passed.join(small(crowded, n_crowded), "entry").groupBy("entry", F.col("x").alias("h")).agg((F.min("y") > 0).alias("probes"))
+        heavy = durable(heavy)
         texts = durable(texts_of(docs, where(heavy.select("h")), id_col, text_col))
         links = durable(verified(leader_pairs(heavy, firsts), texts, edits))
         order = links.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("fb")), "b")
         gone = order.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
-        light = light_pairs(met.join(small(crowded, n_crowded), "entry", "left_anti"))
         pairs = durable(light.union(tile_pairs(heavy, pair_counts(texts), gone, edits)).distinct())
     near = verified(pairs, texts_of(docs, where(pairs.select(F.explode(F.array("a", "b")).alias("h"))), id_col, text_col), edits)
     return near if links is None else near.union(links).distinct()
@@ -356,10 +379,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, id_col: str, te
 def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h, line) of the lines `wanted` (h, row_key, place), read from the documents that hold them."""
     by_row = durable(wanted.groupBy(F.col("row_key").alias("w_key")).agg(F.collect_list(F.struct("place", "h")).alias("places")))
-    held = keyed(docs, id_col, text_col).join(small(by_row), F.col(_KEY) == F.col("w_key")).select(text_col, "places")
+    lines = by_row.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]  # a row has as many places as its text has lines
+    held = keyed(docs, id_col, text_col).join(small(by_row, lines), F.col(_KEY) == F.col("w_key")).select(text_col, "places")
 
     def run(batches):
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col):
             found = [(p["h"], parts[p["place"]]) for text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for parts in [text.split("\n")] for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([line for _, line in found], pa.string())], ["h", "line"])
 
@@ -370,7 +394,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs whose lines are within `edits`."""
 
     def run(batches):
-        for batch in slices(batches, "x", 1 << 20):
+        for batch in slices(batches, "x"):
             near = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
@@ -381,12 +405,12 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 def judged_lines(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
     """(h, f_key, f_place, near) of the distinct lines of which a copy goes: f_* is the first place, near whether that goes too."""
     first = F.struct("doc_id", "row_key", "place")
-    found = line_entries(docs, edits, shortest, id_col, text_col)
+    found = line_places(docs, shortest, id_col, text_col)
     # rows that repeat id and text repeat (row_key, place); such lines go nowhere by themselves
     many = (F.max("row_key") != F.min("row_key")) | (F.max("place") != F.min("place"))
-    distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), many.alias("many"), F.first("index").alias("index"), F.first("probe").alias("probe")))
+    distinct = durable(found.groupBy("h").agg(F.min(first).alias("first"), many.alias("many")))
     firsts = distinct.select("h", "first", "many")
-    near = near_lines(docs, distinct, edits, id_col, text_col)
+    near = near_lines(docs, distinct, edits, shortest, id_col, text_col)
     both = near.union(near.select("b", "a")).toDF("h", "other").join(firsts.select(F.col("h").alias("other"), F.col("first").alias("earliest")), "other")
     earlier = both.groupBy("h").agg(F.min("earliest").alias("earliest"))
     judged = firsts.join(earlier, "h", "left").withColumn("near", F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)))
@@ -424,7 +448,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
 
         def run(batches):
             keys, f_key, f_place, near = known.value
-            for batch in slices(batches, text_col, 1 << 20):
+            for batch in slices(batches, text_col):
                 spans = line_spans(batch.column(text_col))
                 data, text, place, begin, end = spans
                 gone, long = np.zeros(len(text), bool), np.flatnonzero(end - begin >= shortest)
@@ -439,12 +463,12 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
 
         out = rows.select(*own, text_col, _KEY).mapInArrow(run, shape)
     else:
-        lines = line_entries(docs, edits, shortest, id_col, text_col).select("row_key", "place", "h").join(judged, "h")
+        lines = line_places(docs, shortest, id_col, text_col).select("row_key", "place", "h").join(judged, "h")
         is_first = (F.col("row_key") == F.col("f_key")) & (F.col("place") == F.col("f_place"))
         gone_places = lines.where(F.col("near") | ~is_first).groupBy(F.col("row_key").alias("_g_key")).agg(F.collect_set("place").alias("_gone"))
 
         def run(batches):
-            for batch in slices(batches, text_col, 1 << 20):
+            for batch in slices(batches, text_col):
                 spans = line_spans(batch.column(text_col))
                 gone, first = np.zeros(len(spans[1]), bool), np.searchsorted(spans[1], np.arange(batch.num_rows))
                 for i, places in enumerate(batch.column("_gone").to_pylist()):

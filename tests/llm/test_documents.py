@@ -153,11 +153,13 @@ def deduped(rows, edits, shortest):
     return out
 
 
-@pytest.mark.parametrize("limit, light, tile", [(lines.BROADCAST_ROWS, lines.LIGHT, lines.TILE), (-1, 3, 4)])
-def test_line_dedup_equals_brute_force(make, odd_rows, limit, light, tile, monkeypatch):
+@pytest.mark.parametrize("limit, light, tile, run, frequent, held", [(lines.BROADCAST_ROWS, lines.LIGHT, lines.TILE, lines.RUN, lines.FREQUENT, lines.HELD), (-1, 3, 4, 3, 2, 9), (50, 20, 8, 10, 99, 25)])
+def test_line_dedup_equals_brute_force(make, odd_rows, limit, light, tile, run, frequent, held, monkeypatch):
     monkeypatch.setattr(lines, "BROADCAST_ROWS", limit)  # with and without a broadcast of the repeated lines
     monkeypatch.setattr(lines, "LIGHT", light)  # with and without crowded entries, in several tiles
     monkeypatch.setattr(lines, "TILE", tile)
+    for name, value in (("RUN", run), ("FREQUENT", frequent), ("HELD", held)):  # with and without marked entries and long ones
+        monkeypatch.setattr(lines, name, value)
     rnd = random.Random(4)
     base = ["".join(rnd.choice("abcdé ") for _ in range(rnd.randrange(8, 40))) for _ in range(12)]
     rows = [r for r in odd_rows if r[0] != 4]
