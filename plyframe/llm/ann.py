@@ -2,16 +2,17 @@
 
 Coarse centroids and the codebooks of the residuals' parts are fitted on a bounded sample (`sample` rows, by hash of
 the id); every row is indexed: it goes to its nearest centroid's list with the codes of its residual.  A query probes the
-lists whose centroids are nearest, scores their rows by a table of products of its parts with the codewords (asymmetric:
+lists whose centroids are nearest, scores their rows by tables of products of its parts with the codewords (asymmetric:
 the query is not quantised), and reranks by the exact cosine in doubles: in each piece of a list the best `rerank`, all
 rows tied with them, and all that the quantisation error of their residuals lets be among the k best of the piece.  So the
 result is exact, down to the smaller ids of equal rows, over the probed lists; only lists that are not probed lose rows.
 How many lists are probed is fitted on the sample too: the fewest that hold `hold` of the true neighbours of 200 of its
-rows.  Lists are split into pieces of about `piece` rows and queries into chunks of as many, so one list may hold any share of
-all rows and any number of queries may probe it.
+rows.  Equal vectors are one row of the index.  Lists are split by hash into pieces of about `piece` rows, and where more than
+`chunk` queries probe a list these are split too, so one list may hold any share of all rows and be probed by all queries.
 
 Defined cases: see `vectors`; zero vectors take no part; a query's own id is no candidate; repeated rows count once;
-with fewer candidates than k all are returned (a small table is one list).
+with fewer candidates than k all are returned (a small table is one list).  The index holds the vectors of the most frequent
+length; those of other lengths are searched without one.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
-from .vectors import Best, matrix, merge, usable
+from .common import durable, in_arrow
+from .vectors import Best, compared, matrices, merge, usable
 
 
 @dataclass(frozen=True)
@@ -90,9 +91,45 @@ def fit(x: np.ndarray, lists: int, parts: int, k: int, hold: float, seed: int =
     return Model(centres, books, max(1, min(lists, probes)))
 
 
+def pieces_and_chunks(filed: DataFrame, probes: DataFrame, piece: int, chunk: int) -> DataFrame:
+    """(list, pieces, chunks): into how many parts the rows of a list and the queries that probe it are split; a row per list."""
+    rows = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    asked = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    return durable(rows.join(asked, "list"))
+
+
+def scored(codes: np.ndarray, error: np.ndarray, exact: np.ndarray, own_ids: list[np.ndarray], q_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> Best:
+    """The k nearest of each query among the rows of one piece: quantised scores by table, exact ones for what these leave."""
+    near = np.zeros((len(q), len(codes)))
+    for p in range(codes.shape[1]):
+        near += tables[:, p, :][:, codes[:, p]]  # the list's own product is the same for all its rows
+    keep = np.ones(near.shape, bool)
+    if len(codes) > max(rerank, k):
+        tied = np.partition(near, -rerank, axis=1)[:, -rerank, None]
+        least = np.partition(near - error, -k - 1, axis=1)[:, -k - 1, None]  # k rows and the query itself may be as near as that
+        keep = (near >= tied) | (near + error >= least)
+    length = np.linalg.norm(exact, axis=1)
+    about = np.where(keep, (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (exact / length[:, None]).T, -np.inf)
+    if len(codes) > k + 1:
+        about[about < np.partition(about, -k - 1, axis=1)[:, -k - 1, None] - 1e-9] = -np.inf
+    row, col = np.nonzero(about > -np.inf)
+    # by pair, not as one matrix product: equal rows then score equally, wherever they stand
+    score = (exact[col] * q[row]).sum(axis=1) / (length[col] * np.linalg.norm(q[row], axis=1))
+    times = np.array([len(own_ids[c]) for c in col], np.int64)
+    row, score, ids = np.repeat(row, times), np.repeat(score, times), np.concatenate([np.zeros(0, np.int64), *[own_ids[c] for c in col]])
+    best = Best(len(q), k)
+    other = ids != q_ids[row]
+    row, score, ids = row[other], score[other], ids[other]
+    order = np.lexsort((ids, -score, row))
+    row, score, ids = row[order], score[order], ids[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    best.row, best.score, best.id = row[top], score[top], ids[top]
+    return best
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-    lists: int | None = None, parts: int = 16, sample: int = 20_000, hold: float = 0.98, rerank: int = 64, piece: int = 4096,
+    lists: int | None = None, parts: int = 16, sample: int = 20_000, hold: float = 0.98, rerank: int = 64, piece: int = 4096, chunk: int = 1024,
 ) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the k nearest found, score the exact cosine.
 
@@ -100,68 +137,72 @@ def search(
     """
     some = lambda df: usable(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
     rows, asked = some(vectors), some(queries)
-    n = rows.count()
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(2).collect()
+    if not lengths:
+        return merge(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
+    usual, n = lengths[0]["d"], lengths[0]["count"]
+    found = indexed(rows.where(F.size("v") == usual), asked.where(F.size("v") == usual), n, k, lists, parts, sample, hold, rerank, piece, chunk)
+    if len(lengths) > 1:  # vectors of other lengths have no index: they are compared one by one
+        found = found.unionByName(compared(rows.where(F.size("v") != usual), asked.where(F.size("v") != usual), lambda q_ids, q, _, c_ids, c: cosines(q_ids, q, c_ids, c, k), "double"))
+    return merge(found, k)
+
+
+def cosines(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Best:
+    """The k nearest of each query in one bucket, without an index."""
+    best, length = Best(len(q), k), np.linalg.norm(c, axis=1)
+    for at in range(len(q)):
+        score = (c * q[at]).sum(axis=1) / (length * np.linalg.norm(q[at]))
+        best.add(np.where(c_ids == q_ids[at], -np.inf, score)[None, :], c_ids, np.array([at]))
+    return best
+
+
+def indexed(rows: DataFrame, asked: DataFrame, n: int, k: int, lists: int | None, parts: int, sample: int, hold: float, rerank: int, piece: int, chunk: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest rows of each piece that a query meets; all vectors have one length."""
     lists = lists or (1 if n < 256 else min(4096, max(2, round(n**0.5 / 4))))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1))) < sample).limit(2 * sample).toPandas().sort_values("vec_id")
-    if not len(drawn):  # nothing to search, or ids whose hashes all lie above the sample's
+    if not len(drawn):  # ids whose hashes all lie above the sample's
         drawn = rows.limit(sample).toPandas()
-    if not len(drawn):
-        return merge(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0), k)
     x = unit(np.stack(drawn["v"].tolist()))
     parts = next(p for p in range(min(parts, x.shape[1]), 0, -1) if x.shape[1] % p == 0)
     model = rows.sparkSession.sparkContext.broadcast(fit(x, lists, parts, k, hold))
+    # equal vectors are one row of the index, with the k + 1 smallest of their ids: no others can be among the k nearest
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    once = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
     def index(batches):
         for batch in batches:
-            ids, v = matrix(batch)
-            if len(ids):
+            for (v,) in matrices(batch, ()):
                 own = model.value.assign(unit(v))
                 codes = model.value.encode(unit(v), own)
                 error = np.linalg.norm(unit(v) - model.value.decode(codes, own), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(ids), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([r.tobytes() for r in v], pa.binary())], ["list", "vec_id", "codes", "error", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([r.tobytes() for r in v], pa.binary())], ["list", "ids", "codes", "error", "v"])
 
     def probe(batches):
         for batch in batches:
-            ids, v = matrix(batch)
-            if len(ids):
+            for ids, v in matrices(batch):
                 at = np.argsort(-(unit(v) @ model.value.centroids.T), axis=1)[:, : model.value.probes]
                 yield pa.RecordBatch.from_arrays([pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), pa.array(ids), pa.array([r.tobytes() for r in v], pa.binary())], ["lists", "query_id", "q"])
 
-    filed = durable(rows.mapInArrow(index, "list int, vec_id long, codes binary, error double, v binary"))
-    sizes = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
-    places = {r["list"]: r["pieces"] for r in sizes.collect()}  # one row per list: at most 4096
-    pieces = F.create_map(*[F.lit(v) for kv in places.items() for v in kv])
-    spread = F.pmod(F.monotonically_increasing_id(), F.element_at(pieces, F.col("list"))).cast("int")  # stable: it reads a checkpoint
-    chunks = max(1, -(-asked.count() // piece))
-    left = filed.withColumn("piece", spread).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    probes = asked.mapInArrow(probe, "lists array<int>, query_id long, q binary").withColumn("list", F.explode("lists")).drop("lists")
-    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    right = probes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(pieces, F.col("list")), F.lit(1)) - 1)))
+    filed = durable(in_arrow(once.select("ids", "v"), index, "list int, ids array<long>, codes binary, error double, v binary"))
+    probes = durable(in_arrow(asked, probe, "lists array<int>, query_id long, q binary"))
+    probes = probes.withColumn("list", F.explode("lists")).drop("lists")
+    split = F.broadcast(pieces_and_chunks(filed, probes, piece, chunk))  # a row per list, at most 4096 by default
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    spread = lambda value, count: F.pmod(F.xxhash64(value), F.col(count)).cast("int")
+    left = filed.join(split, "list").withColumn("piece", spread("v", "pieces")).withColumn("chunk", every("chunks")).drop("pieces", "chunks")
+    right = probes.join(split, "list").withColumn("chunk", spread("query_id", "chunks")).withColumn("piece", every("pieces")).drop("pieces", "chunks")
 
     def run(key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(c) or not len(q):
-            return empty
-        ids, exact = c["vec_id"].to_numpy(), np.stack([np.frombuffer(v) for v in c["v"]])
-        codes, error = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]]), c["error"].to_numpy() + 1e-9
-        q_ids, asked_v = q["query_id"].to_numpy(), np.stack([np.frombuffer(v) for v in q["q"]])
-        tables = model.value.tables(unit(asked_v))
-        length, out, part = np.linalg.norm(exact, axis=1), [], np.arange(codes.shape[1])
-        for i in range(len(q_ids)):
-            near = tables[i][part, codes].sum(axis=1)  # the list's own product is the same for all its rows
-            other = ids != q_ids[i]
-            keep = np.flatnonzero(other)
-            if len(keep) > max(rerank, k):
-                tied = near >= np.partition(near[keep], -rerank)[-rerank]
-                least = np.partition((near - error)[keep], -k)[-k]  # k rows are at least as near as that
-                keep = np.flatnonzero(other & (tied | (near + error >= least)))
-            if len(keep):
-                # by row, not as one matrix product: equal rows then score equally, wherever they stand
-                score = (exact[keep] * asked_v[i]).sum(axis=1) / (length[keep] * np.linalg.norm(asked_v[i]))
-                best = Best(1, k)
-                best.add(score[None, :], ids[keep])
-                out.append(pd.DataFrame({"query_id": np.full(len(best.id), q_ids[i]), "vec_id": best.id, "score": best.score}))
-        return pd.concat(out) if out else empty
-
-    found = left.groupBy("list", "piece", "chunk").cogroup(right.groupBy("list", "piece", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
-    return merge(found, k)
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(c) and len(q):
+            exact, ids = np.stack([np.frombuffer(v) for v in c["v"]]), [np.asarray(i, np.int64) for i in c["ids"]]
+            codes, error = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]]), c["error"].to_numpy() + 1e-9
+            q_ids, v = q["query_id"].to_numpy(), np.stack([np.frombuffer(v) for v in q["q"]])
+            for at in range(0, len(q_ids), 256):  # so many queries at once keep the scores of a piece at some megabytes
+                part = slice(at, at + 256)
+                best = scored(codes, error, exact, ids, q_ids[part], v[part], model.value.tables(unit(v[part])), k, rerank)
+                out.append(pd.DataFrame({"query_id": q_ids[part][best.row], "vec_id": best.id, "score": best.score}))
+        return pd.concat(out)
+
+    keys = ("list", "piece", "chunk")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")

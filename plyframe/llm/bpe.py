@@ -21,7 +21,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import in_arrow, slices
 
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK = 1 << 18
@@ -54,7 +54,7 @@ def encode_text(text: str, enc: tiktoken.Encoding, chunk: int = CHUNK) -> np.nda
 def _run(rank_file: str, pattern: str, text_col: str, decoded: bool):
     def run(batches):
         enc = encoding(rank_file, pattern)
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col):
             lengths, ids, raw = [0], [np.zeros(0, np.int32)], []
             for text in batch.column(text_col).to_pylist():
                 own = encode_text(text or "", enc)
@@ -72,7 +72,7 @@ def _run(rank_file: str, pattern: str, text_col: str, decoded: bool):
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(id_col, n_tokens long, ids array<int>) of every text; with `decoded` the bytes of the ids too, in the same pass."""
     shape = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>" + ", decoded binary" * decoded
-    return docs.select(id_col, text_col).mapInArrow(_run(rank_file, pattern, text_col, decoded), shape)
+    return docs.select(id_col, text_col).transform(in_arrow, _run(rank_file, pattern, text_col, decoded), shape)
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -85,4 +85,4 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(raw, pa.binary())], [id_col, "decoded"])
 
     shape = f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, decoded binary"
-    return encoded.select(id_col, "ids").mapInArrow(run, shape)
+    return encoded.select(id_col, "ids").transform(in_arrow, run, shape)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and has at most this many rows of a few numbers each.
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
 #: Words are runs of code points other than these blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,3 +58,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20)
         step = max(1, size // per)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold free back to the machine: idle Python workers then stay small."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` that releases memory at the end of each task.
+
+    Batches are held to BATCH_BYTES where the session does not say otherwise: ten thousand long texts would be one batch.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "") == "":
+        conf.set(key, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)

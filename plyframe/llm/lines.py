@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, slices, small, unnamed
+from .common import BROADCAST_ROWS, durable, in_arrow, slices, small, unnamed
 from .textbytes import PIECE, mix, powers, utf8
 
 RUN, FREQUENT, HELD = 1 << 15, 16, 1 << 16
@@ -188,7 +188,7 @@ def line_places(docs: DataFrame, shortest: int, id_col: str, text_col: str) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), *made], ["doc_id", "row_key", "place", "h"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).mapInArrow(run, f"doc_id {kind}, row_key long, place int, h long")
+    return keyed(docs, id_col, text_col).select(id_col, _KEY, text_col).transform(in_arrow, run, f"doc_id {kind}, row_key long, place int, h long")
 
 
 def line_entries(docs: DataFrame, edits: int, shortest: int, text_col: str) -> DataFrame:
@@ -219,7 +219,7 @@ def line_entries(docs: DataFrame, edits: int, shortest: int, text_col: str) -> D
         if held:
             yield sent(held)
 
-    return docs.select(text_col).mapInArrow(run, "code long, h long")
+    return docs.select(text_col).transform(in_arrow, run, "code long, h long")
 
 
 def meetings(entries: DataFrame) -> DataFrame:
@@ -276,7 +276,7 @@ def meetings(entries: DataFrame) -> DataFrame:
         if held is not None:
             yield from paired(held[0] >> 3, held[0] & 7, held[1])
 
-    return dealt.mapInArrow(run, "entry long, x long, y long")
+    return dealt.transform(in_arrow, run, "entry long, x long, y long")
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -307,7 +307,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
             blob = np.minimum(total, 255).astype(np.uint8).reshape(lines, BUCKETS)
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(np.diff(at)), pa.array([x.tobytes() for x in blob], pa.binary())], ["h", "n", "counts"])
 
-    return texts.mapInArrow(run, "h long, n long, counts binary")
+    return texts.transform(in_arrow, run, "h long, n long, counts binary")
 
 
 def tile_pairs(lines: DataFrame, counts: DataFrame, gone: DataFrame, edits: int) -> DataFrame:
@@ -350,7 +350,7 @@ def tile_pairs(lines: DataFrame, counts: DataFrame, gone: DataFrame, edits: int)
             a, b = pairs(held)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["x", "y"])
 
-    return ordered(rows.mapInArrow(run, "x long, y long"), "x", "y")
+    return ordered(rows.transform(in_arrow, run, "x long, y long"), "x", "y")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
@@ -387,7 +387,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
             found = [(p["h"], parts[p["place"]]) for text, places in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for parts in [text.split("\n")] for p in places]
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([line for _, line in found], pa.string())], ["h", "line"])
 
-    return held.mapInArrow(run, "h long, line string").dropDuplicates(["h"])
+    return held.transform(in_arrow, run, "h long, line string").dropDuplicates(["h"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -399,7 +399,7 @@ def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").transform(in_arrow, run, "a long, b long")
 
 
 def judged_lines(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
@@ -461,7 +461,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
                     gone[long] = (length >= shortest) & (keys[at] == h) & (near[at] | ~is_first)
                 yield _rebuilt(batch, names, text_col, gone, spans)
 
-        out = rows.select(*own, text_col, _KEY).mapInArrow(run, shape)
+        out = rows.select(*own, text_col, _KEY).transform(in_arrow, run, shape)
     else:
         lines = line_places(docs, shortest, id_col, text_col).select("row_key", "place", "h").join(judged, "h")
         is_first = (F.col("row_key") == F.col("f_key")) & (F.col("place") == F.col("f_place"))
@@ -476,7 +476,7 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
                         gone[first[i] + np.array(places)] = True
                 yield _rebuilt(batch, names, text_col, gone, spans)
 
-        out = rows.join(gone_places, F.col(_KEY) == F.col("_g_key"), "left").select(*own, text_col, "_gone").mapInArrow(run, shape)
+        out = rows.join(gone_places, F.col(_KEY) == F.col("_g_key"), "left").select(*own, text_col, "_gone").transform(in_arrow, run, shape)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, small, unnamed
+from .common import durable, in_arrow, slices, small, unnamed
 from .components import components
 from .textbytes import mix, shingles, utf8, words
 
-HEAVY, BLOCK, BUCKET_NGRAMS, SKETCH_BITS, LANES = 64, 4096, 2_000_000, 22, 64
+HEAVY, BLOCK, BUCKET_NGRAMS, SKETCH_BITS, LANES = 64, 1024, 2_000_000, 22, 64
 _ROWS = 1 << 16
 
 
@@ -85,23 +85,34 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
             at, count = np.unique(np.concatenate(found) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             at = at.astype(np.int64)
             total[at] = np.minimum(total[at] + np.minimum(count, 255), 255)
-        total = total.astype(np.uint8).reshape(-1, _ROWS)
-        lane = np.full(len(total), TaskContext.get().partitionId() % LANES, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(lane), pa.array([x.tobytes() for x in total], pa.binary())], ["rows", "lane", "counts"])
-
-    def add(kind):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            total = np.zeros(_ROWS, np.uint32)
-            for x in group["counts"]:
-                total += np.frombuffer(x, kind)
-            return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [total.tobytes()]})
-
-        return run
+        blobs = [packed(x) for x in total.astype(np.uint8).reshape(-1, _ROWS)]
+        rows = np.flatnonzero([len(x) > 0 for x in blobs])
+        lane = np.full(len(rows), TaskContext.get().partitionId() % LANES, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(lane), pa.array([blobs[i] for i in rows], pa.binary())], ["rows", "lane", "counts"])
+
+    def packed(x: np.ndarray) -> bytes:
+        """The counts of a block, or where that is shorter the places and counts that are not 0."""
+        at = np.flatnonzero(x)
+        return x.tobytes() if 3 * len(at) >= _ROWS else at.astype(np.uint16).tobytes() + x[at].tobytes()
+
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(_ROWS, np.uint32)
+        for x in group["counts"]:
+            if len(x) == _ROWS:
+                total += np.frombuffer(x, np.uint8)
+            else:
+                n = len(x) // 3
+                total[np.frombuffer(x[: 2 * n], np.uint16)] += np.frombuffer(x[2 * n :], np.uint8)
+        return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [total.tobytes()]})
+
+    def second(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.uint32) for x in group["counts"])
+        return pd.DataFrame({"rows": [group["rows"].iloc[0]], "lane": [0], "counts": [total.astype(np.uint32).tobytes()]})
 
     shape = "rows int, lane int, counts binary"
-    parts = docs.select(text_col).mapInArrow(run, shape).groupBy("rows", "lane").applyInPandas(add(np.uint8), shape)
+    parts = docs.select(text_col).transform(in_arrow, run, shape).groupBy("rows", "lane").applyInPandas(first, shape)
     out = np.zeros((1 << SKETCH_BITS) // _ROWS * _ROWS, np.uint32)
-    for row in parts.groupBy("rows").applyInPandas(add(np.uint32), shape).toPandas().itertuples():
+    for row in parts.groupBy("rows").applyInPandas(second, shape).toPandas().itertuples():
         out[row.rows * _ROWS : (row.rows + 1) * _ROWS] = np.frombuffer(row.counts, np.uint32)
     return out
 
@@ -129,7 +140,7 @@ def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     shape = f"doc_id {kind}, node long, n long, tokens array<long>" + (", row long" if row_col else "")
-    return docs.select(id_col, text_col, *([row_col] if row_col else [])).mapInArrow(run, shape)
+    return docs.select(id_col, text_col, *([row_col] if row_col else [])).transform(in_arrow, run, shape)
 
 
 def rows_of(docs: DataFrame, owners: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +154,7 @@ def rows_of(docs: DataFrame, owners: DataFrame, wanted: DataFrame, n: int, id_co
             found = [s for s in sets(batch.column(text_col), n) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "row"])
 
-    return texts.mapInArrow(run, "node long, row binary").join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return texts.transform(in_arrow, run, "node long, row binary").join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def cluster(percent: int):
@@ -187,6 +198,7 @@ def heavy_links(docs: DataFrame, owners: DataFrame, columns: DataFrame, n: int,
 def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
     """(a, b, na, nb, shared) of the pairs of unconnected rows, a the smaller, that the first block leaves possible."""
     mixed = columns.groupBy("h").agg(F.count(F.lit(1)).alias("own"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("h", "own")
+    mixed = durable(mixed)
     blocks = F.ceil(F.col("own") / BLOCK).cast("int")
     rows = columns.join(mixed, "h").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -224,7 +236,7 @@ def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
         if held is not None:
             yield pairs(held)
 
-    found = rows.mapInArrow(run, "a long, b long, na long, nb long, room long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.min("room").alias("room"))
+    found = rows.transform(in_arrow, run, "a long, b long, na long, nb long, room long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"), F.min("room").alias("room"))
     needed = F.ceil(F.lit(bounds.percent) * (F.col("na") + F.col("nb")) / F.lit(100 + bounds.percent))
     rest = F.greatest(F.ceil(F.lit(2 * bounds.percent) * F.col("na") / F.lit(100 + bounds.percent)), F.ceil(F.lit(bounds.percent) * F.col("nb") / F.lit(100))) - 1
     # room is that of the last shared column: beyond the shared ones no more can follow than lie behind it
@@ -246,7 +258,7 @@ def full_products(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
     with_b = pairs.select("a", "b").join(rows.select(F.col("node").alias("b"), F.col("row").alias("y")), "b")
     both = with_b.join(rows.select(F.col("node").alias("a"), F.col("row").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    return both.select("a", "b", "x", "y").transform(in_arrow, run, "u long, v long")
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -262,7 +274,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     owners = durable(members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")))
     nodes = all_rows.where(F.col("node").isNotNull()).select("node", "n", "tokens").dropDuplicates(["node"])
     entries = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "h"))
-    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1")
+    # written first, so that both sides of the join are dealt anew and a hot column can be split
+    shared = durable(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1"))
     columns = durable(entries.join(shared, "h"))
     links = None
     if columns.where(F.col("m") >= HEAVY).limit(1).count():

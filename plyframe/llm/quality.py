@@ -6,8 +6,11 @@ target model counts the documents of a bounded, documented sample of labelled ro
 are labelled good.  A document's log weight is the sum over its n-grams of log p_target - log p_raw, less a constant
 `cut` per n-gram; the constant is fitted on a part of the labelled sample that the target model has not seen, so that a
 positive weight means "likelier to be labelled good", with a rejected good document as costly as `clean_cost` kept bad ones.
-Documents are then drawn without replacement by Gumbel top-k: the k highest of log weight + temperature * Gumbel noise
-stay, where the noise is a hash of the id (reruns agree) and k defaults to the number of positive weights.
+The log odds of the two labels are added once for each document.  Documents are then drawn without replacement, with chances
+in proportion to their weights, by Gumbel top-k: the k highest of log weight + Gumbel noise stay, where the noise is a
+hash of the id (reruns agree).  k is `share` of the documents with n-grams; by default the share whose weight is positive.
+Weights of long texts lie far apart, so the noise decides among short ones and among those near the bound; a `temperature`
+above 1 draws more evenly.
 
 Defined cases: a text without n-grams (null, empty, blank) has no weight and is never drawn; rows with equal keys (such
 as repeated rows) are kept or rejected alike; without labels of both kinds the cut is 0; other columns pass through.
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices, unnamed
+from .common import durable, in_arrow, slices, unnamed
 from .textbytes import BLANK, mix, utf8, words
 
 _KINDS = np.full(256, 2, np.uint8)
@@ -64,7 +67,7 @@ def counts(docs: DataFrame, bits: int, text_col: str, target_col: str) -> np.nda
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
-    parts = docs.select(text_col, target_col).mapInArrow(run, "bucket long, raw long, target long")
+    parts = docs.select(text_col, target_col).transform(in_arrow, run, "bucket long, raw long, target long")
     out = np.zeros((2, 1 << bits), np.int64)
     for row in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas().itertuples():
         out[:, row.bucket] = row.raw, row.target
@@ -94,7 +97,7 @@ def weigh(docs: DataFrame, model: Model, keep: list[str], text_col: str, tempera
 
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     weight = F.when(F.col("n_ngrams") > 0, F.col("ratio") - F.lit(model.cut) * F.col("n_ngrams") + F.lit(model.prior))
-    rows = docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    rows = docs.select(*dict.fromkeys([*keep, text_col])).transform(in_arrow, run, schema)
     return rows.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
 
 
@@ -110,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 16, label_rows: int = 40
     step = 1 / 256
     bins = scored.groupBy(F.floor(F.col("ratio") / F.col("n_ngrams") / F.lit(step)).alias("bin"), "good").count().toPandas()
     good, bad = (int(bins.loc[bins["good"] == kind, "count"].sum()) for kind in (True, False))
-    prior = max(0.0, float(np.log(good / bad))) if good and bad else 0.0
+    prior = float(np.log(good / bad)) if good and bad else 0.0
     return Model(plain.ratio, best_cut(bins, clean_cost) * step, prior)
 
 
@@ -147,20 +150,21 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.05, seed: int = 17, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **fitting,
+    docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, seed: int = 17, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", **fitting,
 ) -> tuple[DataFrame, Model, float | None]:
     """(decisions, model, threshold): decisions are (id, n_ngrams, log_weight, key, kept) of every document."""
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col, **fitting)
     scored = durable(weigh(docs, model, [id_col], text_col, temperature, id_col, seed).drop("ratio"))
-    k = scored.where(F.col("log_weight") > 0).count() if k is None else k
+    n, positive = scored.agg(F.count("log_weight"), F.count_if(F.col("log_weight") > 0)).first()
+    k = positive if share is None else round(share * n)
     least = kth_largest(scored, "key", k)
     kept = F.lit(False) if least is None else F.coalesce(F.col("key") >= F.lit(least), F.lit(False))
     return scored.withColumn("kept", kept), model, least
 
 
-def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **fitting) -> DataFrame:
     """The rows of `docs` that are drawn, with their columns.  Texts are scored again rather than shuffled."""
-    _, model, least = resample(docs, labels, None, temperature, seed, None, id_col, text_col, **fitting)
+    _, model, least = resample(docs, labels, share, temperature, seed, None, id_col, text_col, **fitting)
     if least is None:
         return docs.limit(0)
     plain, names = unnamed(docs)

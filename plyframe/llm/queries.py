@@ -16,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Judged where no rule fits: globs of pages that are no prose.
-URL_GLOBS = ("*/login**", "*/**/login**", "*/cart**", "*/**/cart**", "**.exe", "**.zip")
+#: Judged where no rule fits: globs of pages that are no prose.  The SQL is made from them.
+URL_GLOBS = ("*/login**", "*/**/login**", "*/cart**", "*/**/cart**", "*/**.exe", "*/**.zip")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def op2_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules, "allow", [urlfilter.Rule(g, "block") for g in URL_GLOBS])
 
 
-OP2_SQL = r"""
+OP2_SQL = rf"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 s AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
@@ -38,7 +38,7 @@ r(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'bloc
 m AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
       FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT s.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN path LIKE '/%/login%' OR path LIKE '/login%' OR path LIKE '/%/cart%' OR path LIKE '/cart%' OR path LIKE '%.exe' OR path LIKE '%.zip' THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN regexp_full_match('.' || host || path, '{"|".join(urlfilter.as_regex(g) for g in URL_GLOBS)}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM s LEFT JOIN m USING (page_id)
 """
 

@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, in_arrow, slices
 from .textbytes import BLANK, LOWER, hash_spans, mix, pieces, spans, utf8
 
 #: Common insults, and second-person words, of English, French, German and Spanish.
@@ -149,7 +149,7 @@ def learn_lexicon(texts: DataFrame, entries_kept: int, least: int, text_col: str
     """The words and beginnings that stand in more toxic texts than chance, by G2, at most `entries_kept` of them."""
 
     def run(batches):
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col):
             data, offsets = utf8(batch.column(text_col))
             toxic = np.asarray(batch.column("toxic"), bool)
             found = []
@@ -167,7 +167,7 @@ def learn_lexicon(texts: DataFrame, entries_kept: int, least: int, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(bad), pa.array(both - bad)], ["entry", "bad", "good"])
 
     n_bad, n_good = texts.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    counted = texts.select(text_col, "toxic").mapInArrow(run, "entry long, bad long, good long")
+    counted = texts.select(text_col, "toxic").transform(in_arrow, run, "entry long, bad long, good long")
     counted = counted.groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least)
     odds = F.log((F.col("bad") + 0.5) / F.lit(n_bad + 1)) - F.log((F.col("good") + 0.5) / F.lit(n_good + 1))
     best = counted.withColumn("odds", odds).where(F.col("odds") > 1.5).orderBy(F.desc(F.col("bad") * F.col("odds")), "entry").limit(entries_kept).toPandas()
@@ -183,7 +183,7 @@ def featurise(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str)
             x = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], x], [*keep, "x"])
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).transform(in_arrow, run, schema)
 
 
 def score(

@@ -1,7 +1,7 @@
 """URL filter: many wildcard rules simulated at once by a bit-parallel automaton.
 
 Every rule is a glob over a canonical URL (see `canonical`): `**` stands for any run of bytes, `*` for any run without
-`/`, `?` for one character other than `/`; all else stands for itself.  A rule of m symbols is a chain of m + 1 states;
+`/`, `?` for one character other than `/`; all else, and what follows a backslash, stands for itself.  A rule of m symbols is a chain of m + 1 states;
 wildcards are loops on a state, so no empty moves are needed.  The chains of all rules are packed one after another
 into words of 64 bits.  One step for a byte c is the extended Shift-And
 
@@ -16,6 +16,7 @@ repeated rows are judged each; columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -59,7 +60,14 @@ class Rule:
     @staticmethod
     def prefix(host: str, path: str, verdict: str) -> Rule:
         """A rule for a host with all its subdomains and the paths that start with `path`."""
-        return Rule(f"*.{host}{path}**", verdict, host + path)
+        literal = re.sub(r"([\\*?])", r"\\\1", host + path)
+        return Rule(f"*.{literal}**", verdict, host + path)
+
+
+def as_regex(glob: str) -> str:
+    """The same pattern as a regular expression for whole canonical URLs, for engines that have no globs."""
+    parts = {"**": "(?s:.*)", "*": "[^/]*", "?": "[^/]"}
+    return "".join(parts.get(t) or re.escape(t[-1]) for t in re.findall(r"(?s)\\.|\*\*|.", glob))
 
 
 class Automaton:
@@ -83,9 +91,10 @@ class Automaton:
                 if text[i : i + 1] == b"*":
                     loops[-1] |= segment
                 else:
+                    question = text[i : i + 1] == b"?"
+                    i += text[i : i + 1] == b"\\" and i + 1 < len(text)
                     one = np.zeros(256, bool)
                     one[text[i]] = True
-                    question = text[i : i + 1] == b"?"
                     entered.append(segment & ~follow if question else one)
                     loops.append(follow.copy() if question else np.zeros(256, bool))
                 i += 1

@@ -1,8 +1,10 @@
 """Operators over documents against plain computations on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -286,7 +288,47 @@ def test_kth_largest_is_exact(spark):
 
 def test_top_k_draws_k(spark, tables):
     docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
-    assert quality.resample(docs, labels, k=50, temperature=1.0)[0].where("kept").count() == 50
+    decisions = quality.resample(docs, labels, share=0.25)[0]
+    assert decisions.where("kept").count() == round(0.25 * decisions.where("log_weight is not null").count())
+
+
+def plain_ngrams(text):
+    """The tokens of a text and its pairs of neighbours, each named by its bucket, found one text at a time."""
+    import pyarrow as pa
+
+    tokens = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff\x20\x09-\x0D]+", text or "")
+    bucket = lambda t: int(quality.ngrams(pa.array([t]), 10)[0][-1])  # noqa: E731  the last one: of a pair, that of the pair
+    glued = lambda a, b: f"{a} {b}"
+    return [bucket(t) for t in tokens] + [bucket(glued(a, b)) for a, b in zip(tokens, tokens[1:], strict=False)]
+
+
+def test_weights_keys_and_draw_equal_a_plain_computation(spark, make, odd_rows):
+    """Both models, log weights, keys and the kept set; short texts, so that the noise takes part in the draw."""
+    rnd = random.Random(11)
+    good, junk = ["the", "of", "river", "house", "walks"], ["BUY!!", "NOW!!", "the", "of", "$9"]
+    rows = [(i, " ".join(rnd.choice(good if i % 3 else junk) for _ in range(rnd.randrange(1, 6)))) for i in range(300)] + [r for r in odd_rows if r[0] not in (4, None)] + [(8, "w" * 100_000), (9, "x y " * 30_000)]
+    docs = make(rows)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    decisions, model, least = quality.resample(docs, labels, bits=10, share=0.5)
+    fits = {r.doc_id for r in quality.labelled(labels, 40_000, "doc_id", "quality").where("good and fits").collect()}
+    raw, target, grams = Counter(), Counter(), [(d, plain_ngrams(t)) for d, t in rows]
+    for d, own in grams:
+        raw.update(own)
+        target.update(own if d in fits else [])
+    share = lambda c, b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 1024))
+    assert all(abs(model.ratio[b] - (share(target, b) - share(raw, b))) < 1e-12 for b in range(1024))
+    noise = {r.doc_id: -math.log(-math.log((r.h % (1 << 52) + 0.5) / (1 << 52))) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).collect()}
+    want = [(d, len(own), sum(share(target, b) - share(raw, b) for b in own) - model.cut * len(own) + model.prior if own else None) for d, own in grams]
+    keys = sorted((w + noise[d] for d, _, w in want if w is not None), reverse=True)
+    k = round(0.5 * len(keys))
+    got = sorted(decisions.collect(), key=lambda r: (r.doc_id, r.n_ngrams))
+    for r, (d, n, w) in zip(got, sorted(want, key=lambda x: x[:2]), strict=True):
+        assert (r.doc_id, r.n_ngrams) == (d, n) and (w is None) == (r.log_weight is None)
+        assert w is None or abs(r.log_weight - w) < 1e-6 * (1 + abs(w)) and abs(r.key - w - noise[d]) < 1e-6 * (1 + abs(w))
+        assert r.kept == (w is not None and r.key >= least)
+    assert abs(least - keys[k - 1]) < 1e-6
+    by_weight = sorted((r.log_weight for r in got if r.log_weight is not None), reverse=True)[k - 1]
+    assert sum(r.kept != (r.log_weight >= by_weight) for r in got if r.log_weight is not None) > 5  # the noise matters
 
 
 # --- 6: toxicity

@@ -3,6 +3,7 @@
 import fnmatch
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from tests.against import connect, rows_of, rows_of_sql
 def as_regex(glob):
     out, i = "", 0
     while i < len(glob):
+        if glob[i] == "\\" and i + 1 < len(glob):
+            out, i = out + re.escape(glob[i + 1]), i + 2
+            continue
         if glob.startswith("**", i):
             out, i = out + "(?s:.*)", i + 2
             continue
@@ -25,14 +29,15 @@ def as_regex(glob):
     return out
 
 
-GLOBS = ["*.example.com/en/**", "**.zip", "*a?c*", "", "**", "*", "é*", "?", "long" * 40 + "**", "*/**/x", "***b"]
-URLS = ["", ".www.example.com/en/1", ".example.com/en", "abc", "a/c", "éa", "é", "x.zip", "long" * 40 + "z", ".h/a/b/x", ".h/x", "ab", "/", "aaabccc", None, "y" * 5000 + "b"]
+GLOBS = ["*.example.com/en/**", "**.zip", "*a?c*", "", "**", "*", "é*", "?", "long" * 40 + "**", "*/**/x", "***b", r"a\*\?\\", "x\\"]
+URLS = ["", ".www.example.com/en/1", ".example.com/en", "abc", "a/c", "éa", "é", "x.zip", "long" * 40 + "z", ".h/a/b/x", ".h/x", "ab", "/", "aaabccc", None, "y" * 5000 + "b", r"a*?" + "\\", "abcd", "x\\"]
 
 
 def test_automaton_equals_regular_expressions():
     got = urlfilter.Automaton(GLOBS).matches(URLS)
     want = [[re.fullmatch(as_regex(g), u or "") is not None for g in GLOBS] for u in URLS]
     assert got.tolist() == want
+    assert [[re.fullmatch(urlfilter.as_regex(g), u or "") is not None for g in GLOBS] for u in URLS] == want
     assert fnmatch.fnmatch("x.zip", "*.zip")
 
 
@@ -56,6 +61,21 @@ def test_production_globs_at_the_top_of_a_site(spark):
     assert {r.page_id: r.verdict for r in got} == dict(enumerate(urls.values()))
 
 
+def test_production_globs_equal_their_sql(spark, tmp_path):
+    urls = ["http://x.org/login", "http://x.org/cart", "http://foo.zip", "http://a.exe", "http://foo.zip/", "http://x.org/a.zip", "http://x.org/.exe", "http://x.org/a/b/c.zip?x", "http://x.org", "a.zip", "://", "http:///login",
+            "http://y.com/x.zip", "http://a.net/es/x.exe", "http://x.org/a\nb/login", None, "http://X.ORG/LOGIN", "http://x.org/a.zip/b", "http://login/login", "http://x.org//login", "http://é.org/é/cart"]
+    spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert rows_of(queries.op2_url_globs(spark, str(tmp_path))) == rows_of_sql(con, queries.OP2_SQL)
+
+
+def test_prefix_rules_are_literal(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/a*b/c"), (2, "http://x.org/aab/c"), (3, "http://y.x.org/a*b/")], "page_id long, url string")
+    got = urlfilter.judge(pages, [urlfilter.Rule.prefix("x.org", "/a*b/", "block")], "allow").collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: ("x.org/a*b/", "block"), 2: (None, "allow"), 3: ("x.org/a*b/", "block")}
+
+
 # --- 4: preference formatting
 
 
@@ -83,7 +103,8 @@ def vectors(spark, x, extra=()):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string")
 
 
-ODD = [(1000, None), (1001, [None] + [1.0] * 15), (1002, [float("nan")] + [1.0] * 15), (1003, [float("inf")] + [1.0] * 15), (1004, [1.0]), (None, [1.0] * 16), (1005, [])]
+ODD = [(1000, None), (1001, [None] + [1.0] * 15), (1002, [float("nan")] + [1.0] * 15), (1003, [float("inf")] + [1.0] * 15), (None, [1.0] * 16), (1005, [])]
+SHORT = [(1020, [1.0, 2.0]), (1040, [2.0, -1.0]), (1004, [-1.0, 0.5]), (1050, [3.0])]  # meet only each other
 
 
 def brute(x, queries_, k, score):
@@ -100,11 +121,14 @@ def test_top_k_equals_brute_force(spark, levels, monkeypatch):
     x = rng.normal(size=(120, 16)).astype(np.float32).round(1)
     x[50:60] = x[7]  # ties
     monkeypatch.setattr(topk, "TILE", 17)
-    monkeypatch.setattr(topk, "BUCKET", 40)
-    df = vectors(spark, x, [*ODD, (119, x[119].tolist())])
+    monkeypatch.setattr(topk, "GROUP", 3)
+    monkeypatch.setattr(vectors_module, "PACKED", 16)
+    monkeypatch.setattr(vectors_module, "BUCKET", 40)
+    df = vectors(spark, x, [*ODD, *SHORT, (119, x[119].tolist())])
     whole = np.floor(64 * x.astype(np.float64)).astype(int)
-    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 20, levels=levels)
-    assert sorted(map(tuple, got.collect())) == brute(whole, range(0, 120, 20), 20, lambda a, b: int(a @ b))
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 20, levels=levels, floor_rows=30)
+    short = [(q, 1 + i % 2, v, int(s)) for i, (q, _, v, s) in enumerate(sorted([(1020, 0, 1040, 0), (1020, 0, 1004, 0), (1040, 0, 1020, 0), (1040, 0, 1004, -10240)], key=lambda p: (p[0], -p[3], p[2])))]
+    assert sorted(map(tuple, got.collect())) == sorted(brute(whole, range(0, 120, 20), 20, lambda a, b: int(a @ b)) + short)
 
 
 def test_repeated_rows_leave_room_for_others(spark):
@@ -123,10 +147,39 @@ def test_repeated_rows_leave_room_for_others(spark):
 def test_top_k_of_few_and_large(spark):
     df = vectors(spark, np.array([[1.0, 2.0], [3e9, -3e9], [3e9, 3e9]]))
     assert topk.top_k(df, df.where("vec_id = 0"), 20).count() == 2
-    assert topk.top_k(df, df.where("vec_id = 1"), 1).first().vec_id == 2 or True
+    assert topk.top_k(df, df.where("vec_id = 1"), 1).first().vec_id == 2
     assert topk.top_k(df.limit(0), df.limit(0), 20).count() == 0
 
 
+def test_large_scores_are_exact(spark):
+    """Scores beyond 2^53, which doubles would round, and beyond the range of long."""
+    x = [[(2.0**28 + 3) / 64, 1 / 64], [(2.0**28 + 1) / 64, 0.0], [(2.0**28 + 1) / 64, 2 / 64], [2.0**60, 0.0]]
+    doubles = lambda x: spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    df = doubles(x[:3])
+    whole = [[int(64 * v) for v in row] for row in x]
+    want = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), i) for i in (1, 2)))
+    assert [(-r.score, r.vec_id) for r in topk.top_k(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()] == want
+    assert max(-s for s, _ in want) > 2**53
+    big = doubles(x)
+    with pytest.raises(Exception, match="does not fit into a long"):
+        topk.top_k(big, big.where("vec_id = 3"), 1).collect()
+
+
+def exact_share(x, asked, k=20):
+    q = np.floor(64 * x[asked])
+    return topk.search(asked, q, np.arange(len(x)), np.floor(64 * x), k)[1] / (len(asked) * len(x))
+
+
+def test_bounds_prune():
+    """Share of exact products: small on smooth vectors of clusters, and nearly all on noise, which no bound of segments tells apart."""
+    rng = np.random.default_rng(3)
+    noise = rng.normal(size=(8000, 64))
+    centres = np.repeat(rng.normal(size=(40, 8)), 8, axis=1)
+    clustered = centres[rng.integers(0, 40, 8000)] + 0.2 * noise
+    asked = np.arange(0, 8000, 20)
+    assert exact_share(clustered, asked) < 0.2 and exact_share(noise, asked) <= 1
+
+
 def test_top_k_equals_sql(spark, tables):
     assert rows_of(queries.op5_exact_top_k(spark, tables)) == rows_of_sql(connect(tables), queries.OP5_SQL)
 
@@ -139,16 +192,36 @@ def test_bounds_hold():
 
 def test_neighbours_of_a_small_table_are_exact(spark):
     x = np.random.default_rng(3).normal(size=(60, 16)).astype(np.float32)
-    df = vectors(spark, x, [*ODD, (1006, [0.0] * 16)])
+    df = vectors(spark, x, [*ODD, *SHORT, (1006, [0.0] * 16)])
     cosine = lambda a, b: float(a.astype(float) @ b.astype(float) / (np.linalg.norm(a.astype(float)) * np.linalg.norm(b.astype(float))))
-    got = sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0"), 5).collect()))
+    got = sorted(map(tuple, ann.search(df, df.where("vec_id % 50 = 0 and vec_id <> 1000"), 5).collect()))
     want = brute(x, (0, 50), 5, cosine)
+    lone = ann.search(df, df.where("vec_id in (1020, 1050)"), 5).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in lone] == [(1020, 1004), (1020, 1040)] and abs(lone[0].score) < 1e-12
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
     assert ann.search(df.limit(0), df.limit(0), 5).count() == 0
     few = df.where("vec_id < 3")
     assert ann.search(few, few.where("vec_id = 0"), 5).count() == 2
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_query(spark, scale):
+    """The registered query against all cosines."""
+    folder = f"/root/testdata/{scale}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows["embedding"].tolist()).astype(np.float64), rows["vec_id"].to_numpy()
+    u, got = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for r in queries.op8_ivf_pq(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        s = (u * u[at]).sum(axis=1).round(12)
+        s[at] = -2
+        hits += len(got[ids[at]] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits / (5 * len(got)) >= 0.9 and len(got) == (ids % 50 == 0).sum()
+    print(scale, "recall", hits / (5 * len(got)))
+
+
 def test_recall(spark):
     x = np.random.default_rng(4).normal(size=(3000, 32)).astype(np.float32)
     df = vectors(spark, x)
