@@ -73,7 +73,7 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     Batches are held to BATCH_BYTES where the session does not say otherwise: ten thousand long texts would be one batch.
     """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key, "") == "":
+    if conf.get(key, None) is None:
         conf.set(key, str(BATCH_BYTES))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
