@@ -25,7 +25,6 @@ SNAP_LIMIT, SNAP_MARGIN = 4, 2
 SURE_RANKS, KING_GAIN = 2.0, 2.0
 CONFIDENCE_FINER, CONFIDENCE_SECOND, VIVID_LEAST = 0.95, 0.99, 0.002
 BOARD_SCORE, ASPECT = 2.5, (0.8, 1.25)
-CELL_CUT, INLINE_CUT = 11, 14
 MAX_WRONG_SQUARES = 12
 START_GOOD, PAGE_REACH, NEAREST_BOXES, STRAY_REACH = 5, 2, 120, 60
 SQUARE_CLASSES = ".PNBRQKpnbrqk"

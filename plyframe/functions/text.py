@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape as html_unescape
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +27,16 @@ def n_words(text: Column) -> Column:
     return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+")))
 
 
+def unescaped(text: Column) -> Column:
+    """All HTML entities decoded, in Arrow batches; `plain_html` knows the common ones without Python."""
+
+    @F.pandas_udf("string")
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(html_unescape, na_action="ignore")
+
+    return run(text)
+
+
 def plain_html(html: Column) -> Column:
     """Markup to text: tags become blanks, entities are decoded, blanks are single."""
     text = F.regexp_replace(html, r"<[^>]+>", " ")

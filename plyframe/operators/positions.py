@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import SNAP_LIMIT, SNAP_MARGIN
+from ..constants import MAX_WRONG_SQUARES, SNAP_LIMIT, SNAP_MARGIN
 from ..functions import boards as B
 
 
@@ -54,16 +56,37 @@ def snapped(readings: DataFrame, known: DataFrame, limit: int = SNAP_LIMIT, marg
     return best.select("reading", F.col("other").alias("cells"), "off")
 
 
-def nearest_exemplar(glyphs: DataFrame, exemplars: DataFrame, cut: float) -> DataFrame:
+def nearest_exemplar(glyphs: DataFrame, exemplars: DataFrame, cut: float, per_group: int = 1024) -> DataFrame:
     """(id, letter, distance): the nearest exemplar (letter, v) of each glyph (id, v); letter null beyond `cut`.
 
-    Exemplars are a handful of pictures per letter; they are gathered into one row and broadcast.
+    Exemplars are usually a handful of pictures per letter: up to `per_group` are gathered into one row, counted and broadcast.
+    More are gathered into groups of about that size, and each glyph meets every group by an equality join.
     """
-    row = exemplars.agg(F.array_sort(F.collect_list(F.struct("letter", "v"))).alias("all"))
+    groups = max(1, -(-exemplars.count() // per_group))
+    row = exemplars.groupBy(F.pmod(F.xxhash64("letter", "v"), F.lit(groups)).alias("group")).agg(F.array_sort(F.collect_list(F.struct("letter", "v"))).alias("all"))
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    joined = glyphs.join(F.broadcast(row))
+    each = glyphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
+    joined = each.join(F.broadcast(row) if groups == 1 else row, "group")
     best = F.array_min(F.transform("all", lambda e: F.struct(F.bround(gap(F.col("v"), e["v"]), 6).alias("d"), e["letter"].alias("letter"))))
-    return joined.withColumn("best", best).select("id", F.when(F.col("best.d") <= cut, F.col("best.letter")).alias("letter"), F.col("best.d").alias("distance"))
+    found = joined.select("id", best.alias("best"))
+    found = found if groups == 1 else found.groupBy("id").agg(F.min("best").alias("best"))
+    return found.select("id", F.when(F.col("best.d") <= cut, F.col("best.letter")).alias("letter"), F.col("best.d").alias("distance"))
+
+
+def full_positions(diagrams: DataFrame, moves: DataFrame) -> DataFrame:
+    """`full`: the whole position (fen) of the move (book, id) that a diagram (book, matches) was found to show; null without one."""
+    return diagrams.join(moves.select("book", F.col("id").alias("matches"), F.col("fen").alias("full")), ["book", "matches"], "left")
+
+
+def training_rows(readings: DataFrame, held_books: Sequence[int], most: int = MAX_WRONG_SQUARES) -> DataFrame:
+    """Readings (book, read, truth) with at most `most` squares wrong, and whether their book is `held` for evaluation."""
+    return readings.where(B.distance(F.col("read"), F.col("truth")) <= most).withColumn("held", F.col("book").isin(*held_books))
+
+
+def first_best(candidates: DataFrame, key: str, score: str, place: str) -> DataFrame:
+    """(key, score, place): the best candidate of each key, the first one among equals."""
+    best = F.max(F.struct(F.col(score).alias("score"), (-F.col(place)).alias("back")))
+    return candidates.groupBy(key).agg(best.alias("b")).select(key, F.col("b.score").alias(score), (-F.col("b.back")).alias(place))
 
 
 def error_report(readings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALIGNED_SHARE, HEAD_CHARS, PARAGRAPH_CHARS
 from ..functions import text as T
+from .blocks import heads_found
 
 
 def pages_to_anchor(pages: DataFrame, moves: DataFrame) -> DataFrame:
@@ -71,12 +72,15 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def heads_repeated(blocks: DataFrame, window: int = HEAD_CHARS) -> DataFrame:
-    """(page, ord, cut): where the head of any other block of the page begins inside a block, by equal substrings."""
-    flat = blocks.where(F.length("text") >= window)
-    heads = flat.select("page", F.col("ord").alias("other"), F.substring("text", 1, window).alias("gram"))
-    at = F.explode(F.sequence(F.lit(2), F.length("text") - (window - 1)))
-    grams = flat.where(F.length("text") > window).withColumn("at", at).select("page", "ord", "at", F.substring("text", F.col("at"), F.lit(window)).alias("gram"))
-    return grams.join(heads, ["page", "gram"]).where("other <> ord").groupBy("page", "ord").agg((F.min("at") - 1).alias("cut"))
+    """(page, ord, cut): where the head of any other block of the page begins inside a block; a page is one row."""
+    pages = blocks.where(F.length("text") >= window).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("flat")))).alias("all"))
+    return heads_found(pages.where(F.size("all") > 1), window, lambda own, other: other["ord"] != own["ord"])
+
+
+def zipped(left: Column, right: Column) -> Column:
+    """Pairs (left, right) of two arrays by place, as many as the shorter one has."""
+    n = F.least(F.size(left), F.size(right))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1), n), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
 
 
 def aligned_share(pairs: DataFrame) -> DataFrame:
@@ -102,7 +106,3 @@ def labelled(diagrams: DataFrame, hand: DataFrame) -> DataFrame:
     used = joined.where(F.col("matches").isNotNull() | F.col("by_hand").isNotNull())
     return used.select("book", "id", F.coalesce("by_hand", "fen").alias("fen"))
 
-
-def plain_or_kept(texts: DataFrame) -> DataFrame:
-    """Markup becomes plain text where a block holds any."""
-    return texts.withColumn("text", F.when(F.col("text").contains("<t"), T.plain_html(F.col("text"))).otherwise(F.col("text")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,26 @@ def gap_groups(rows: DataFrame, key: str, order: Column, gap: float, tie: str) -
     return rows.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("new")
 
 
+def median(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """(key, n, median): the middle value, or the mean of the two middle ones."""
+    return rows.groupBy(key).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"))
+
+
+def page_bounds(rows: DataFrame, key: str) -> DataFrame:
+    """(key, first, last) page of each book."""
+    return rows.groupBy(key).agg(F.min("page").alias("first"), F.max("page").alias("last"))
+
+
+def least_of_page(rows: DataFrame, value: str) -> DataFrame:
+    """`least`: the smallest value on a row's page, such as the font that fits all of its paragraphs."""
+    return rows.withColumn("least", F.min(value).over(Window.partitionBy("page")))
+
+
+def grouped(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, values): the sorted values of each group, one row as large as the group."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def upper_median(rows: DataFrame, key: str, value: Column) -> DataFrame:
     """(key, n, median): the value at place n // 2 of the sorted ones, by two ranks rather than a list."""
     w = Window.partitionBy(key)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import LINE_TOLERANCE, NEAREST_BOXES, RECT_PAD, ROW_BUCKET, ROW_SHARE
+from ..constants import FULL_PAGE_SHARE, LINE_TOLERANCE, MARGIN_SHARE, MAX_IMAGE_PIXELS, MAX_IMAGES, NEAREST_BOXES, RECT_PAD, ROW_BUCKET, ROW_SHARE
 from ..functions import geometry as G
+from . import series
 
 #: Height in pixels of the bands of a page that turn a range join into an equality join.
 BAND = 256
@@ -39,9 +40,9 @@ def lines_in_boxes(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_T
 
 def lines_outside(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """The lines whose centre no box of the page holds."""
-    near = _banded(boxes, tolerance).select(F.col("page").alias("b_page"), "band", "bbox")
+    near = _banded(boxes, tolerance).select(F.col("page").alias("b_page"), "band", F.col("bbox").alias("b_box"))
     banded = lines.withColumn("_band", F.floor(F.col("cy") / BAND))
-    held = (F.col("page") == F.col("b_page")) & (F.col("_band") == F.col("band")) & G.holds(F.col("bbox"), F.col("cx"), F.col("cy"), tolerance)
+    held = (F.col("page") == F.col("b_page")) & (F.col("_band") == F.col("band")) & G.holds(F.col("b_box"), F.col("cx"), F.col("cy"), tolerance)
     return banded.join(near, held, "left_anti").drop("_band")
 
 
@@ -117,3 +118,58 @@ def crop_grid(boxes: DataFrame, cells: int = 8, scales: tuple[float, ...] = (1.0
     far = F.abs("dx") + F.abs("dy") + F.bround(F.abs(F.col("scale") - 1) * 100, 6)
     rank = F.row_number().over(Window.partitionBy("id").orderBy(far, "nx", "ny", "ns"))
     return grid.withColumn("rank", rank).where(F.col("rank") <= nearest).select("id", "rank", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("ns").alias("side"))
+
+
+def coordinate_evidence(pieces: DataFrame, boxes: DataFrame, share: float = MARGIN_SHARE) -> DataFrame:
+    """(page, box, axis, position, value): single characters in a diagram's margins that may be its printed coordinates.
+
+    Of pieces (page, line, cx, cy, text), digits 1-8 near the left or right edge are ranks, by height; letters a-h near the top or
+    bottom edge are files, from left to right.
+    """
+    sign = F.lower(F.trim("text"))
+    width, height = F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0")
+    side = (F.col("cx") < F.col("bbox.x0") + share * width) | (F.col("cx") > F.col("bbox.x1") - share * width)
+    edge = (F.col("cy") < F.col("bbox.y0") + share * height) | (F.col("cy") > F.col("bbox.y1") - share * height)
+    row = lambda axis, at, value: F.struct(F.lit(axis).alias("axis"), F.col(at).cast("double").alias("position"), value.cast("int").alias("value"))
+    rank = F.when(sign.rlike("^[1-8]$") & side, row("rank", "cy", sign))
+    file = F.when(sign.rlike("^[a-h]$") & edge, row("file", "cx", F.ascii(sign) - F.lit(97)))
+    held = lines_in_boxes(pieces, boxes, 0).select("page", "box", F.coalesce(rank, file).alias("e"))
+    return held.where(F.col("e").isNotNull()).select("page", "box", "e.*")
+
+
+def printed_orientation(pieces: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(page, box, flipped): whether Black is at the bottom by the printed coordinates; null where these are few or disagree.
+
+    With White below, ranks shrink downwards and files grow to the right.
+    """
+    found = coordinate_evidence(pieces, boxes).withColumn("key", F.struct("page", "box", "axis"))
+    trends = series.trend(found, "key", F.col("position"), F.col("value")).select("key.*", "trend")
+    vote = F.when(F.col("axis") == "rank", F.col("trend") == 1).otherwise(F.col("trend") == -1)
+    voted = trends.select(F.struct("page", "box").alias("key"), F.when(F.col("trend").isNotNull(), vote).alias("flipped"))
+    agreed = series.agreed(voted, "key", "flipped").select("key.*", "flipped")
+    return boxes.select("page", "box").join(agreed, ["page", "box"], "left")
+
+
+def orphan_moves(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
+    """(page, line): lines (page, line, bbox, cx, cy, has_moves) with moves whose centre no box of the page holds.
+
+    In order, each such line becomes a block of its own and then holds the centres of later lines too.  The lines without
+    a box of one page are gathered in one row.
+    """
+    free = lines_outside(lines.where("has_moves"), boxes, tolerance)
+    pages = free.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("line", "cx", "cy", G.box(*[F.bround(f"bbox.{k}") for k in ("x0", "y0", "x1", "y1")]).alias("bbox")))).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: G.holds(k["bbox"], x["cx"], x["cy"], tolerance)), kept).otherwise(F.concat(kept, F.array(x)))
+    return pages.select("page", F.explode(F.aggregate("all", none, step)).alias("x")).select("page", "x.line")
+
+
+def printed_pictures(images: DataFrame) -> DataFrame:
+    """Numbered figures of pages (page, x, y, width, height, page_area, pixels): no full-page scans, repeated boxes once, at most 60 a page.
+
+    They go from top to bottom in steps of 100, then left to right.  `extracted`: whether the picture is small enough to be read itself
+    rather than cut from the page; the largest of repeated boxes decides.
+    """
+    box = ("page", "x", "y", "width", "height")
+    kept = images.where(F.col("width") * F.col("height") < FULL_PAGE_SHARE * F.col("page_area")).groupBy(*box).agg(F.max("pixels").alias("pixels"))
+    number = F.row_number().over(Window.partitionBy("page").orderBy(F.bround(F.col("y") / 100), "x", "y", "width", "height"))
+    return kept.withColumn("number", number).where(F.col("number") <= MAX_IMAGES).withColumn("extracted", F.col("pixels").between(1, MAX_IMAGE_PIXELS))

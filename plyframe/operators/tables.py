@@ -56,7 +56,3 @@ def broken_keys(messages: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     missing = F.array_join(F.array_except(F.array(*[F.lit(x) for x in languages]), F.col("langs")), ",")
     return sets.select("key", missing.alias("missing"), F.col("placeholders").cast("int").alias("placeholders")).where("missing <> '' or placeholders > 1")
 
-
-def trained_split(samples: DataFrame, held_books: tuple[str, ...]) -> DataFrame:
-    """`held`: whether a sample's book is kept for evaluation."""
-    return samples.withColumn("held", F.col("book").isin(*held_books))

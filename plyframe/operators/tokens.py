@@ -16,14 +16,15 @@ from ..functions import text as T
 _NUMBER = r"(?<![a-h])\d+(?:\.\.\.|\.(?!\.))"
 _CASTLING = r"0-0-0|0-0|O-O-O|O-O"
 _RESULTS = ("1-0", "0-1", "1/2-1/2")
-_GLUED = r"(?!(?!\d+\.|[a-h][1-8]|0-0|O-O|[A-Z]['’]?[a-zé]{1,})[A-Za-z0-9.])(?!=[A-Za-z0-9])"
+#: What may stand right after a move: the end, a sign, a draw sign, or the next number, square, castling or capitalised word.
+_FOLLOWS = "(?=" + "|".join((r"\z", r"[^A-Za-z0-9.=]", r"=(?![A-Za-z0-9])", r"\d+\.", r"[a-h][1-8]", r"0-0", r"O-O", r"[A-Z]['’]?[a-zé]")) + ")"
 
 
 def token_pattern(lang: str) -> str:
     """Numbers, moves, `;`, brackets and results of a language's notation, as one alternation without groups."""
     p = PIECES[lang]
     move = rf"(?:{_CASTLING}|[{p}]?[a-h]?[1-8]?x?[a-h][1-8](?:=[{p[:4]}]|(?<=[18])[{p[:4]}])?)[+#]?[!?]*"
-    return rf"{_NUMBER}|{move}{_GLUED}|;|[\[(]|[\])]|{'|'.join(_RESULTS)}"
+    return rf"{_NUMBER}|{move}{_FOLLOWS}|;|[\[(]|[\])]|{'|'.join(_RESULTS)}"
 
 
 def _kind(value: Column) -> Column:
@@ -48,7 +49,7 @@ def tokens(pages: DataFrame, lang: str = "fr") -> DataFrame:
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     raw = raw.withColumn("level", F.coalesce(F.sum(step).over(before), F.lit(0)))
     raw = raw.withColumn("open", F.col("level") - F.least(F.lit(0), F.coalesce(F.min("level").over(upto), F.lit(0))))
-    letter = F.substring("text", F.greatest(F.col("start") - 1, F.lit(1)), F.least(F.col("start"), F.lit(2))).rlike(r"(?:^|[^\w.])[A-Za-z]$")
+    letter = F.substring("text", F.greatest(F.col("start") - 1, F.lit(1)), F.least(F.col("start"), F.lit(2))).rlike(r"(?<![\w.])[A-Za-z]$")
     label = (F.col("value") == ")") & (F.col("open") == 0) & letter
     comma = F.rtrim(F.substring("text", F.lit(1), F.greatest(F.col("start") - 1, F.lit(0)))).endswith(",")
     raw = raw.withColumns({"label": label, "kind": F.when(label & comma, F.lit("semi")).when(~label, _kind(F.col("value")))})
@@ -72,6 +73,13 @@ def move_pairs(toks: DataFrame) -> DataFrame:
     return with_next(toks).groupBy("page").agg(F.count_if(pair).alias("pairs"), F.coalesce(F.bool_or(pair & (F.col("value") == "1.")), F.lit(False)).alias("starts"))
 
 
+def shown_spans(toks: DataFrame) -> DataFrame:
+    """`shown_from`: where a move begins as printed, with the number that is glued to it."""
+    w = Window.partitionBy("page").orderBy("idx")
+    glued = (F.col("kind") == "move") & (F.lag("kind").over(w) == "num") & (F.lag("end").over(w) == F.col("start"))
+    return toks.withColumn("shown_from", F.when(glued, F.lag("start").over(w)).otherwise(F.col("start")))
+
+
 def with_runs(toks: DataFrame) -> DataFrame:
     """`run`: tokens between two prose tokens; `trusted`: a number stands in the run, up to here."""
     order = Window.partitionBy("page").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -10,13 +10,12 @@ from ..operators import positions as P
 from .sources import BOARDS_SQL, boards, table
 
 EVALUATION = (
-    ("6k1/pp6/2p5/3p4/1P1P4/8/P7/6K1", ""), ("6k1/pp6/2p4K/3p4/1P1P4/8/P7/6K1", "too_many_kings"),
-    ("P5k1/8/8/8/8/8/8/6K1", "pawns_on_backrank"), ("8/8/8/8/8/8/8/6K1", "no_black_king"),
-    ("6k1/8/8/8/8/8/PPPPPPPP/QQ4K1", "too_many_white_pieces_for_pawns"),
+    ("4k3/pp3p2/8/8/8/8/PP3P2/4K3", ""), ("4k3/8/8/3K4/8/8/8/4K3", "too_many_kings"), ("4k2P/8/8/8/8/8/8/4K3", "pawns_on_backrank"),
+    ("8/8/8/8/8/8/5N2/4K3", "no_black_king"), ("rrrrk3/pppppppp/8/8/8/8/8/4K3", "too_many_black_pieces_for_pawns"),
 )
 KINGS = (
-    ("6K1/pp3ppp/4p3/3pP3/3P4/8/PP3PPP/6k1", "6k1/pp3ppp/4p3/3pP3/3P4/8/PP3PPP/6K1"), ("6k1/pp3ppp/4p3/3pP3/3P4/8/PP3PPP/6K1", "6k1/pp3ppp/4p3/3pP3/3P4/8/PP3PPP/6K1"),
-    ("8/pp3ppp/8/8/3k4/8/PP3PPP/6K1", "8/pp3ppp/8/8/3k4/8/PP3PPP/6K1"), ("8/8/8/8/8/8/8/K6k", "8/8/8/8/8/8/8/K6k"),
+    ("3K4/ppp5/8/8/8/8/5PPP/3k4", "3k4/ppp5/8/8/8/8/5PPP/3K4"), ("3k4/ppp5/8/8/8/8/5PPP/3K4", "3k4/ppp5/8/8/8/8/5PPP/3K4"),
+    ("3K4/8/8/8/8/8/8/3k4", "3K4/8/8/8/8/8/8/3k4"), ("8/ppp5/8/8/4k3/8/5PPP/4K3", "8/ppp5/8/8/4k3/8/5PPP/4K3"),
 )
 
 

@@ -78,10 +78,10 @@ def labelled_diagrams(spark, d):
 
 
 def median_by_parity(spark, d):
-    """The upper median of a vector's values on light and on dark squares."""
+    """The median of a vector's values on light and on dark squares."""
     cells = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
     key = F.concat_ws("_", "vec_id", ((F.floor(F.col("i") / 8) + F.col("i")) % 2).cast("string"))
-    return series.upper_median(cells.withColumn("key", key), "key", F.col("x").cast("double"))
+    return series.median(cells.withColumn("key", key), "key", F.col("x").cast("double"))
 
 
 QUERIES = {
@@ -103,5 +103,5 @@ QUERIES = {
     "figurine_picks": (figurine_picks, "SELECT doc_id, n_name[1:1] AS letter FROM documents JOIN nation ON doc_id % 50 = n_nationkey AND source = 'src' || (n_nationkey % 20)"),
     "labelled_diagrams": (labelled_diagrams, f"WITH {BOARDS_SQL} SELECT book, id, CASE WHEN id % 6 = 0 THEN cells ELSE read END AS fen FROM boards WHERE id % 4 = 0 OR id % 6 = 0"),
     "median_by_parity": (median_by_parity, """WITH c AS (SELECT vec_id, unnest(range(64)) AS i, embedding AS e FROM embeddings), k AS (SELECT vec_id || '_' || ((i // 8 + i) % 2) AS key, CAST(e[i + 1] AS DOUBLE) AS x FROM c)
-        SELECT key, count(*) AS n, list_sort(list(x))[1 + count(*) // 2] AS median FROM k GROUP BY key"""),
+        SELECT key, count(*) AS n, median(x) AS median FROM k GROUP BY key"""),
 }

@@ -1,7 +1,7 @@
 """Book archives: zip files of manifest, pages, pictures and corrections, read and written by tasks.
 
-A folder of archives is read with Spark's binaryFile source, one archive per row, and opened in Arrow batches; a book is
-written by the task that holds its members, one archive per row, as the contents that `archives` returns.
+A folder of archives is read with Spark's binaryFile source, one archive per row, and opened in Arrow batches; `archives` packs
+the members of a book in one task, one archive per row, after `carried_over` has added the corrections of the book's last archive.
 """
 
 from __future__ import annotations
@@ -77,6 +77,12 @@ def page_documents(blocks: DataFrame, moves: DataFrame, sizes: DataFrame) -> Dat
     return whole.select("book", F.format_string("pages/p%04d.json", F.col("page").cast("int")).alias("name"), F.encode(text, "UTF-8").alias("bytes"))
 
 
+def carried_over(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The members `new` of books, with the corrections of `old` archives where a book brings none."""
+    kept = old.where(F.col("name") == "corrections.json").join(new.where(F.col("name") == "corrections.json").select("book"), "book", "left_anti")
+    return new.unionByName(kept.join(new.select("book").distinct(), "book", "left_semi").select(*new.columns))
+
+
 def archives(rows: DataFrame) -> DataFrame:
     """(book, content): one archive per book from its members, the same bytes for the same members."""
 

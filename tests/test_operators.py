@@ -14,14 +14,15 @@ from plyframe.functions import text as T
 from plyframe.operators import blocks as K
 from plyframe.operators import images as I
 from plyframe.operators import positions as P
+from plyframe.operators import reader
 from plyframe.operators import spatial as S
 from plyframe.operators import tables as R
 from plyframe.operators import tokens as N
 from plyframe.sources import archive, layer
 from plyframe.streaming import progress
 
-WHITE_BELOW = ("6k1/pp6/2p5/3p4/1P1P4/8/P7/6K1", "2r1r1k1/pb5p/1pn1p1p1/1N3pN1/3q1n1P/P3Q3/1PB2PP1/2R1R1K1", "r2q1rk1/pp2ppbp/3pbnp1/8/2BBP3/2N2P2/PPPQ2PP/R3K2R")
-BLACK_BELOW = ("1K6/PPP3PP/5P2/4P1p1/4p2p/3p4/ppp5/1k6", "1K6/PPP4P/6P1/5Pp1/4P2p/4p3/pppp4/1k6")
+WHITE_BELOW = ("r3k2r/ppp2ppp/2n5/8/8/2N5/PPP2PPP/R3K2R", "6k1/5ppp/8/8/8/8/5PPP/6K1", "8/5k2/8/4p3/4P3/8/5K2/8")
+BLACK_BELOW = ("R2K3R/PPP2PPP/5N2/8/8/5n2/ppp2ppp/r2k3r", "1K6/PPP5/8/8/8/8/ppp5/1k6")
 
 
 def one(spark, column):
@@ -63,6 +64,50 @@ def test_dedupe_leaves_unrelated_blocks_and_is_idempotent(spark):
     assert sorted(K.dedupe(df).collect()) == sorted(df.collect()) == sorted(K.dedupe(K.dedupe(df)).collect())
 
 
+def test_a_window_at_the_very_start_cuts_nothing(spark):
+    """The block begins with a later part of the other one and holds its start further on: it stays whole."""
+    other = "".join(f"{i:03d}abcdefg" for i in range(20))
+    own = other[30:90] + " and then " + other[30:]
+    assert [r.text for r in K.dedupe(blocks(spark, own, other)).orderBy("ord").collect()] == [own, other]
+    assert K.before_run_on("x" * 9 + other, other) == 9 and K.before_run_on(other, other) is None and K.before_run_on("", other) is None
+
+
+@pytest.mark.parametrize("ranks,files,want", [
+    ([8, 7, 6, 5], "abcd", False), ([1, 2, 3, 4], "hgfe", True), ([8, 7, 6], "", False), ([8, 7], "a", None), ([8, 7, 6], "hgf", None), ([8, 7, 5, 6, 4], "abdc", False), ([], "", None),
+])
+def test_printed_coordinates(spark, ranks, files, want):
+    """White below, Black below, ranks only, too few, contradictory, noisy, none; and signs in the middle, which do not count."""
+    rows = [(1, i, 5.0, 100.0 * (i + 1), str(r)) for i, r in enumerate(ranks)] + [(1, 50 + i, 100.0 * (i + 1), 995.0, f) for i, f in enumerate(files)] + [(1, 90 + i, 500.0, 100.0 * i, str(i)) for i in range(1, 9)]
+    pieces = spark.createDataFrame(rows, "page int, line int, cx double, cy double, text string")
+    boxes = spark.createDataFrame([(1, 7)], "page int, box int").withColumn("bbox", G.box(*[F.lit(float(v)) for v in (0, 0, 1000, 1000)]))
+    assert S.printed_orientation(pieces, boxes).first().flipped is want
+
+
+def test_inserted_lines_hold_later_ones(spark):
+    rows = [(1, 1, 50.0, 50.0, True), (1, 2, 55.0, 52.0, True), (1, 3, 50.0, 90.0, True), (1, 4, 500.0, 500.0, True), (1, 5, 300.0, 50.0, False), (2, 6, 50.0, 50.0, True)]
+    lines = spark.createDataFrame(rows, "page int, line int, cx double, cy double, has_moves boolean").withColumn("bbox", G.box(F.col("cx") - 30, F.col("cy") - 10, F.col("cx") + 30, F.col("cy") + 10))
+    boxes = spark.createDataFrame([(1, 1)], "page int, box int").withColumn("bbox", G.box(*[F.lit(float(v)) for v in (450, 450, 600, 600)]))
+    assert sorted(r.line for r in S.orphan_moves(lines, boxes).collect()) == [1, 3, 6]
+
+
+def test_many_exemplars_are_split(spark):
+    rng = np.random.default_rng(1)
+    rows = lambda n, name: spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(n, 4)))], f"{name} int, v array<double>")
+    glyphs, exemplars = rows(40, "id"), rows(30, "letter")
+    one_group, groups = (sorted(P.nearest_exemplar(glyphs, exemplars, 1.0, n).collect()) for n in (1024, 7))
+    assert one_group == groups and len(groups) == 40
+
+
+def test_entities(spark):
+    assert one(spark, T.unescaped(F.lit("a&eacute;b &amp; &#8217;&hellip;"))) == "aéb & ’…"
+
+
+def test_aligned_characters(spark):
+    rows = [("abcdef", "abXdef", 5 / 6), ("abc", "", 0.0), (None, "abc", 0.0), ("", "", 0.0), ("aab", "baa", 2 / 3)]
+    got = reader.aligned_share(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")).orderBy("i").collect()
+    assert [r.share for r in got] == [w for _, _, w in rows] and [r.placed for r in got] == [w >= 0.6 for _, _, w in rows]
+
+
 def test_footer_with_a_move_is_text(spark):
     got = K.footers_to_text(blocks(spark, "27...Cd7", "page 12", labels=["footer", "footer"])).orderBy("ord").collect()
     assert [r.label for r in got] == ["text", "footer"]
@@ -136,6 +181,47 @@ def test_picture_metrics(spark, tmp_path):
     assert got["red"].vivid == 1 and got["red"].score < 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_boards_are_found_anywhere(seed):
+    rng = np.random.default_rng(seed)
+    cell = int(rng.integers(22, 45))
+    side = 8 * cell
+    page = np.full((side + int(rng.integers(20, 120)), side + int(rng.integers(20, 120))), 250.0)
+    x, y = (int(rng.integers(0, n - side)) for n in (page.shape[1], page.shape[0]))
+    page[y : y + side, x : x + side] = np.add.outer(np.arange(side) // cell, np.arange(side) // cell) % 2 * -140 + 240
+    score, fx, fy, found = I.find_board(page)
+    assert score >= 2.5 and max(abs(fx - x), abs(fy - y), abs(found - side)) <= cell / 4
+    assert I.find_board(page * 0 + 200)[0] < 2.5
+
+
+def test_scores_equal_a_plain_computation():
+    g = np.random.default_rng(5).uniform(0, 255, (90, 100))
+    total = I.prefix_sums(g)
+    for x, y, side in ((3, 5, 80), (0, 0, 64), (17, 2, 71)):
+        cells = np.zeros((8, 8))
+        for i in range(8):
+            for j in range(8):
+                ends = lambda o, k, f: (int(np.rint(o + (k + f) * side / 8)), int(np.rint(o + (k + f + 0.22) * side / 8)))
+                cells[i, j] = np.mean([g[slice(*ends(y, i, fy)), slice(*ends(x, j, fx))].mean() for fx in (0.12, 0.66) for fy in (0.12, 0.66)])
+        off = cells - cells.mean()
+        c = abs(sum(off[i, j] * (-1) ** (i + j) for i in range(8) for j in range(8)))
+        assert abs(I.checker_scores(total, *(np.array([v]) for v in (x, y, side)))[0] - c / np.abs(off).sum() * np.log1p(c)) < 1e-6
+
+
+def test_pixel_shares():
+    rgb = np.full((80, 80, 3), 255.0)
+    rgb[:40, :, 2] = 60  # bright and saturated
+    rgb[40:, :40] = (240, 200, 160)  # wood: bright, not saturated
+    assert I.vivid_share(rgb) == 0.5
+    board = np.full((80, 80), 250.0)
+    assert I.split_share(board) == 0
+    board[40, ::2] = board[::2, 41] = 0
+    assert 0.4 <= I.split_share(board) <= 0.55
+    dark = I.cell_darkness(np.where(np.add.outer(np.arange(80) // 10, np.arange(80) // 10) % 2, 0.0, 250.0))
+    assert (dark == np.add.outer(np.arange(8), np.arange(8)) % 2).all()
+    assert I.figurine_like(np.pad(np.full((30, 3), 255), ((0, 0), (5, 5)))) and not I.figurine_like(np.full((30, 20), 255)) and not I.figurine_like(np.zeros((20, 9)))
+
+
 def test_dots_and_flattening():
     page = np.full((100, 100), 255.0, np.float32)
     yy, xx = np.mgrid[:100, :100]
@@ -157,6 +243,9 @@ def test_archive_round_trip(spark, tmp_path):
     page = archive.pages(rows).first()
     assert (page.page, page.width, page.blocks[0].text, page.moves[0].san) == (3, 800, "1.e4", "e4")
     assert archive.manifests(rows).first().dpi == 200 and archive.corrections(rows).first().target == "p3_d1"
+    new = rows.where("name <> 'corrections.json'")
+    again = archive.carried_over(new, rows).unionByName(rows.limit(0))
+    assert archive.corrections(again).first().value == "x" and archive.carried_over(rows, rows).count() == rows.count()
     assert io.BytesIO(book.content).getvalue()[:2] == b"PK"
 
 
