@@ -7,7 +7,7 @@ overlap of x and y.  Two sets link when 100 * overlap >= percent * union, so siz
 2. Columns are ordered rare first by a document-frequency sketch of fixed size (any order gives the same result).  A pair
    that links must meet in the first columns of both rows, whose number follows from the sizes, so only that block of
    columns is multiplied at first: rows that share a column meet in blocks of at most BLOCK by BLOCK rows, and a pair is
-   dropped whose sizes, whose places in the two rows (even if all columns before are shared) or whose parities (64 bits that
+   dropped whose sizes, whose places in the two rows (even if all columns before are shared) or whose parities (128 bits that
    each n-gram flips one of: rows differ in as many n-grams as bits, at least) leave too little overlap.
    The partial overlaps of the block are summed by pair and bounded once more, by the places of the last shared column
    too; then the remaining columns of the surviving pairs are multiplied.
@@ -118,13 +118,15 @@ def frequency_sketch(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     return out
 
 
-def parities(s: np.ndarray) -> int:
-    """Whether an even or odd number of a set's n-grams falls on each of 64 bits: sets differ in as many n-grams as bits, at least."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+def parities(s: np.ndarray) -> tuple[int, int]:
+    """Whether an even or odd number of a set's n-grams falls on each of 128 bits: sets differ in as many n-grams as bits, at least."""
+    own = (s >> np.uint64(6)) & np.uint64(1)
+    flip = lambda part: int(np.bitwise_xor.reduce(np.uint64(1) << (part & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+    return flip(s[own == 0]), flip(s[own == 1])
 
 
 def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
-    """(doc_id, node, n, bits, tokens) of each document: its set's id (null if empty), size, parities and first block of columns.
+    """(doc_id, node, n, bits, bits2, tokens) of each document: its set's id (null if empty), size, parities and first block of columns.
 
     With `row_col`, a long column, also that as row.
     """
@@ -143,10 +145,10 @@ def first_columns(docs: DataFrame, sketch: np.ndarray, n: int, bounds: Bounds, i
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
             more = [batch.column(row_col)] if row_col else []
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.int64()), lists, *more], ["doc_id", "node", "n", "bits", "tokens", "row"][: 5 + len(more)])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(node, pa.int64()), pa.array(size, pa.int64()), *[pa.array([b[i] for b in bits], pa.int64()) for i in (0, 1)], lists, *more], ["doc_id", "node", "n", "bits", "bits2", "tokens", "row"][: 6 + len(more)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"doc_id {kind}, node long, n long, bits long, tokens array<long>" + (", row long" if row_col else "")
+    shape = f"doc_id {kind}, node long, n long, bits long, bits2 long, tokens array<long>" + (", row long" if row_col else "")
     return docs.select(id_col, text_col, *([row_col] if row_col else [])).transform(in_arrow, run, shape)
 
 
@@ -209,7 +211,7 @@ def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
     rows = columns.join(mixed, "h").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select("h", "i", "j", "block", "n", "node", "pos", "comp", "bits").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node")
+    rows = rows.select("h", "i", "j", "block", "n", "node", "pos", "comp", "bits", "bits2").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "node")
 
     def pairs(x: dict[str, np.ndarray]) -> pa.RecordBatch:
         new = (x["h"][1:] != x["h"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
@@ -223,7 +225,7 @@ def partial_products(columns: DataFrame, bounds: Bounds) -> DataFrame:
             ok &= x["pos"][a] < bounds.first_small(x["n"][a])
             seen, room = np.minimum(x["pos"][a], x["pos"][b]), np.minimum(x["n"][a] - x["pos"][a], x["n"][b] - x["pos"][b])
             ok &= seen + room >= bounds.overlap(x["n"][a], x["n"][b])  # at any shared column, of all that may lie before it and from it on
-            apart = np.bitwise_count((x["bits"][a] ^ x["bits"][b]).view(np.uint64)).astype(np.int64)
+            apart = sum(np.bitwise_count((x[c][a] ^ x[c][b]).view(np.uint64)).astype(np.int64) for c in ("bits", "bits2"))
             ok &= x["n"][a] + x["n"][b] - apart >= 2 * bounds.overlap(x["n"][a], x["n"][b])
             out.append(np.stack([a[ok], b[ok], room[ok]]))
             far += 1
@@ -280,7 +282,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     members = all_rows.select("doc_id", "node", "n")
     # one row per node before any join on it: a node of many equal documents is then no hot key
     owners = durable(members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least")))
-    nodes = durable(all_rows.where(F.col("node").isNotNull()).select("node", "n", "bits", "tokens").dropDuplicates(["node"]))
+    nodes = durable(all_rows.where(F.col("node").isNotNull()).select("node", "n", "bits", "bits2", "tokens").dropDuplicates(["node"]))
     entries = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "h"))
     # written before they are joined, so that both sides of a join are dealt anew and a hot column can be split
     shared = durable(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1"))
@@ -290,7 +292,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         nodes = nodes.join(small(components(links)), "node", "left").withColumn("comp", F.coalesce("root", "node"))
     else:
         nodes = nodes.withColumn("comp", F.col("node"))
-    columns = nodes.select("node", "n", "bits", "comp", F.posexplode("tokens").alias("pos", "h")).join(shared.select("h"), "h")
+    columns = nodes.select("node", "n", "bits", "bits2", "comp", F.posexplode("tokens").alias("pos", "h")).join(shared.select("h"), "h")
     columns = durable(columns)
     pairs = durable(partial_products(columns, bounds))
     rows = rows_of(docs, owners, pairs.select(F.explode(F.array("a", "b")).alias("node")), n, id_col, text_col)
