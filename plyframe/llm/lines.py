@@ -435,12 +435,23 @@ def _rebuilt(batch: pa.RecordBatch, names: list[str], text_col: str, gone, spans
 
 
 def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the lines that repeat an earlier one taken out of the text, and n_lines, n_dropped (int)."""
-    shortest = max(shortest, edits + 1)
+    """The rows of `docs` with the lines that repeat an earlier one taken out of the text, and n_lines, n_dropped (int).
+
+    Other columns may have any names; n_lines and n_dropped replace columns of these names, and n_chars follows the text.
+    """
+    plain, names = unnamed(docs.drop("n_lines", "n_dropped"))
+    out = _deduped(plain, edits, max(shortest, edits + 1), names[id_col], names[text_col]).toDF(*names, "n_lines", "n_dropped")
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def _deduped(docs: DataFrame, edits: int, shortest: int, id_col: str, text_col: str) -> DataFrame:
+    """`dedup` of a table whose columns have plain names."""
     judged = durable(judged_lines(docs, edits, shortest, id_col, text_col))
-    names = [*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped"]
-    own = [c for c in names[:-2] if c != text_col]
-    shape = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names[:-2]], "n_lines int, n_dropped int"])
+    names = [*docs.columns, "n_lines", "n_dropped"]
+    own = [c for c in docs.columns if c != text_col]
+    shape = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns], "n_lines int, n_dropped int"])
     rows = keyed(docs, id_col, text_col)
     if judged.count() <= BROADCAST_ROWS:
         table = judged.toPandas().sort_values("h")
@@ -477,8 +488,6 @@ def dedup(docs: DataFrame, edits: int = 2, shortest: int = 24, id_col: str = "do
                 yield _rebuilt(batch, names, text_col, gone, spans)
 
         out = rows.join(gone_places, F.col(_KEY) == F.col("_g_key"), "left").select(*own, text_col, "_gone").transform(in_arrow, run, shape)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out
 
 

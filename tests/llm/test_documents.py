@@ -189,6 +189,17 @@ def test_banded_distance(edits):
     assert lines.within(a, b, edits).tolist() == [distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
 
 
+def test_line_dedup_keeps_columns_of_any_name(make, monkeypatch):
+    line = "a line that is long enough to count"
+    made = ("_row_key", "_gone", "_g_key", "h", "near", "places", "n_lines")
+    docs = make([(1, line), (2, f"{line}\nmore"), (3, None)]).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in made})
+    for limit in (lines.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", limit)
+        got = {r.doc_id: r for r in lines.dedup(docs).collect()}
+        assert [(got[i].text, got[i].n_dropped, got[i].n_chars) for i in (1, 2, 3)] == [(line, 0, len(line)), ("more", 1, 4), (None, 0, 0)]
+        assert all(got[i][c] == f"{c}{i}" for i in got for c in made[:-1]) and [got[i].n_lines for i in (1, 2)] == [1, 2]
+
+
 def test_documents_without_a_line_left_go(make):
     line = "a line that is long enough to count"
     assert sorted(r.doc_id for r in lines.keep(make([(1, line), (2, line), (3, ""), (4, None), (5, f"{line}\nmore")])).collect()) == [1, 3, 4, 5]
