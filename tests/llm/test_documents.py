@@ -1,5 +1,6 @@
 """Operators over documents against plain computations on small fixtures."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -357,6 +358,47 @@ def test_toxic_documents_are_found(spark, make):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.93
 
 
+def plain_features(text, weights):
+    """The features of one text, found by regular expressions; `weights` are the lexicon's words."""
+    n_signs = lambda pattern, s: len(re.findall(pattern, s))
+    found = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", text)
+    lowered, seeds, you = [low(w) for w in found], toxicity.INSULTS.split(), toxicity.SECOND_PERSON.split()
+    weight = [max([weights.get(w, 0)] + [weights.get(w[:n], 0) for n in toxicity.BEGINNINGS if len(w) > n]) for w in lowered]
+    hits = [i for i, w in enumerate(lowered) if weight[i] > 0 or w in seeds]
+    yours = [i for i, w in enumerate(lowered) if w in you]
+    beside = lambda k: yours[max(0, k - 1) : k + 1]
+    gaps = [min((abs(i - j) for j in beside(bisect.bisect(yours, i))), default=50) for i in hits]
+    tokens = WORD.findall(text)
+    odd = [t for t in tokens if len(t) > 3 and re.search("[A-Za-z\u0080-\U0010ffff]", t) and re.search("[^A-Za-z\u0080-\U0010ffff]", t[1:-2] or "a")]
+    plain = lambda t: low(t).translate(str.maketrans("013457@$!", "oieastasi"))
+    seed_hits = sum(w in seeds for w in lowered) + sum(plain(t) in seeds or plain(t) in weights for t in odd)
+    letters = max(1, sum(n_signs("[A-Za-z\u0080-\U0010ffff]", w) for w in found))
+    n, size, total = max(1, len(found)), max(1, len(text)), sum(weight)
+    return [
+        math.log1p(len(hits)), len(hits) / n, math.log1p(total), total / n, max([0, *weight]), math.log1p(seed_hits), seed_hits / n, len(yours) / n, math.log1p(sum(g <= 5 for g in gaps)),
+        min([50, *gaps]), sum(n_signs("[A-Z]", w) for w in found) / letters, sum(len(w) > 1 and n_signs("[A-Z]", w) == len(w) for w in found) / n,
+        sum(n_signs("[^0-9A-Za-z]", t) for t in tokens) / size, text.count("!") / size, len(odd) / n, math.log1p(len(found)),
+    ]
+
+
+def test_features_equal_a_plain_computation():
+    """Plain signs only, in which bytes are characters; null, empty and very long texts among them."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    some = ["you", "YOU", "idiot", "1diot", "blarg", "blargest", "river,", "stone", "OK!!", "a", "x9y9z", "st@pid!", "your", "end.", "WIN", "tr4sh"]
+    text = lambda n: " ".join(rnd.choice(some) for _ in range(n))
+    texts = [None, "", " ", *(text(rnd.randrange(1, 90)) for _ in range(60)), text(200_000)]
+    weights = {"blarg": 2.5, "river": 0.5}
+    keys = np.array([toxicity.hash_words(w)[0] for w in weights], np.uint64)
+    begins = toxicity.entries(toxicity.utf8(pa.array(["blargest"]))[0], np.array([0]), np.array([8]))[1 + toxicity.BEGINNINGS.index(5)]
+    lexicon = toxicity.Lexicon.of(np.concatenate([keys, begins]), np.array([2.5, 0.5, 2.5]))
+    got = toxicity.features(pa.array(texts, pa.string()), lexicon)
+    assert got.shape == (len(texts), toxicity.N_FEATURES)
+    assert np.allclose(got, [plain_features(t or "", weights) for t in texts], atol=1e-9)
+
+
 def test_toxicity_without_labels(spark, make, odd_rows):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(make(odd_rows), none).collect()
