@@ -30,7 +30,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in training order, once for each copy of which the mix takes half of the words or more."""
+    """The documents in training order, once for each copy of which the mix takes half of the words or more.
+
+    A document without words is never taken, so it leaves here.
+    """
     plain, names = unnamed(docs)
     planned = mixing.plan(plain, id_col=names["doc_id"], text_col=names["text"], source_col=names["source"])
     copies = mixing.curriculum(planned, names["doc_id"]).where(2 * F.col("words") >= F.col("size"))

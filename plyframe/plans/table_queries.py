@@ -23,6 +23,11 @@ def tokenize_golden(spark, d):
     return N.tokens(_page(spark), "en").select("idx", "kind", "value")
 
 
+def document_tokens(spark, d):
+    """The tokens of all documents, each a page; no SQL, as the pattern looks ahead and back."""
+    return N.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text")), "en")
+
+
 TOKENS = (
     "num 1.|move e4|move e5|num 2.|move Nf3|open (|num 2.|move f4|move exf4|num 3.|move Nf3|close )|num 2...|move Nc6|prose |semi ;|num 3.|move Bb5|move a6|"
     "open [|num 3...|move Nf6|num 4.|move 0-0|close ]|num 4.|move Ba4|res 1-0"
@@ -218,6 +223,7 @@ TOKEN_ROWS = [(i, *(t.split(" ", 1) if " " in t else (t, ""))) for i, t in enume
 
 QUERIES = {
     "tokenize_golden": (tokenize_golden, f"SELECT CAST(idx AS INTEGER) AS idx, kind, value FROM (VALUES {_rows(TOKEN_ROWS)}) AS t(idx, kind, value)"),
+    "document_tokens": (document_tokens, None),
     "variations_golden": (variations_golden, f"SELECT idx, value, depth, ply, parent FROM (VALUES {_rows(VARIATIONS)}) AS t(idx, value, depth, ply, parent)"),
     "token_pairs": (token_pairs, f"""WITH {TURNS_SQL}, n AS (SELECT *, lead(kind) OVER (PARTITION BY page ORDER BY idx) AS nk FROM toks)
         SELECT page, count_if(kind = 'num' AND nk = 'move') AS pairs, coalesce(bool_or(kind = 'num' AND nk = 'move' AND value = '1.'), false) AS starts FROM n GROUP BY page"""),

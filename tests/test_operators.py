@@ -1,6 +1,8 @@
 """Small cases of operators and functions with known outcomes."""
 
+import hashlib
 import io
+import re
 import struct
 import zlib
 
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plyframe import catalog
 from plyframe.functions import boards as B
 from plyframe.functions import geometry as G
 from plyframe.functions import text as T
@@ -249,6 +252,30 @@ def test_archive_round_trip(spark, tmp_path):
     assert io.BytesIO(book.content).getvalue()[:2] == b"PK"
 
 
+def test_checked_files(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"other")
+    digest = hashlib.sha256(b"abc").hexdigest()
+    sums = spark.createDataFrame([("a.bin", digest.upper()), ("b.bin", digest), ("c.bin", digest), ("a.bin", None)], "file string, sha256 string")
+    assert sorted((r.file, r.ok) for r in archive.checked_files(spark, str(tmp_path), sums).collect()) == [("a.bin", False), ("a.bin", True), ("b.bin", False), ("c.bin", False)]
+
+
+def plain_tokens(text, lang):
+    """(start, end, value) of a text by Python's regular expressions; without labels of alternatives."""
+    return [(m.start(), m.end(), m.group()) for m in re.finditer(N.token_pattern(lang).replace(r"\z", r"\Z"), text)]
+
+
+def test_tokens_of_whole_documents(spark, tables):
+    """The registered query over all texts against a search of each text by itself."""
+    got = {}
+    for r in catalog.queries()["document_tokens"](spark, tables).orderBy("page", "idx").collect():
+        got.setdefault(r.page, []).append((r.start, r.end, r.value, r.kind))
+    for doc in spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text").collect():
+        own = got.get(doc.doc_id, [])
+        want = [t for t in plain_tokens(doc.text or "", "en") if t[2] != ")"]
+        assert [t[:3] for t in own if t[3] not in ("prose", "close") and (t[3], t[2]) != ("semi", ";")] == [t for t in want if t[2] not in ("]", ";")]
+
+
 def test_text_layer(spark):
     markup = '<line><word xMin="36" yMin="72" xMax="72" yMax="90">A&amp;B</word> <word xMin="80" yMin="72" xMax="100" yMax="90">c4</word></line>'
     got = layer.blocks(spark.createDataFrame([(1, markup)], "page int, markup string")).first()
