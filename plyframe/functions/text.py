@@ -135,3 +135,13 @@ def table_cells(html: Column) -> Column:
     cells = lambda row: F.regexp_extract_all(row, F.lit(r"<td[^>]*>(.*?)</td>"), 1)
     rows = F.regexp_extract_all(html, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1)
     return F.transform(rows, lambda r: F.filter(F.slice(cells(r), 2, F.greatest(F.size(cells(r)), F.lit(1))), lambda c: F.trim(c) != "..."))
+
+
+def file_stem(path: Column) -> Column:
+    """The last part of a path without its last suffix; a leading dot begins no suffix."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)/*\z", 1), r"(?s)\A(.+)\.[^.]+\z", "$1")
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.when(v != "", v) for v in values])

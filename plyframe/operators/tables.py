@@ -38,6 +38,11 @@ def page_report(pages: DataFrame, moves: DataFrame, figures: DataFrame) -> DataF
     return out.withColumn("line", line)
 
 
+def titled(books: DataFrame) -> DataFrame:
+    """(book, title) of books (book, path, given, title): the title asked for, else that of the file's metadata, else its name."""
+    return books.select("book", T.first_filled(F.col("given"), F.col("title"), T.file_stem(F.col("path"))).alias("title"))
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(agree, total): rows with both values, and those where they are equal."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()

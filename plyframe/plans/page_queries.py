@@ -12,7 +12,9 @@ from ..operators import blocks as K
 from ..operators import positions as P
 from ..operators import reader, series
 from ..operators import spatial as S
+from ..operators import tables as R
 from ..operators import tokens as N
+from ..streaming import progress
 from .sources import BLOCKS_SQL, BOARDS_SQL, PLACES_SQL, blocks, boards, boxes, points, table
 from .table_queries import TURNS_SQL, _turn_tokens
 
@@ -118,6 +120,20 @@ def printed_pictures(spark, d):
     return S.printed_pictures(rows)
 
 
+def book_titles(spark, d):
+    page = table(spark, d, "pages")
+    given = F.when(F.col("page_id") % 7 == 0, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("Given "), F.col("page_id").cast("string"))).otherwise(""))
+    title = F.when(F.col("page_id") % 3 > 0, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return R.titled(page.select(F.col("page_id").alias("book"), F.col("url").alias("path"), given.alias("given"), title.alias("title")))
+
+
+def overall_progress(spark, d):
+    """Users as runs, their events as steps; errors of every third user end the run."""
+    code = F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 == 0), (F.col("event_id") % 2).cast("int"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("at"), F.col("event_type").alias("label"), code.alias("code"))
+    return progress.overall(rows, ("view", "click", "signup", "purchase"))
+
+
 _PIECES_SQL = f"""{PLACES_SQL}, pieces AS (SELECT *, repeat(substr('12345678abcdefghX', CAST(line % 17 + 1 AS INTEGER), 1), CASE WHEN line % 5 = 0 THEN 2 ELSE 1 END) AS t FROM points),
     held AS (SELECT p.page, b.box, t, cx, cy, x0, y0, x0 + 300 AS x9, y0 + 900 AS y9 FROM pieces p JOIN boxes b ON p.page = b.page AND cx BETWEEN x0 AND x0 + 300 AND cy BETWEEN y0 AND y0 + 900),
     evidence AS (SELECT page, box, 'rank' AS axis, cy AS position, CAST(t AS INTEGER) AS value FROM held WHERE regexp_full_match(t, '[1-8]') AND (cx < x0 + 0.15::DOUBLE * 300 OR cx > x9 - 0.15::DOUBLE * 300)
@@ -153,4 +169,12 @@ QUERIES = {
     "orphan_moves": (orphan_moves, None),
     "printed_pictures": (printed_pictures, f"""WITH {PLACES_SQL}, p AS (SELECT page, x0 AS x, y0 AS y, 50 + box % 3 * 400 AS width, 60 + box % 5 * 300 AS height, max(box * 1000) AS pixels FROM boxes GROUP BY ALL)
         SELECT *, CAST(row_number() OVER w AS INTEGER) AS number, pixels BETWEEN 1 AND 40000000 AS extracted FROM p WHERE width * height < 800000 WINDOW w AS (PARTITION BY page ORDER BY round_even(y / 100, 0), x, y, width, height) QUALIFY row_number() OVER w <= 60"""),
+    "book_titles": (book_titles, """WITH p AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'Given ' || page_id ELSE '' END END AS given,
+            CASE WHEN page_id % 3 > 0 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS meta, list_last(list_filter(string_split(url, '/'), lambda x: x <> '')) AS name FROM pages)
+        SELECT page_id AS book, coalesce(nullif(given, ''), nullif(meta, ''), regexp_replace(name, '^(.+)\\.[^.]+$', '\\1', 's')) AS title FROM p"""),
+    "overall_progress": (overall_progress, """WITH e AS (SELECT user_id, event_id, CAST(nullif(list_position(['view', 'click', 'signup', 'purchase'], event_type), 0) AS INTEGER) AS k,
+            CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN CAST(event_id % 2 AS INTEGER) END AS code FROM events),
+        r AS (SELECT user_id AS run, arg_max(k, event_id) FILTER (WHERE k IS NOT NULL) AS stage, max(event_id) - min(event_id) AS s, arg_max(code, event_id) FILTER (WHERE code IS NOT NULL) AS code FROM e GROUP BY user_id)
+        SELECT run, stage, 4 AS steps, CASE WHEN s // 60 < 10 THEN '0' ELSE '' END || (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS clock,
+               CASE WHEN code IS NULL THEN 'running' WHEN code = 0 THEN 'done' ELSE 'stopped' END AS state, code FROM r"""),
 }

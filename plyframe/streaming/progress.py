@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as T
+
 
 def parsed(lines: DataFrame) -> DataFrame:
     """(label, i, n, note) of the lines of the protocol; other lines are left out."""
@@ -22,6 +24,20 @@ def latest(progress: DataFrame) -> DataFrame:
     return best.withColumn("share", F.col("i") / F.greatest(F.col("n"), F.lit(1)))
 
 
+def overall(messages: DataFrame, steps: tuple[str, ...]) -> DataFrame:
+    """(run, stage, steps, clock, state, code) of each run from its messages (run, at, label, code), `at` in seconds.
+
+    stage: the number, from 1, of the step that was named last, null before the first and for labels that are no step.  A
+    message with a code ends its run: done with 0, otherwise stopped; the last one counts.  clock: from the first message to
+    the last.  Partial sums come before the shuffle; works on a stream as `latest` does.
+    """
+    number = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("label")).cast("int")
+    last = lambda value, given: F.max(F.when(given, F.struct("at", value.alias("value"))))["value"]
+    out = messages.groupBy("run").agg(last(number, number > 0).alias("stage"), (F.max("at") - F.min("at")).alias("seconds"), last(F.col("code"), F.col("code").isNotNull()).alias("code"))
+    state = F.when(F.col("code").isNull(), "running").when(F.col("code") == 0, "done").otherwise("stopped")
+    return out.select("run", "stage", F.lit(len(steps)).alias("steps"), T.mmss(F.col("seconds")).alias("clock"), state.alias("state"), "code")
+
+
 def watch(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the latest states from the text files of a folder."""
     return latest(parsed(spark.readStream.text(folder)))

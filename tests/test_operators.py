@@ -3,8 +3,6 @@
 import hashlib
 import io
 import re
-import struct
-import zlib
 
 import numpy as np
 import pytest
@@ -163,21 +161,12 @@ def test_page_numbers_keep_order_and_repeats(spark):
     assert [r.page for r in K.page_numbers(specs, 8).orderBy("place").collect()] == [3, 1, 2, 2]
 
 
-def png(pixels: np.ndarray) -> bytes:
-    """A PNG of grey or RGB pixels."""
-    h, w = pixels.shape[:2]
-    raw = b"".join(b"\0" + pixels[y].astype(np.uint8).tobytes() for y in range(h))
-    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if pixels.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
-
-
 def test_picture_metrics(spark, tmp_path):
     cells = (np.add.outer(np.arange(160) // 20, np.arange(160) // 20) % 2 * -150 + 240).astype(np.uint8)
     red = np.full((160, 160, 3), 250, np.uint8)
     red[:, :, 1:] = 20
-    (tmp_path / "board.png").write_bytes(png(cells))
-    (tmp_path / "red.png").write_bytes(png(red))
+    (tmp_path / "board.png").write_bytes(I.png(np.repeat(cells[:, :, None], 3, axis=2)))
+    (tmp_path / "red.png").write_bytes(I.png(red))
     pictures = spark.read.format("image").load(str(tmp_path)).select(F.regexp_extract("image.origin", r"(\w+)\.png", 1).alias("id"), "image")
     got = {r.id: r for r in I.metrics(pictures).collect()}
     assert got["board"].score > 2.5 and got["board"].aspect == 1 and got["board"].vivid == 0 and abs(got["board"].side - 160) < 20
@@ -234,6 +223,70 @@ def test_dots_and_flattening():
     assert I.flattened(np.array([90.0, 150.0, 240.0])).tolist() == [90, 200, 240]
 
 
+def marked_board():
+    """A board of 8 x 8 squares of 10 pixels with a dark piece, a highlighted square with a soft edge and a soft pixel far from it."""
+    dark = np.add.outer(np.arange(80) // 10, np.arange(80) // 10) % 2 == 1
+    plain = np.where(dark[:, :, None], np.array([150.0, 110, 80]), np.array([240.0, 220, 190]))
+    board = plain.copy()
+    board[33:37, 33:37] = 20
+    want = board.copy()
+    board[10:20, 20:30] = (250, 240, 40)
+    board[12:18, 30:32] = (235, 200, 140)
+    board[60, 60] = want[60, 60] = (235, 200, 140)
+    return board, want
+
+
+def test_marks_give_way_to_plain_squares():
+    board, want = marked_board()
+    assert (I.unmarked(board) == want).all() and (I.unmarked(want) == want).all()
+    rng = np.random.default_rng(7)
+    noisy = rng.integers(0, 256, (41, 37, 3)).astype(float)
+    plain, got = I.plain_squares(noisy), I.unmarked(noisy)
+    square = lambda y, x: (y * 8 // 41 + x * 8 // 37) % 2
+    places = [(y, x) for y in range(41) for x in range(37)]
+    middle = [np.median([noisy[p] for p in places if square(*p) == k], axis=0) for k in (0, 1)]
+
+    def like(y, x, s, v, d):
+        high, low = noisy[y, x].max(), noisy[y, x].min()
+        return (high - low) / max(high, 1) > s and high > v and np.linalg.norm(noisy[y, x] - middle[square(y, x)]) > d
+
+    marks = {p for p in places if like(*p, 0.5, 120, 60)}
+    near = {(y + i, x + j) for y, x in marks for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2}
+    for p in places:
+        assert (plain[p] == middle[square(*p)]).all()
+        assert (got[p] == (middle[square(*p)] if p in marks or (p in near and like(*p, 0.3, 150, 30)) else noisy[p])).all()
+
+
+def test_pictures_are_written_and_read_again(spark, tmp_path):
+    board, want = marked_board()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "in/a.png").write_bytes(I.png(board))
+    read = lambda name: spark.read.format("image").load(str(tmp_path / name)).select(F.regexp_extract("image.origin", r"(\w+)\.png", 1).alias("id"), "image")
+    pictures = read("in")
+    boxes = spark.createDataFrame([("a", "c", 30, 30, 10, 8), ("a", "edge", 75, -5, 50, 10), ("a", "none", 200, 0, 5, 5), ("b", "lost", 0, 0, 5, 5)], "id string, name string, x int, y int, width int, height int")
+    made = {r.name: r.bytes for r in I.crops(pictures, boxes).collect()} | {r.id: r.bytes for r in I.neutralized(pictures).collect()}
+    assert set(made) == {"c", "edge", "none", "a"} and made.pop("none") is None
+    for name, content in made.items():
+        (tmp_path / f"out/{name}.png").write_bytes(content)
+    got = {r.id: I.pixels(r.image.asDict()) for r in read("out").collect()}
+    assert (got["c"] == board[30:38, 30:40]).all() and (got["edge"] == board[:5, 75:]).all() and (got["a"] == want).all()
+    empty = spark.createDataFrame([("a", None)], pictures.schema)
+    assert [r.bytes for r in I.neutralized(empty).collect()] == [None]
+
+
+def test_titles(spark):
+    rows = [(1, "/x/Best Games.v2.pdf", "Mine", "Meta"), (2, "/x/a.pdf", "", "Meta"), (3, "/x/Best Games.v2.pdf", None, ""), (4, "b/.hidden", None, None), (5, "plain", None, None), (6, "x/a.", None, None), (7, None, None, None)]
+    got = {r.book: r.title for r in R.titled(spark.createDataFrame(rows, "book int, path string, given string, title string")).collect()}
+    assert got == {1: "Mine", 2: "Meta", 3: "Best Games.v2", 4: ".hidden", 5: "plain", 6: "a.", 7: None}
+
+
+def test_overall_progress(spark):
+    rows = [(1, 10, "read", None), (1, 75, "write", None), (1, 80, "noise", None), (2, 0, "read", None), (2, 61, None, 0), (3, 5, None, 3), (4, 1, "noise", None)]
+    got = {r.run: tuple(r)[1:] for r in progress.overall(spark.createDataFrame(rows, "run int, at long, label string, code int"), ("read", "write")).collect()}
+    assert got == {1: (2, 2, "01:10", "running", None), 2: (1, 2, "01:01", "done", 0), 3: (None, 2, "00:00", "stopped", 3), 4: (None, 2, "00:00", "running", None)}
+
+
 def test_archive_round_trip(spark, tmp_path):
     blocks = spark.createDataFrame([("b", 3, 0, "p3_t1", "1.e4")], "book string, page int, ord int, id string, text string")
     moves = spark.createDataFrame([("b", 3, 0, "p3_m1", "e4", True)], "book string, page int, ord int, id string, san string, ok boolean")
