@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plyframe.llm import bpe, lines, mixing, quality, queries
@@ -23,8 +24,6 @@ def steps(spark, tables):
 
 def test_stages_keep_clashing_columns(spark, tables):
     """Columns named like those that the operators make pass through; null and empty texts pass every stage."""
-    from pyspark.sql import functions as F
-
     made = ("key", "ratio", "n_lines", "n_dropped", "size", "weight", "total", "words", "position", "node", "_gone_id", "range")
     docs = spark.read.parquet(f"{tables}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in made})
     docs = docs.unionByName(docs.limit(2).withColumns({"doc_id": F.col("doc_id") + 100_000, "text": F.when(F.col("doc_id") == 0, "").cast("string")}))
@@ -35,6 +34,22 @@ def test_stages_keep_clashing_columns(spark, tables):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == docs.count()
 
 
+def test_stages_of_an_empty_table(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, durable(stage(spark, docs, tables))
+        assert docs.columns == before.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == 0
+
+
+def test_stages_of_documents_without_words(spark, tables):
+    """Null, empty and blank texts only: every stage ends, and none is left after quality."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").limit(3).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" \n")))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        assert durable(stage(spark, docs, tables)).columns == docs.columns
+    assert corpus_pipeline.STAGES[0][1](spark, docs, tables).count() == 0
+
+
 def rows(df):
     return {r.doc_id: r for r in df.collect()}
 
