@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, lines, mixing, ngram_join, preference, quality, topk, toxicity, urlfilter
-from .common import table
+from . import ann, bpe, decontaminate, lines, mixing, ngram_join, periodic, preference, quality, topk, toxicity, urlfilter, variants
+from .common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,13 +140,69 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"), misspell=199)
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text): where ten divides the CRC-32 of the id, the words from some place on repeat with some period."""
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    g = ((h - h % 10) / 10).cast("long")
+
+    def repeated(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
+
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    looped = F.transform(words, lambda w: F.when(F.size(w) > 0, repeated(w)))[0]
+    return docs.select("doc_id", F.when(F.coalesce(h % 10 == 0, F.lit(False)), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run of each document is that of the largest length by period, compared as exact products."""
+    found = periodic.find(_looped(table(spark, sf_dir, "documents")))
+    better = lambda r, b: (r["length"] * b["period"] > b["length"] * r["period"]) | b["period"].isNull()
+    first = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(better(r, b), r).otherwise(b))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.withColumn("best", first)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+OP13_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS shown
+      FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS p FROM i WHERE len(w) > 0)),
+s AS (SELECT DISTINCT size FROM v),
+o AS (SELECT k, size, p, array_to_string(w[p : p + size - 1], ' ') AS shown FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM w, s WHERE len(w) >= size)),
+h AS (SELECT k, p, v.size, item FROM o JOIN v USING (size, shown)),
+n AS (SELECT k, count(DISTINCT place) AS n_hit FROM (SELECT k, unnest(range(p, p + size)) AS place FROM h) GROUP BY k),
+l AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h WHERE item IS NOT NULL) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN n USING (k) LEFT JOIN l USING (k)
+"""
+
+
 def queries() -> dict[str, Query]:
     listed = (
         op1_importance_resampling, op2_url_globs, op3_ngram_jaccard, op4_preference_pairs, op5_exact_top_k,
-        op6_toxicity, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix, op10_line_dedup,
+        op6_toxicity, op7_byte_bpe, op8_ivf_pq, op9_curriculum_mix, op10_line_dedup, op11_spelling_variants, op12_periodic_runs, op13_decontamination,
     )
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_globs": OP2_SQL, "op4_preference_pairs": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op9_curriculum_mix": OP9_SQL}
+    return {"op2_url_globs": OP2_SQL, "op4_preference_pairs": OP4_SQL, "op5_exact_top_k": OP5_SQL, "op9_curriculum_mix": OP9_SQL, "op13_decontamination": OP13_SQL}

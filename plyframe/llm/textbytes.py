@@ -55,8 +55,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE):
-    """Cut points (begin, end) of pieces of about `size` bytes that end at a blank or at a text's end."""
+def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE, blank: np.ndarray = BLANK):
+    """Cut points (begin, end) of pieces of about `size` bytes that end at a blank (a byte that `blank` marks) or at a text's end."""
     begin, n = 0, len(data)
     while begin < n:
         end = begin + size
@@ -67,7 +67,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = PIECE):
             if at > begin:
                 end = at
             else:
-                while end < n and not BLANK[data[end]]:
+                while end < n and not blank[data[end]]:
                     end += 1
                 end = min(end, int(offsets[np.searchsorted(offsets, begin, "right")]))
         yield begin, end
