@@ -1,7 +1,7 @@
 """Book archives: zip files of manifest, pages, pictures and corrections, read and written by tasks.
 
-A folder of archives is read with Spark's binaryFile source, one archive per row, and opened in Arrow batches; `archives` packs
-the members of a book in one task, one archive per row, after `carried_over` has added the corrections of the book's last archive.
+Folders of archives are read and written by the data source of `bookzip`; the functions here are about what the members hold.
+`archives` packs the members of a book in one task, one archive per row, for tables that hold archives.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bookzip
+
 MOVE = "id string, block string, span array<int>, raw string, san string, uci string, fen string, ok boolean, variation_depth int, rects array<array<int>>"
 BLOCK = "id string, bbox array<int>, text string, moves array<string>, style struct<bold: boolean, color: string>"
 DIAGRAM = (
@@ -31,52 +33,50 @@ MANIFEST = "schema_version int, title string, language string, figurine_notation
 CORRECTION = _array("target string, type string, value string, source_hash string")
 
 
-def members(spark: SparkSession, folder: str, suffix: str = "*.chessbook") -> DataFrame:
+def members(spark: SparkSession, folder: str, suffix: str = bookzip.SUFFIX) -> DataFrame:
     """(book, name, bytes) of all members of the archives of a folder and its folders; unreadable archives have none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(folder)
-
-    def run(batches):
-        for frame in batches:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                book = path.rpartition("/")[2].rpartition(".")[0]
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for name in archive.namelist():
-                    yield pd.DataFrame({"book": [book], "name": [name], "bytes": [archive.read(name)]})
-
-    return files.select("path", "content").mapInPandas(run, "book string, name string, bytes binary")
+    return bookzip.read(spark, folder, suffix=suffix).select("book", "name", "bytes")
 
 
-def _json(rows: DataFrame, pattern: str, schema: str, root: str | None = None) -> DataFrame:
+def _json(rows: DataFrame, begin: str, middle: str, end: str, schema: str, root: str | None = None) -> DataFrame:
     text = F.decode("bytes", "UTF-8")
-    return rows.where(F.col("name").rlike(pattern)).select("book", F.from_json(F.get_json_object(text, root) if root else text, schema).alias("d"))
+    named = rows.where(F.col("name").startswith(begin) & F.col("name").endswith(end))  # these filters reach the reader
+    return named.where(F.col("name").rlike(f"^{begin}{middle}{end}$".replace(".", r"\."))).select("book", F.from_json(F.get_json_object(text, root) if root else text, schema).alias("d"))
 
 
 def pages(rows: DataFrame) -> DataFrame:
     """(book, page, width, height, blocks, moves, diagrams, background)."""
-    return _json(rows, r"^pages/p\d+\.json$", PAGE).select("book", "d.*")
+    return _json(rows, "pages/p", r"\d+", ".json", PAGE).select("book", "d.*")
 
 
 def manifests(rows: DataFrame) -> DataFrame:
-    return _json(rows, r"^manifest\.json$", MANIFEST).select("book", "d.*").withColumn("dpi", F.coalesce("dpi", F.lit(200)))
+    return _json(rows, "manifest", "", ".json", MANIFEST).select("book", "d.*").withColumn("dpi", F.coalesce("dpi", F.lit(200)))
 
 
 def corrections(rows: DataFrame) -> DataFrame:
     """(book, target, type, value, source_hash)."""
-    return _json(rows, r"^corrections\.json$", CORRECTION, "$.corrections").select("book", F.explode("d").alias("c")).select("book", "c.*")
+    return _json(rows, "corrections", "", ".json", CORRECTION, "$.corrections").select("book", F.explode("d").alias("c")).select("book", "c.*")
 
 
-def page_documents(blocks: DataFrame, moves: DataFrame, sizes: DataFrame) -> DataFrame:
+def page_documents(blocks: DataFrame, moves: DataFrame, sizes: DataFrame, diagrams: DataFrame | None = None) -> DataFrame:
     """(book, name, bytes) of the pages' JSON documents from flat tables (book, page, ord, ...)."""
     listed = lambda df, name: df.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in df.columns if c not in ("book", "page", "ord")]))).alias(name))
-    whole = sizes.join(listed(blocks, "blocks"), ["book", "page"], "left").join(listed(moves, "moves"), ["book", "page"], "left")
+    parts = {"blocks": blocks, "moves": moves} | ({} if diagrams is None else {"diagrams": diagrams})
+    whole = sizes
+    for name, rows in parts.items():
+        whole = whole.join(listed(rows, name), ["book", "page"], "left")
     without = lambda c: F.transform(F.coalesce(c, F.array().cast(whole.schema[c].dataType)), lambda x: x.dropFields("ord"))
-    text = F.to_json(F.struct("page", "width", "height", without("blocks").alias("blocks"), without("moves").alias("moves")))
+    text = F.to_json(F.struct("page", "width", "height", *[without(name).alias(name) for name in parts]))
     return whole.select("book", F.format_string("pages/p%04d.json", F.col("page").cast("int")).alias("name"), F.encode(text, "UTF-8").alias("bytes"))
 
 
+def matched_diagrams(documents: DataFrame) -> DataFrame:
+    """(book, id, fen, full): diagrams of pages that match a legal move of their book, with that move's full position."""
+    moves = documents.select("book", F.explode("moves").alias("m")).where("m.ok").select("book", F.col("m.id").alias("matches_move"), F.col("m.fen").alias("full"))
+    shown = documents.select("book", F.explode("diagrams").alias("d")).where("d.matches_move is not null").select("book", "d.id", "d.fen", "d.matches_move")
+    return shown.join(moves, ["book", "matches_move"]).select("book", "id", "fen", "full")
+
+
 def carried_over(new: DataFrame, old: DataFrame) -> DataFrame:
     """The members `new` of books, with the corrections of `old` archives where a book brings none."""
     kept = old.where(F.col("name") == "corrections.json").join(new.where(F.col("name") == "corrections.json").select("book"), "book", "left_anti")
