@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..constants import ALIGNED_SHARE, HEAD_CHARS, PARAGRAPH_CHARS
 from ..functions import text as T
-from .blocks import heads_found
 
 
 def pages_to_anchor(pages: DataFrame, moves: DataFrame) -> DataFrame:
@@ -71,10 +70,19 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(order).alias(order))
 
 
-def heads_repeated(blocks: DataFrame, window: int = HEAD_CHARS) -> DataFrame:
-    """(page, ord, cut): where the head of any other block of the page begins inside a block; a page is one row."""
-    pages = blocks.where(F.length("text") >= window).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("text").alias("flat")))).alias("all"))
-    return heads_found(pages.where(F.size("all") > 1), window, lambda own, other: other["ord"] != own["ord"])
+def heads_cut(blocks: DataFrame, window: int = HEAD_CHARS) -> DataFrame:
+    """(page, ord, text, cut) of blocks (page, ord, text, reread), cut where they repeat the head of a block that was read again.
+
+    Blocks that came out empty are read again, in order (`reread`); a head is their first `window` characters, or all there are.  A block is cut
+    before the first occurrence of such a head unless the block begins with it.  A block that is itself read again is empty until then, so
+    only heads of later ones count for it.  Blanks at the end of a cut block go.
+    """
+    heads = blocks.where("reread and text <> ''").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", F.substring("text", 1, window).alias("head")))).alias("heads"))
+    joined = blocks.join(heads, "page", "left")
+    others = F.filter(F.coalesce("heads", F.array().cast(heads.schema["heads"].dataType)), lambda h: (h["ord"] != F.col("ord")) & (~F.col("reread") | (h["ord"] > F.col("ord"))))
+    step = lambda text, h: F.when(F.position(h["head"], text) > 1, F.regexp_replace(F.substring(text, F.lit(1), F.position(h["head"], text) - 1), r"\s+$", "")).otherwise(text)
+    after = F.aggregate(others, F.col("text"), step)
+    return joined.select("page", "ord", after.alias("text"), (F.length(after) < F.length("text")).alias("cut"))
 
 
 def zipped(left: Column, right: Column) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FULL_PAGE_SHARE, LINE_TOLERANCE, MARGIN_SHARE, MAX_IMAGE_PIXELS, MAX_IMAGES, NEAREST_BOXES, RECT_PAD, ROW_BUCKET, ROW_SHARE
 from ..functions import geometry as G
+from ..functions.sweep import nearest_below
 from . import series
 
-#: Height in pixels of the bands of a page that turn a range join into an equality join.
+#: Side in pixels of the cells of a page that turn a range join into an equality join.
 BAND = 256
 
 
@@ -26,24 +29,30 @@ def spans_in_blocks(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     return held.select("page", F.col("holder.ord").alias("ord"), F.col("at").alias("s"), "e", (F.col("at") - F.col("holder.a")).alias("begin"), (F.col("e") - F.col("holder.a")).alias("end"))
 
 
-def _banded(boxes: DataFrame, tolerance: float) -> DataFrame:
-    low, high = F.floor((F.col("bbox.y0") - tolerance) / BAND), F.floor((F.col("bbox.y1") + tolerance) / BAND)
-    return boxes.withColumn("band", F.explode(F.sequence(low, F.greatest(low, high))))
+def _celled(boxes: DataFrame, tolerance: float) -> DataFrame:
+    """Boxes with a row for each cell of the page's grid that they touch."""
+    def cells(low: str, high: str):
+        first, last = F.floor((F.col(f"bbox.{low}") - tolerance) / BAND), F.floor((F.col(f"bbox.{high}") + tolerance) / BAND)
+        return F.explode(F.sequence(first, F.greatest(first, last)))
+
+    return boxes.withColumn("_row", cells("y0", "y1")).withColumn("_column", cells("x0", "x1"))
+
+
+def _in_cell(points: DataFrame) -> DataFrame:
+    return points.withColumns({"_row": F.floor(F.col("cy") / BAND), "_column": F.floor(F.col("cx") / BAND)})
 
 
 def lines_in_boxes(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Pairs of a line (page, line, cx, cy, ...) and a box (page, box, bbox) that holds its centre."""
-    banded = lines.withColumn("band", F.floor(F.col("cy") / BAND))
-    joined = banded.join(_banded(boxes, tolerance), ["page", "band"]).drop("band")
+    joined = _in_cell(lines).join(_celled(boxes, tolerance), ["page", "_row", "_column"]).drop("_row", "_column")
     return joined.where(G.holds(F.col("bbox"), F.col("cx"), F.col("cy"), tolerance))
 
 
 def lines_outside(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """The lines whose centre no box of the page holds."""
-    near = _banded(boxes, tolerance).select(F.col("page").alias("b_page"), "band", F.col("bbox").alias("b_box"))
-    banded = lines.withColumn("_band", F.floor(F.col("cy") / BAND))
-    held = (F.col("page") == F.col("b_page")) & (F.col("_band") == F.col("band")) & G.holds(F.col("b_box"), F.col("cx"), F.col("cy"), tolerance)
-    return banded.join(near, held, "left_anti").drop("_band")
+    near = _celled(boxes, tolerance).select(F.col("page").alias("b_page"), F.col("_row").alias("b_row"), F.col("_column").alias("b_column"), F.col("bbox").alias("b_box"))
+    cell = (F.col("page") == F.col("b_page")) & (F.col("_row") == F.col("b_row")) & (F.col("_column") == F.col("b_column"))
+    return _in_cell(lines).join(near, cell & G.holds(F.col("b_box"), F.col("cx"), F.col("cy"), tolerance), "left_anti").drop("_row", "_column")
 
 
 def reading_order(held: DataFrame, text: str = "text") -> DataFrame:
@@ -52,12 +61,34 @@ def reading_order(held: DataFrame, text: str = "text") -> DataFrame:
     return held.groupBy("page", "box").agg(F.array_join(F.transform(parts, lambda p: p["t"]), " ").alias("text"))
 
 
+def _nearest(strict: bool, own: bool):
+    """Column function of sorted boxes (x0, x1, y) and intervals (q0, q1, least), arrays of one page: index of each interval's nearest box."""
+
+    @F.pandas_udf("array<int>")
+    def run(x0: pd.Series, x1: pd.Series, y: pd.Series, q0: pd.Series, q1: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([nearest_below(*map(np.asarray, page), strict, own).astype(np.int32) for page in zip(x0, x1, y, q0, q1, least, strict=True)])
+
+    return run
+
+
+def _values(rows: str, field: str) -> Column:
+    return F.transform(rows, lambda r: r[field].cast("double"))
+
+
 def next_below(orphans: DataFrame, blocks: DataFrame) -> DataFrame:
-    """`before`: for each box (page, line, bbox) the ord of the nearest block below it that shares its width; null at the end."""
-    below = blocks.select("page", "ord", F.col("bbox").alias("other"))
-    joined = orphans.join(below, "page", "left").withColumn("ok", (F.col("other.y0") >= F.col("bbox.y1")) & G.shares_width(F.col("bbox"), F.col("other")))
-    best = F.min(F.when(F.col("ok"), F.struct(F.col("other.y0").alias("y0"), F.col("ord").alias("ord"))))
-    return joined.groupBy("page", "line").agg(best["ord"].alias("before"))
+    """`before`: for each line (page, line, bbox) the ord of the text block (page, ord, label, text, bbox) that comes after it.
+
+    That is the nearest block with text whose top is below the line's centre and that shares its width; null at the end of a page.
+    The boxes of a page are one row, swept from bottom to top.
+    """
+    texts = blocks.where((F.col("label") == "text") & F.col("text").rlike(r"\S"))
+    held = texts.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("bbox.y0").alias("y"), "ord", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1")))).alias("boxes"))
+    middle = (F.col("bbox.y0") + F.col("bbox.y1")) / 2
+    asked = orphans.groupBy("page").agg(F.collect_list(F.struct("line", F.col("bbox.x0").alias("q0"), F.col("bbox.x1").alias("q1"), middle.alias("least"))).alias("lines"))
+    pages = asked.join(held, "page", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(held.schema["boxes"].dataType)))
+    found = _nearest(True, False)(*[_values("boxes", c) for c in ("x0", "x1", "y")], *[_values("lines", c) for c in ("q0", "q1", "least")])
+    each = pages.select("page", "boxes", F.explode(F.arrays_zip("lines", found.alias("hit"))).alias("z"))
+    return each.select("page", "z.lines.line", F.get("boxes", F.col("z.hit"))["ord"].alias("before"))
 
 
 def clipped_words(words: Column, s: Column, e: Column) -> Column:
@@ -95,11 +126,16 @@ def mode_first(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 
 def allowed_heights(boxes: DataFrame, share: float = 0.6) -> DataFrame:
-    """`allowed`: the least room (page, box) has down to a box that shares its width and begins below `share` of its height."""
-    other = boxes.select("page", F.col("box").alias("other_id"), F.col("bbox").alias("other"))
-    start = F.col("bbox.y0") + share * (F.col("bbox.y1") - F.col("bbox.y0"))
-    hit = (F.col("box") != F.col("other_id")) & G.shares_width(F.col("bbox"), F.col("other")) & (F.col("other.y0") >= start)
-    return boxes.join(other, "page").groupBy("page", "box").agg(F.min(F.when(hit, F.col("other.y0") - F.col("bbox.y0"))).alias("allowed"))
+    """`allowed`: the least room (page, box) has down to a box that shares its width and begins below `share` of its height.
+
+    The boxes of a page are one row, swept from bottom to top.
+    """
+    one = F.struct(F.col("bbox.y0").alias("y"), "box", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"), (F.col("bbox.y0") + share * (F.col("bbox.y1") - F.col("bbox.y0"))).alias("least"))
+    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(one)).alias("boxes"))
+    columns = ("x0", "x1", "y", "x0", "x1", "least")
+    hit = _nearest(False, True)(*[_values("boxes", c) for c in columns])
+    each = pages.select("page", "boxes", F.explode(F.arrays_zip(F.col("boxes").alias("own"), hit.alias("hit"))).alias("z"))
+    return each.select("page", "z.own.box", (F.get("boxes", F.col("z.hit"))["y"] - F.col("z.own.y")).alias("allowed"))
 
 
 def crop_grid(boxes: DataFrame, cells: int = 8, scales: tuple[float, ...] = (1.0, 0.94, 1.06), nearest: int = NEAREST_BOXES) -> DataFrame:
@@ -124,17 +160,23 @@ def coordinate_evidence(pieces: DataFrame, boxes: DataFrame, share: float = MARG
     """(page, box, axis, position, value): single characters in a diagram's margins that may be its printed coordinates.
 
     Of pieces (page, line, cx, cy, text), digits 1-8 near the left or right edge are ranks, by height; letters a-h near the top or
-    bottom edge are files, from left to right.
+    bottom edge are files, from left to right.  Signs meet only the margins of their kind, cell by cell of the page.
     """
     sign = F.lower(F.trim("text"))
-    width, height = F.col("bbox.x1") - F.col("bbox.x0"), F.col("bbox.y1") - F.col("bbox.y0")
-    side = (F.col("cx") < F.col("bbox.x0") + share * width) | (F.col("cx") > F.col("bbox.x1") - share * width)
-    edge = (F.col("cy") < F.col("bbox.y0") + share * height) | (F.col("cy") > F.col("bbox.y1") - share * height)
-    row = lambda axis, at, value: F.struct(F.lit(axis).alias("axis"), F.col(at).cast("double").alias("position"), value.cast("int").alias("value"))
-    rank = F.when(sign.rlike("^[1-8]$") & side, row("rank", "cy", sign))
-    file = F.when(sign.rlike("^[a-h]$") & edge, row("file", "cx", F.ascii(sign) - F.lit(97)))
-    held = lines_in_boxes(pieces, boxes, 0).select("page", "box", F.coalesce(rank, file).alias("e"))
-    return held.where(F.col("e").isNotNull()).select("page", "box", "e.*")
+    value = F.when(sign.rlike("^[1-8]$"), sign.cast("int")).when(sign.rlike("^[a-h]$"), F.ascii(sign) - F.lit(97))
+    axis = F.when(sign.rlike("^[1-8]$"), "rank").when(sign.rlike("^[a-h]$"), "file")
+    signs = pieces.select("page", "cx", "cy", axis.alias("axis"), value.cast("int").alias("value")).where(F.col("axis").isNotNull())
+    width, height = F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")
+    strip = lambda axis, first, x0, y0, x1, y1: F.struct(F.lit(axis).alias("axis"), F.lit(first).alias("first"), G.box(x0, y0, x1, y1).alias("bbox"))
+    left, right, top, bottom = F.col("b.x0") + share * width, F.col("b.x1") - share * width, F.col("b.y0") + share * height, F.col("b.y1") - share * height
+    x0, y0, x1, y1 = (F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1"))
+    strips = F.array(strip("rank", True, x0, y0, left, y1), strip("rank", False, right, y0, x1, y1), strip("file", True, x0, y0, x1, top), strip("file", False, x0, bottom, x1, y1))
+    margins = boxes.select("page", "box", F.col("bbox").alias("b")).withColumn("m", F.explode(strips)).select("page", "box", "b", "m.*")
+    joined = _in_cell(signs).join(_celled(margins, 0), ["page", "_row", "_column", "axis"])
+    at, low, high = (F.when(F.col("axis") == "rank", a).otherwise(b) for a, b in ((F.col("cx"), F.col("cy")), (left, top), (right, bottom)))
+    kept = G.holds(F.col("b"), F.col("cx"), F.col("cy")) & F.when(F.col("first"), at < low).otherwise((at > high) & (at >= low))
+    position = F.when(F.col("axis") == "rank", F.col("cy")).otherwise(F.col("cx")).cast("double")
+    return joined.where(kept).select("page", "box", "axis", position.alias("position"), "value")
 
 
 def printed_orientation(pieces: DataFrame, boxes: DataFrame) -> DataFrame:

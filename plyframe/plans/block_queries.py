@@ -76,8 +76,9 @@ def line_in_box_join(spark, d):
 
 
 def box_reading_order(spark, d):
-    held = S.lines_in_boxes(points(spark, d).withColumn("text", F.col("line").cast("string")).dropDuplicates(["page", "cx", "cy"]), boxes(spark, d))
-    return held.groupBy("page", "box").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.bround(F.col("cy") / 8).alias("r"), "cx")).alias("m")).select("page", "box", "n", F.col("m.r").alias("row"), F.col("m.cx").alias("cx"))
+    """The lines that boxes hold, as text in reading order."""
+    lines = points(spark, d).withColumn("text", F.col("line").cast("string"))
+    return S.reading_order(S.lines_in_boxes(lines, boxes(spark, d))).select("page", "box", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
 def orphan_lines(spark, d):
@@ -85,7 +86,9 @@ def orphan_lines(spark, d):
 
 
 def next_block_below(spark, d):
-    below = boxes(spark, d).withColumnRenamed("box", "ord")
+    """Every box as a line, over the same boxes as blocks: pictures and blank blocks among them."""
+    label = F.when(F.col("box") % 7 == 0, "image").otherwise("text")
+    below = boxes(spark, d).select("page", F.col("box").alias("ord"), label.alias("label"), F.when(F.col("box") % 5 > 0, "x").otherwise(" \n").alias("text"), "bbox")
     return S.next_below(boxes(spark, d).withColumnRenamed("box", "line"), below)
 
 
@@ -169,11 +172,11 @@ QUERIES = {
         r AS (SELECT t.page, ord, text, again, coalesce(area >= 100000 AND c / area < 0.3 * median, false) AND length(regexp_replace(again, '\\s+', '', 'g')) >= 2.0 * c AS refilled FROM t JOIN m ON t.page = m.page)
         SELECT page, ord, refilled, md5(CASE WHEN refilled THEN trim(again) ELSE text END) AS text_md5 FROM r"""),
     "line_in_box_join": (line_in_box_join, f"WITH {PLACES_SQL} SELECT p.page, line, box FROM points p JOIN boxes b ON p.page = b.page AND cx BETWEEN x0 - 4 AND x1 + 4 AND cy BETWEEN y0 - 4 AND y1 + 4"),
-    "box_reading_order": (box_reading_order, f"""WITH {PLACES_SQL}, u AS (SELECT DISTINCT page, cx, cy FROM points),
-        j AS (SELECT u.page, box, round_even(cy / 8, 0) AS r, cx FROM u JOIN boxes b ON u.page = b.page AND cx BETWEEN x0 - 4 AND x1 + 4 AND cy BETWEEN y0 - 4 AND y1 + 4)
-        SELECT page, box, count(*) AS n, min(r) AS row, arg_min(cx, (r, cx)) AS cx FROM j GROUP BY page, box"""),
+    "box_reading_order": (box_reading_order, f"""WITH {PLACES_SQL}, j AS (SELECT p.page, box, line, round_even(cy / 8, 0) AS r, cx FROM points p JOIN boxes b ON p.page = b.page AND cx BETWEEN x0 - 4 AND x1 + 4 AND cy BETWEEN y0 - 4 AND y1 + 4),
+        t AS (SELECT page, box, string_agg(CAST(line AS VARCHAR), ' ' ORDER BY r, cx, CAST(line AS VARCHAR)) AS t FROM j GROUP BY page, box) SELECT page, box, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM t"""),
     "orphan_lines": (orphan_lines, f"WITH {PLACES_SQL} SELECT page, line FROM points p WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE p.page = b.page AND cx BETWEEN x0 - 4 AND x1 + 4 AND cy BETWEEN y0 - 4 AND y1 + 4)"),
-    "next_block_below": (next_block_below, f"""WITH {PLACES_SQL} SELECT a.page, a.box AS line, arg_min(b.box, (b.y0, b.box)) FILTER (WHERE b.y0 >= a.y1 AND a.x0 < b.x1 AND b.x0 < a.x1) AS before FROM boxes a JOIN boxes b ON a.page = b.page GROUP BY a.page, a.box"""),
+    "next_block_below": (next_block_below, f"""WITH {PLACES_SQL} SELECT a.page, a.box AS line, arg_min(b.box, (b.y0, b.box)) FILTER (WHERE b.box % 7 > 0 AND b.box % 5 > 0 AND b.y0 > (a.y0 + a.y1) / 2 AND b.x0 < a.x1 AND b.x1 > a.x0) AS before
+        FROM boxes a JOIN boxes b ON a.page = b.page GROUP BY a.page, a.box"""),
     "layout_obstacles": (layout_obstacles, f"""WITH {PLACES_SQL} SELECT a.page, a.box, min(b.y0 - a.y0) FILTER (WHERE a.box <> b.box AND a.x0 < b.x1 AND b.x0 < a.x1 AND b.y0 >= a.y0 + 0.6 * (a.y1 - a.y0)) AS allowed FROM boxes a JOIN boxes b ON a.page = b.page GROUP BY a.page, a.box"""),
     "style_mode": (style_mode, """WITH v AS (SELECT l_orderkey, l_returnflag || l_linestatus AS style, count(*) AS votes, min(l_linenumber) AS seen FROM lineitem GROUP BY ALL)
         SELECT l_orderkey, style, votes FROM v QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, seen, style) = 1"""),

@@ -53,9 +53,11 @@ def ordered_distinct(spark, d):
 
 
 def dup_head_cut(spark, d):
+    """Every third line runs on into the next one; lines after those were empty and have been read again."""
     after = F.lead("text").over(Window.partitionBy("page").orderBy("ord"))
     run_on = F.when(F.col("ord") % 3 == 0, F.concat_ws(" ", F.col("text"), after)).otherwise(F.col("text"))
-    return R.heads_repeated(blocks(spark, d).withColumn("text", run_on))
+    rows = blocks(spark, d).withColumn("text", run_on).withColumn("reread", F.col("ord") % 3 == 1)
+    return R.heads_cut(rows).select("page", "ord", "cut", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
 def char_alignment(spark, d):
@@ -97,8 +99,11 @@ QUERIES = {
     "next_main_move": (next_main_move, "SELECT conv_id AS page, turn AS idx, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_main FROM conversations"),
     "repeated_mentions": (repeated_mentions, """SELECT event_id AS idx, coalesce(list_contains(list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), event_type), false) AS repeated FROM events"""),
     "ordered_distinct": (ordered_distinct, "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source"),
-    "dup_head_cut": (dup_head_cut, f"""WITH {BLOCKS_SQL}, r AS (SELECT page, ord, CASE WHEN ord % 3 = 0 THEN concat_ws(' ', text, lead(text) OVER (PARTITION BY page ORDER BY ord)) ELSE text END AS t FROM blocks), g AS (SELECT * FROM r WHERE length(t) >= 25)
-        SELECT a.page, a.ord, CAST(min(instr(substr(a.t, 2), substr(b.t, 1, 25))) AS INTEGER) AS cut FROM g a JOIN g b ON a.page = b.page AND a.ord <> b.ord AND instr(substr(a.t, 2), substr(b.t, 1, 25)) > 0 GROUP BY ALL"""),
+    "dup_head_cut": (dup_head_cut, f"""WITH {BLOCKS_SQL}, r AS (SELECT page, ord, ord % 3 = 1 AS again, CASE WHEN ord % 3 = 0 THEN concat_ws(' ', text, lead(text) OVER (PARTITION BY page ORDER BY ord)) ELSE text END AS t FROM blocks),
+        h AS (SELECT a.page, a.ord, any_value(a.t) AS t, coalesce(list(substr(b.t, 1, 25) ORDER BY b.ord) FILTER (WHERE b.ord IS NOT NULL), []) AS heads
+              FROM r a LEFT JOIN r b ON a.page = b.page AND b.again AND b.t <> '' AND a.ord <> b.ord AND (NOT a.again OR b.ord > a.ord) GROUP BY a.page, a.ord),
+        c AS (SELECT page, ord, t, list_reduce([t] || heads, lambda acc, x: CASE WHEN strpos(acc, x) > 1 THEN regexp_replace(left(acc, CAST(strpos(acc, x) - 1 AS INTEGER)), '\\s+$', '') ELSE acc END) AS kept FROM h)
+        SELECT page, ord, length(kept) < length(t) AS cut, CAST(length(kept) AS INTEGER) AS n, md5(kept) AS text_md5 FROM c"""),
     "char_alignment": (char_alignment, None),
     "figurine_picks": (figurine_picks, "SELECT doc_id, n_name[1:1] AS letter FROM documents JOIN nation ON doc_id % 50 = n_nationkey AND source = 'src' || (n_nationkey % 20)"),
     "labelled_diagrams": (labelled_diagrams, f"WITH {BOARDS_SQL} SELECT book, id, CASE WHEN id % 6 = 0 THEN cells ELSE read END AS fen FROM boards WHERE id % 4 = 0 OR id % 6 = 0"),

@@ -9,6 +9,9 @@ from ..constants import SQUARE_CLASSES
 from ..functions import boards as B
 from ..functions import geometry as G
 
+#: Orders of a page, so that pages grow with the tables.
+LINES_OF_PAGE = 120
+
 LABELS = ("text", "paragraph_title", "header", "footer", "image", "chart")
 
 
@@ -33,7 +36,7 @@ blocks AS (SELECT page, CAST(i AS INTEGER) AS ord, {list(LABELS)}[1 + (page + i)
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as printed lines with a centre (page, line, cx, cy)."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
+        (F.col("l_orderkey") / LINES_OF_PAGE).cast("long").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"),
         (F.col("l_partkey") % 600).cast("double").alias("cx"), ((F.col("l_suppkey") * 37 + F.col("l_linenumber") * 211) % 3000).cast("double").alias("cy"),
     )
 
@@ -41,11 +44,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as boxes (page, box, bbox)."""
     x0, y0 = (F.col("o_custkey") % 500).cast("double"), ((F.col("o_orderkey") * 31) % 2800).cast("double")
-    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 500).alias("page"), F.col("o_orderkey").alias("box"), G.box(x0, y0, x0 + 100, y0 + 150).alias("bbox"))
+    return table(spark, sf_dir, "orders").select((F.col("o_orderkey") / LINES_OF_PAGE).cast("long").alias("page"), F.col("o_orderkey").alias("box"), G.box(x0, y0, x0 + 100, y0 + 150).alias("bbox"))
 
 
-PLACES_SQL = """points AS (SELECT l_orderkey % 500 AS page, l_orderkey * 10 + l_linenumber AS line, CAST(l_partkey % 600 AS DOUBLE) AS cx, CAST((l_suppkey * 37 + l_linenumber * 211) % 3000 AS DOUBLE) AS cy FROM lineitem),
-boxes AS (SELECT o_orderkey % 500 AS page, o_orderkey AS box, CAST(o_custkey % 500 AS DOUBLE) AS x0, CAST((o_orderkey * 31) % 2800 AS DOUBLE) AS y0, x0 + 100 AS x1, y0 + 150 AS y1 FROM orders)"""
+PLACES_SQL = f"""points AS (SELECT l_orderkey // {LINES_OF_PAGE} AS page, l_orderkey * 10 + l_linenumber AS line, CAST(l_partkey % 600 AS DOUBLE) AS cx, CAST((l_suppkey * 37 + l_linenumber * 211) % 3000 AS DOUBLE) AS cy FROM lineitem),
+boxes AS (SELECT o_orderkey // {LINES_OF_PAGE} AS page, o_orderkey AS box, CAST(o_custkey % 500 AS DOUBLE) AS x0, CAST((o_orderkey * 31) % 2800 AS DOUBLE) AS y0, x0 + 100 AS x1, y0 + 150 AS y1 FROM orders)"""
 
 
 def classes(embedding: Column) -> Column:

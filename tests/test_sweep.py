@@ -1,0 +1,61 @@
+"""Nearest boxes below, heads of blocks read again, and margins, against all pairs."""
+
+import random
+import time
+
+import numpy as np
+import pytest
+
+from plyframe.functions.sweep import nearest_below
+from plyframe.operators import reader
+from plyframe.operators import spatial as S
+
+
+def plain(x0, x1, y, q0, q1, least, strict, own):
+    out = []
+    for i in range(len(q0)):
+        fits = [k for k in range(len(x0)) if x0[k] < q1[i] and x1[k] > q0[i] and (y[k] > least[i] if strict else y[k] >= least[i]) and not (own and k == i)]
+        out.append(min(fits, key=lambda k: (y[k], k), default=-1))
+    return out
+
+
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("own", [True, False])
+def test_sweep_equals_all_pairs(strict, own):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 5, 40, 120):
+        for reach in (4, 30, 1000):
+            y = np.sort(np.array([rng.randrange(reach) for _ in range(n)], float))
+            x0 = np.array([rng.randrange(reach) for _ in range(n)], float)
+            x1 = x0 + [rng.randrange(reach // 2) for _ in range(n)]
+            q0, q1, least = (x0, x1, y + [rng.choice([-1, 0, 1, 9]) for _ in range(n)]) if own else (x1[::-1] - 3, x0[::-1] + rng.randrange(9), y[::-1] + 0.5)
+            assert nearest_below(x0, x1, y, q0, q1, least, strict, own).tolist() == plain(x0, x1, y, q0, q1, least, strict, own)
+
+
+def test_sweep_of_a_large_page_is_not_quadratic():
+    rng = np.random.default_rng(0)
+    x0, y = rng.integers(0, 10**6, 20_000).astype(float), np.sort(rng.random(20_000) * 10**6)
+    began = time.perf_counter()
+    nearest_below(x0, x0 + 500, y, x0, x0 + 500, y + 10)
+    assert time.perf_counter() - began < 20
+
+
+def test_line_before_the_block_that_begins_below_its_centre(spark):
+    box = "struct<x0: double, y0: double, x1: double, y1: double>"
+    lines = spark.createDataFrame([(1, 1, (0.0, 100.0, 50.0, 140.0)), (1, 2, (500.0, 0.0, 600.0, 10.0)), (2, 3, (0.0, 0.0, 9.0, 9.0))], f"page int, line int, bbox {box}")
+    blocks = spark.createDataFrame(
+        [(1, 0, "text", " ", (0.0, 125.0, 50.0, 200.0)), (1, 1, "image", "x", (0.0, 126.0, 50.0, 200.0)), (1, 2, "text", "x", (49.0, 130.0, 60.0, 200.0)), (1, 3, "text", "x", (0.0, 120.0, 50.0, 200.0)), (1, 4, "text", "x", (0.0, 131.0, 50.0, 200.0))],
+        f"page int, ord int, label string, text string, bbox {box}",
+    )
+    assert {r.line: r.before for r in S.next_below(lines, blocks).collect()} == {1: 2, 2: None, 3: None}
+
+
+def test_heads_of_blocks_that_were_read_again(spark):
+    head = "Twenty-five characters at least"
+    rows = [
+        (1, 0, f"before it {head} and the rest", False), (1, 1, head + " and more", True), (1, 2, f"{head} here, and again {head}", False), (1, 3, "ends with short", False), (1, 4, "short", True),
+        (1, 5, "a short one", True), (2, 0, "a short page", False), (2, 1, "", True), (3, 0, "plain", False), (3, 1, "lain", False),
+    ]
+    got = {(r.page, r.ord): r.text for r in reader.heads_cut(spark.createDataFrame(rows, "page int, ord int, text string, reread boolean")).collect()}
+    want = {(p, o): t for p, o, t, _ in rows} | {(1, 0): "before it", (1, 3): "ends with"}
+    assert got == want
