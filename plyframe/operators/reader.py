@@ -1,14 +1,11 @@
-"""What the reader of a book derives: visible flags, text slices, page steps, aligned characters."""
+"""What the reader of a book derives: visible flags, text slices, page steps."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ALIGNED_SHARE, HEAD_CHARS, PARAGRAPH_CHARS
+from ..constants import HEAD_CHARS, PARAGRAPH_CHARS
 from ..functions import text as T
 
 
@@ -91,18 +88,6 @@ def zipped(left: Column, right: Column) -> Column:
     return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1), n), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
 
 
-def aligned_share(pairs: DataFrame) -> DataFrame:
-    """`share` of the characters of `a` that align with `b`, and whether that is enough to place them."""
-
-    @F.pandas_udf("double")
-    def share(a: pd.Series, b: pd.Series) -> pd.Series:
-        blocks = lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()
-        return pd.Series([sum(m.size for m in blocks(x, y)) / len(x) if x else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
-
-    out = pairs.withColumn("share", share("a", "b"))
-    return out.withColumn("placed", F.col("share") >= ALIGNED_SHARE)
-
-
 def picked(cells: DataFrame, picks: DataFrame) -> DataFrame:
     """Cells with the letter a person gave to their page and text; cells without one are left out."""
     return cells.join(picks, ["page", "text"])

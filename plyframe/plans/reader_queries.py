@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators import alignment as L
 from ..operators import reader as R
 from ..operators import series
 from .sources import BLOCKS_SQL, BOARDS_SQL, blocks, boards, moves, table
@@ -64,7 +66,43 @@ def char_alignment(spark, d):
     """Neighbouring turns aligned character by character."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = table(spark, d, "conversations").withColumn("b", before).where("b is not null").select("conv_id", "turn", F.col("text").alias("a"), "b")
-    return R.aligned_share(rows).select("conv_id", "turn", "share", "placed")
+    return L.aligned_share(rows).select("conv_id", "turn", "share", "placed")
+
+
+#: A printed line has four pieces of ten characters, ten pixels wide each; lines are thirty pixels apart.
+_LINE, _PIECE = 40, 10
+
+
+def _printed(spark, d, damage: bool):
+    """(blocks, pieces): turns as blocks, the words of which are spans, and their text as pieces of printed lines."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("ord"), F.col("text"))
+    height = (F.floor(F.length("text") / _LINE) + 1) * 30
+    top = F.col("ord") * 100_000
+    spans = F.expr("transform(filter(sequence(0, greatest(length(text) - 1, 0)), i -> substr(text, i + 1, 1) <> ' ' and (i = 0 or substr(text, i, 1) = ' ')), i -> struct(i as s, case when locate(' ', text, i + 1) > 0 then locate(' ', text, i + 1) - 1 else length(text) end as e))")
+    rows = turns.withColumn("text", F.regexp_replace("text", "\\s", " ")).withColumn("spans", spans)
+    blocks = rows.select("page", "ord", "text", "spans", G.box(F.lit(0.0), top.cast("double"), F.lit(400.0), (top + height).cast("double")).alias("bbox"))
+    pieces = rows.where("text <> ''").select("page", "ord", F.col("text"), F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(_PIECE))).alias("k", "at"))
+    shown = F.substring("text", F.col("at") + 1, F.lit(_PIECE))
+    if damage:  # some letters are misread, some pieces lost
+        shown = F.when((F.col("page") + F.col("k")) % 3 == 0, F.translate(shown, "eaon", "cu0")).otherwise(shown)
+        shown = F.when((F.col("page") * 7 + F.col("k")) % 11 == 0, "").otherwise(shown)
+    row, x, wide = F.floor(F.col("at") / _LINE), F.col("at") % _LINE * 10.0, F.length(F.substring("text", F.col("at") + 1, F.lit(_PIECE))) * 10
+    y = (F.col("ord") * 100_000 + row * 30).cast("double")
+    placed = pieces.select("page", (F.col("ord") * 10_000 + row).alias("line"), F.col("k").alias("seq"), shown.alias("text"), G.box(x, y, x + wide, y + 20).alias("bbox"))
+    return blocks, placed
+
+
+def move_rects(spark, d):
+    """Rectangles of the words of each turn, on the lines that they are printed on."""
+    blocks, pieces = _printed(spark, d, damage=False)
+    found = L.span_rects(blocks, L.block_streams(L.printed_lines(pieces), blocks))
+    return found.select("page", "ord", "span", "s", "e", "share", F.array_join(F.transform("rects", lambda r: F.array_join(r.cast("array<string>"), " ")), "|").alias("rects"))
+
+
+def damaged_rects(spark, d):
+    """The same where letters are misread and pieces lost."""
+    blocks, pieces = _printed(spark, d, damage=True)
+    return L.span_rects(blocks, L.block_streams(L.printed_lines(pieces), blocks))
 
 
 def figurine_picks(spark, d):
@@ -105,6 +143,11 @@ QUERIES = {
         c AS (SELECT page, ord, t, list_reduce([t] || heads, lambda acc, x: CASE WHEN strpos(acc, x) > 1 THEN regexp_replace(left(acc, CAST(strpos(acc, x) - 1 AS INTEGER)), '\\s+$', '') ELSE acc END) AS kept FROM h)
         SELECT page, ord, length(kept) < length(t) AS cut, CAST(length(kept) AS INTEGER) AS n, md5(kept) AS text_md5 FROM c"""),
     "char_alignment": (char_alignment, None),
+    "move_rects": (move_rects, r"""WITH t AS (SELECT conv_id AS page, turn AS ord, regexp_replace(text, '\s', ' ', 'g') AS text FROM conversations), c AS (SELECT page, ord, unnest(range(length(text))) AS i, text FROM t),
+        l AS (SELECT page, ord, i, sum(CASE WHEN i = 0 OR text[i] = ' ' THEN 1 ELSE 0 END) FILTER (WHERE text[i + 1] <> ' ') OVER (PARTITION BY page, ord ORDER BY i) - 1 AS span FROM c WHERE text[i + 1] <> ' '),
+        r AS (SELECT page, ord, span, i // 40 AS row, min(i) AS a, max(i) + 1 AS b, CAST(min(i) % 40 * 10 - 2 AS VARCHAR) || ' ' || (ord * 100000 + i // 40 * 30 - 2) || ' ' || (count(*) * 10 + 4) || ' 24' AS rect FROM l GROUP BY page, ord, span, i // 40)
+        SELECT page, ord, CAST(span AS INTEGER) AS span, CAST(min(a) AS INTEGER) AS s, CAST(max(b) AS INTEGER) AS e, 1.0::DOUBLE AS share, string_agg(rect, '|' ORDER BY row) AS rects FROM r GROUP BY page, ord, span"""),
+    "damaged_rects": (damaged_rects, None),
     "figurine_picks": (figurine_picks, "SELECT doc_id, n_name[1:1] AS letter FROM documents JOIN nation ON doc_id % 50 = n_nationkey AND source = 'src' || (n_nationkey % 20)"),
     "labelled_diagrams": (labelled_diagrams, f"WITH {BOARDS_SQL} SELECT book, id, CASE WHEN id % 6 = 0 THEN cells ELSE read END AS fen FROM boards WHERE id % 4 = 0 OR id % 6 = 0"),
     "median_by_parity": (median_by_parity, """WITH c AS (SELECT vec_id, unnest(range(64)) AS i, embedding AS e FROM embeddings), k AS (SELECT vec_id || '_' || ((i // 8 + i) % 2) AS key, CAST(e[i + 1] AS DOUBLE) AS x FROM c)

@@ -13,6 +13,7 @@ from plyframe.functions import boards as B
 from plyframe.functions import geometry as G
 from plyframe.functions import text as T
 from plyframe.operators import blocks as K
+from plyframe.operators import alignment
 from plyframe.operators import images as I
 from plyframe.operators import positions as P
 from plyframe.operators import reader
@@ -105,7 +106,7 @@ def test_entities(spark):
 
 def test_aligned_characters(spark):
     rows = [("abcdef", "abXdef", 5 / 6), ("abc", "", 0.0), (None, "abc", 0.0), ("", "", 0.0), ("aab", "baa", 2 / 3)]
-    got = reader.aligned_share(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")).orderBy("i").collect()
+    got = alignment.aligned_share(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(rows)], "i int, a string, b string")).orderBy("i").collect()
     assert [r.share for r in got] == [w for _, _, w in rows] and [r.placed for r in got] == [w >= 0.6 for _, _, w in rows]
 
 
