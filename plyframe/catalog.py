@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans.flow import book_report
 
-MODULES = ("flow", "block_queries", "board_queries", "table_queries", "reader_queries", "page_queries", "archive_queries")
+MODULES = ("flow", "block_queries", "board_queries", "table_queries", "reader_queries", "page_queries", "archive_queries", "picture_queries")
 FLAGSHIP = book_report
 
 

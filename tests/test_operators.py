@@ -215,12 +215,7 @@ def test_pixel_shares():
     assert I.figurine_like(np.pad(np.full((30, 3), 255), ((0, 0), (5, 5)))) and not I.figurine_like(np.full((30, 20), 255)) and not I.figurine_like(np.zeros((20, 9)))
 
 
-def test_dots_and_flattening():
-    page = np.full((100, 100), 255.0, np.float32)
-    yy, xx = np.mgrid[:100, :100]
-    page[(yy - 20) ** 2 + (xx - 50) ** 2 <= 10] = 0
-    assert [(round(x), round(y)) for x, y in I.dots(page, 100)] == [(50, 20)]
-    assert I.dots(np.full((50, 50), 255.0), 100) == []
+def test_flattening():
     assert I.flattened(np.array([90.0, 150.0, 240.0])).tolist() == [90, 200, 240]
 
 
