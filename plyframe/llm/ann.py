@@ -2,13 +2,17 @@
 
 Coarse centroids and the codebooks of the residuals' parts are fitted on a bounded sample (`sample` rows, by hash of
 the id); every row is indexed: it goes to its nearest centroid's list with the codes of its residual.  A query probes the
-lists whose centroids are nearest, scores their rows by tables of products of its parts with the codewords (asymmetric:
-the query is not quantised), and reranks by the exact cosine in doubles: in each piece of a list the best `rerank`, all
-rows tied with them, and all that the quantisation error of their residuals lets be among the k best of the piece.  So the
-result is exact, down to the smaller ids of equal rows, over the probed lists; only lists that are not probed lose rows.
-How many lists are probed is fitted on the sample too: the fewest that hold `hold` of the true neighbours of 200 of its
-rows.  Equal vectors are one row of the index.  Lists are split by hash into pieces of about `piece` rows, and where more than
-`chunk` queries probe a list these are split too, so one list may hold any share of all rows and be probed by all queries.
+lists whose centroids are nearest and scores their rows by tables of products of its parts with the codewords (asymmetric:
+the query is not quantised).  Only codes travel to the queries.  Of all probed rows those are reranked whose quantised score is
+at most `margin` below the query's (k + 1)th best one: their vectors are fetched by row number, and their exact cosines in
+doubles decide.  Each piece of a list sends only rows that can still be among them, by its own best scores and by those
+of the sample's rows.
+
+Two numbers are fitted on the sample: the lists to probe, the fewest that hold `hold` of the true neighbours of 200 of its rows, and the
+margin, the least that keeps `hold` of them.  Where there are more rows than the sample, a quarter of it has no part in the fit
+of the codes and sets the margin, as codes fit the rows they come from better than others.  Equal vectors are one row of the index.
+Lists are split by hash into pieces of about `piece` rows, and where more than `chunk` queries probe a list these are split too, so one
+list may hold any share of all rows and be probed by all queries.
 
 Defined cases: see `vectors`; zero vectors take no part; a query's own id is no candidate; repeated rows count once;
 with fewer candidates than k all are returned (a small table is one list).  The index holds the vectors of the most frequent
@@ -25,32 +29,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, in_arrow
+from .common import durable, in_arrow, small
 from .vectors import Best, compared, matrices, merge, usable
 
 
+#: Rows of a product with all centres, and queries of a product with all rows of a piece or of the sample.
+ROWS, QUERIES = 2048, 256
+
+
 @dataclass(frozen=True)
 class Model:
-    """Unit centroids (lists, d), codebooks (parts, codes, d / parts) and the number of lists to probe."""
+    """Unit centroids (lists, d), codebooks (parts, codes, d / parts), lists to probe, margin of scores, lists and codes of the sample."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
-    probes: int
+    probes: int = 1
+    margin: float = 0.0
+    known: tuple[np.ndarray, np.ndarray] | None = None
 
     def assign(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centroids.T).argmax(axis=1)
+        return np.concatenate([np.zeros(0, np.int64), *[(x[i : i + ROWS] @ self.centroids.T).argmax(axis=1) for i in range(0, len(x), ROWS)]])
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest, width = x - self.centroids[lists], self.codebooks.shape[2]
         return np.stack([_nearest(rest[:, p * width : (p + 1) * width], book) for p, book in enumerate(self.codebooks)], axis=1).astype(np.uint8)
 
-    def decode(self, codes: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        return self.centroids[lists] + np.concatenate([book[codes[:, p]] for p, book in enumerate(self.codebooks)], axis=1)
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """The lists that each unit query probes."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """(query, part, code): products of the query's parts with the codewords."""
+    def scores(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """[query, row] quantised scores: the list's product and those of the row's codewords, by table."""
         parts, _, width = self.codebooks.shape
-        return np.einsum("qpw,pcw->qpc", q.reshape(len(q), parts, width), self.codebooks)
+        tables = np.einsum("qpw,pcw->qpc", q.reshape(len(q), parts, width), self.codebooks)
+        out = (q @ self.centroids.T)[:, lists]
+        for p in range(parts):
+            out += tables[:, p, :][:, codes[:, p]]
+        return out
+
+    def floors(self, q: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
+        """A score that k + 1 rows of the lists that each query probes reach, by the sample's rows; -inf if there are fewer."""
+        lists, codes = self.known
+        if len(lists) <= k:
+            return np.full(len(q), -np.inf)
+        probed = np.zeros((len(q), len(self.centroids)), bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        return np.partition(np.where(probed[:, lists], self.scores(q, lists, codes), -np.inf), -k - 1, axis=1)[:, -k - 1]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,7 +82,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+    size = (centres * centres).sum(axis=1)
+    return np.concatenate([np.zeros(0, np.int64), *[(size - 2 * (x[i : i + ROWS] @ centres.T)).argmin(axis=1) for i in range(0, len(x), ROWS)]])
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -73,22 +98,40 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return centres
 
 
-def fit(x: np.ndarray, lists: int, parts: int, k: int, hold: float, seed: int = 7) -> Model:
-    """The model of a sample of unit vectors."""
+def fit(x: np.ndarray, lists: int, parts: int, k: int, hold: float, whole: bool = True, seed: int = 7) -> Model:
+    """The model of a sample of unit vectors; `whole` if there are no other rows."""
     rng = np.random.default_rng(seed)
-    centres = kmeans(x, lists, rng)
+    kept = np.ones(len(x), bool)
+    if not whole and len(x) >= 64:
+        kept[rng.choice(len(x), len(x) // 4, replace=False)] = False
+    centres = kmeans(x[kept], lists, rng)
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    own = (x @ centres.T).argmax(axis=1)
-    rest, width = x - centres[own], x.shape[1] // parts
-    books = np.stack([kmeans(rest[:, p * width : (p + 1) * width], 256, rng, 8) for p in range(parts)])
+    own, width = Model(centres, np.zeros((0, 0, 0))).assign(x), x.shape[1] // parts
+    rest = (x - centres[own])[kept]
+    model = Model(centres, np.stack([kmeans(rest[:, p * width : (p + 1) * width], 256, rng, 8) for p in range(parts)]))
+    codes = model.encode(x, own)
     asked = rng.choice(len(x), min(200, len(x)), replace=False)
-    near = x[asked] @ x.T
-    near[np.arange(len(asked)), asked] = -np.inf
-    true = np.argsort(-near, axis=1)[:, :k]
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
     place = np.argsort(np.argsort(-(x[asked] @ centres.T), axis=1), axis=1)
-    needed = np.sort(np.take_along_axis(place, own[true], axis=1).ravel()) + 1
-    probes = int(needed[min(len(needed) - 1, int(np.ceil(hold * len(needed))) - 1)]) if len(needed) else lists
-    return Model(centres, books, max(1, min(lists, probes)))
+    needed = np.sort(np.take_along_axis(place, own[np.argsort(-exact, axis=1)[:, :k]], axis=1).ravel()) + 1
+    probes = max(1, min(lists, int(_held(needed, hold, lists))))
+    tried = np.ones(len(x), bool) if kept.all() else ~kept
+    about = model.scores(x[asked], own, codes)
+    about[np.arange(len(asked)), asked] = -np.inf
+    exact, about = exact[:, tried], about[:, tried]
+    margin = np.inf  # too few rows to say
+    if tried.sum() > k + 1:
+        true = np.argsort(-exact, axis=1)[:, :k]
+        last = np.partition(about, -k - 1, axis=1)[:, -k - 1]
+        below = np.sort((last[:, None] - np.take_along_axis(about, true, axis=1)).ravel())
+        margin = max(0.0, float(_held(below, hold, 0.0)))
+    return Model(centres, model.codebooks, probes, margin, (own, codes))
+
+
+def _held(ordered: np.ndarray, hold: float, none: float) -> float:
+    """The value that the share `hold` of ordered values does not exceed."""
+    return ordered[min(len(ordered) - 1, max(0, int(np.ceil(hold * len(ordered))) - 1))] if len(ordered) else none
 
 
 def pieces_and_chunks(filed: DataFrame, probes: DataFrame, piece: int, chunk: int) -> DataFrame:
@@ -98,38 +141,9 @@ def pieces_and_chunks(filed: DataFrame, probes: DataFrame, piece: int, chunk: in
     return durable(rows.join(asked, "list"))
 
 
-def scored(codes: np.ndarray, error: np.ndarray, exact: np.ndarray, own_ids: list[np.ndarray], q_ids: np.ndarray, q: np.ndarray, tables: np.ndarray, k: int, rerank: int) -> Best:
-    """The k nearest of each query among the rows of one piece: quantised scores by table, exact ones for what these leave."""
-    near = np.zeros((len(q), len(codes)))
-    for p in range(codes.shape[1]):
-        near += tables[:, p, :][:, codes[:, p]]  # the list's own product is the same for all its rows
-    keep = np.ones(near.shape, bool)
-    if len(codes) > max(rerank, k):
-        tied = np.partition(near, -rerank, axis=1)[:, -rerank, None]
-        least = np.partition(near - error, -k - 1, axis=1)[:, -k - 1, None]  # k rows and the query itself may be as near as that
-        keep = (near >= tied) | (near + error >= least)
-    length = np.linalg.norm(exact, axis=1)
-    about = np.where(keep, (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (exact / length[:, None]).T, -np.inf)
-    if len(codes) > k + 1:
-        about[about < np.partition(about, -k - 1, axis=1)[:, -k - 1, None] - 1e-9] = -np.inf
-    row, col = np.nonzero(about > -np.inf)
-    # by pair, not as one matrix product: equal rows then score equally, wherever they stand
-    score = (exact[col] * q[row]).sum(axis=1) / (length[col] * np.linalg.norm(q[row], axis=1))
-    times = np.array([len(own_ids[c]) for c in col], np.int64)
-    row, score, ids = np.repeat(row, times), np.repeat(score, times), np.concatenate([np.zeros(0, np.int64), *[own_ids[c] for c in col]])
-    best = Best(len(q), k)
-    other = ids != q_ids[row]
-    row, score, ids = row[other], score[other], ids[other]
-    order = np.lexsort((ids, -score, row))
-    row, score, ids = row[order], score[order], ids[order]
-    top = np.arange(len(row)) - np.searchsorted(row, row) < k
-    best.row, best.score, best.id = row[top], score[top], ids[top]
-    return best
-
-
 def search(
     vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding",
-    lists: int | None = None, parts: int = 16, sample: int = 20_000, hold: float = 0.98, rerank: int = 64, piece: int = 4096, chunk: int = 1024,
+    lists: int | None = None, parts: int = 16, sample: int = 20_000, hold: float = 0.99, piece: int = 4096, chunk: int = 1024,
 ) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): the k nearest found, score the exact cosine.
 
@@ -141,7 +155,7 @@ def search(
     if not lengths:
         return merge(rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
     usual, n = lengths[0]["d"], lengths[0]["count"]
-    found = indexed(rows.where(F.size("v") == usual), asked.where(F.size("v") == usual), n, k, lists, parts, sample, hold, rerank, piece, chunk)
+    found = indexed(rows.where(F.size("v") == usual), asked.where(F.size("v") == usual), n, k, lists, parts, sample, hold, piece, chunk)
     if len(lengths) > 1:  # vectors of other lengths have no index: they are compared one by one
         found = found.unionByName(compared(rows.where(F.size("v") != usual), asked.where(F.size("v") != usual), lambda q_ids, q, _, c_ids, c: cosines(q_ids, q, c_ids, c, k), "double"))
     return merge(found, k)
@@ -156,53 +170,75 @@ def cosines(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return best
 
 
-def indexed(rows: DataFrame, asked: DataFrame, n: int, k: int, lists: int | None, parts: int, sample: int, hold: float, rerank: int, piece: int, chunk: int) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest rows of each piece that a query meets; all vectors have one length."""
+def indexed(rows: DataFrame, asked: DataFrame, n: int, k: int, lists: int | None, parts: int, sample: int, hold: float, piece: int, chunk: int) -> DataFrame:
+    """(query_id, vec_id, score) of what is reranked for each query; all vectors have one length."""
     lists = lists or (1 if n < 256 else min(4096, max(2, round(n**0.5 / 4))))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(n, 1))) < sample).limit(2 * sample).toPandas().sort_values("vec_id")
     if not len(drawn):  # ids whose hashes all lie above the sample's
-        drawn = rows.limit(sample).toPandas()
+        drawn = rows.orderBy("vec_id").limit(sample).toPandas()
     x = unit(np.stack(drawn["v"].tolist()))
     parts = next(p for p in range(min(parts, x.shape[1]), 0, -1) if x.shape[1] % p == 0)
-    model = rows.sparkSession.sparkContext.broadcast(fit(x, lists, parts, k, hold))
+    model = rows.sparkSession.sparkContext.broadcast(fit(x, lists, parts, k, hold, len(x) >= n))
     # equal vectors are one row of the index, with the k + 1 smallest of their ids: no others can be among the k nearest
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     once = rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    once = durable(once.select(F.monotonically_increasing_id().alias("row"), "v", "ids"))
 
     def index(batches):
         for batch in batches:
-            for (v,) in matrices(batch, ()):
+            for number, v in matrices(batch, ("row",)):
                 own = model.value.assign(unit(v))
                 codes = model.value.encode(unit(v), own)
-                error = np.linalg.norm(unit(v) - model.value.decode(codes, own), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("ids"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([r.tobytes() for r in v], pa.binary())], ["list", "ids", "codes", "error", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(number), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "row", "codes"])
 
     def probe(batches):
         for batch in batches:
             for ids, v in matrices(batch):
-                at = np.argsort(-(unit(v) @ model.value.centroids.T), axis=1)[:, : model.value.probes]
-                yield pa.RecordBatch.from_arrays([pa.array(list(at.astype(np.int32)), pa.list_(pa.int32())), pa.array(ids), pa.array([r.tobytes() for r in v], pa.binary())], ["lists", "query_id", "q"])
-
-    filed = durable(in_arrow(once.select("ids", "v"), index, "list int, ids array<long>, codes binary, error double, v binary"))
-    probes = durable(in_arrow(asked, probe, "lists array<int>, query_id long, q binary"))
+                for i in range(0, len(ids), QUERIES):
+                    q = unit(v[i : i + QUERIES])
+                    near = model.value.near(q)
+                    floor = model.value.floors(q, near, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array(ids[i : i + QUERIES]), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(floor)], ["lists", "query_id", "q", "floor"]
+                    )
+
+    filed = durable(in_arrow(once.select("row", "v"), index, "list int, row long, codes binary"))
+    probes = durable(in_arrow(asked, probe, "lists array<int>, query_id long, q binary, floor double"))
     probes = probes.withColumn("list", F.explode("lists")).drop("lists")
     split = F.broadcast(pieces_and_chunks(filed, probes, piece, chunk))  # a row per list, at most 4096 by default
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     spread = lambda value, count: F.pmod(F.xxhash64(value), F.col(count)).cast("int")
-    left = filed.join(split, "list").withColumn("piece", spread("v", "pieces")).withColumn("chunk", every("chunks")).drop("pieces", "chunks")
+    left = filed.join(split, "list").withColumn("piece", spread("row", "pieces")).withColumn("chunk", every("chunks")).drop("pieces", "chunks")
     right = probes.join(split, "list").withColumn("chunk", spread("query_id", "chunks")).withColumn("piece", every("pieces")).drop("pieces", "chunks")
 
-    def run(key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+    def about(key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "about": np.zeros(0)})]
         if len(c) and len(q):
-            exact, ids = np.stack([np.frombuffer(v) for v in c["v"]]), [np.asarray(i, np.int64) for i in c["ids"]]
-            codes, error = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]]), c["error"].to_numpy() + 1e-9
-            q_ids, v = q["query_id"].to_numpy(), np.stack([np.frombuffer(v) for v in q["q"]])
-            for at in range(0, len(q_ids), 256):  # so many queries at once keep the scores of a piece at some megabytes
-                part = slice(at, at + 256)
-                best = scored(codes, error, exact, ids, q_ids[part], v[part], model.value.tables(unit(v[part])), k, rerank)
-                out.append(pd.DataFrame({"query_id": q_ids[part][best.row], "vec_id": best.id, "score": best.score}))
+            codes, number, ids = np.stack([np.frombuffer(v, np.uint8) for v in c["codes"]]), c["row"].to_numpy(), q["query_id"].to_numpy()
+            for at in range(0, len(q), QUERIES):  # so many queries at once keep the scores of a piece at some megabytes
+                part = q.iloc[at : at + QUERIES]
+                score = model.value.scores(np.stack([np.frombuffer(v) for v in part["q"]]), np.full(len(c), key[0]), codes)
+                least = part["floor"].to_numpy()
+                if len(c) > k + 1:
+                    least = np.maximum(least, np.partition(score, -k - 1, axis=1)[:, -k - 1])
+                i, j = np.nonzero(score >= (least - model.value.margin)[:, None])
+                out.append(pd.DataFrame({"query_id": ids[at + i], "row": number[j], "about": score[i, j]}))
         return pd.concat(out)
 
     keys = ("list", "piece", "chunk")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(about, "query_id long, row long, about double")
+    last = F.nth_value("about", k + 1).over(Window.partitionBy("query_id").orderBy(F.desc("about")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    left_over = durable(near.withColumn("last", last).where(F.col("last").isNull() | (F.col("about") >= F.col("last") - F.lit(model.value.margin))).select("query_id", "row"))
+    fetched = once.join(small(left_over), "row").select("query_id", "ids", F.col("v").alias("c")).join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+
+    def exact(batches):
+        for batch in batches:
+            for c, q_ids, ids, v in matrices(batch, ("c", "query_id", "ids")):
+                c = np.stack(c) if len(c) else np.zeros((0, v.shape[1]))
+                # by pair, not as one matrix product: equal rows then score equally, wherever they stand
+                score = (c * v).sum(axis=1) / (np.linalg.norm(c, axis=1) * np.linalg.norm(v, axis=1))
+                times = np.array([len(i) for i in ids], np.int64)
+                rows = np.repeat(q_ids, times), np.concatenate([np.zeros(0, np.int64), *ids]), np.repeat(score, times)
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["query_id", "vec_id", "score"])
+
+    return in_arrow(fetched, exact, "query_id long, vec_id long, score double").where(F.col("query_id") != F.col("vec_id"))
