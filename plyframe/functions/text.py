@@ -64,6 +64,11 @@ def edit_class(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when(one & (F.length(b) == F.length(a) + 1), 1).when(one & (F.length(b) == F.length(a)), 2)
 
 
+def cache_key(content: Column, version: str) -> Column:
+    """The key of what a version of the code makes of some content."""
+    return F.concat(F.lit(f"{version}_"), F.sha2(content, 256))
+
+
 def mmss(seconds: Column) -> Column:
     whole = seconds.cast("long")
     return F.format_string("%02d:%02d", F.floor(whole / 60).cast("long"), whole % 60)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MAX_WRONG_SQUARES, SNAP_LIMIT, SNAP_MARGIN
@@ -107,3 +107,9 @@ def shifted_boxes(boxes: DataFrame, cells: int = 8) -> DataFrame:
     step = F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1)))
     out = boxes.withColumn("i", step).withColumn("j", step).withColumn("cell", F.bround(F.col("side") / cells).cast("int"))
     return out.select("id", "i", "j", (F.col("x") + F.col("i") * F.col("cell")).alias("x"), (F.col("y") + F.col("j") * F.col("cell")).alias("y"), "side")
+
+
+def held_out_report(readings: DataFrame, held: Column, usable: int = 3) -> DataFrame:
+    """(boards, off, off_held, usable) of readings (cells, read): wrong squares of all and of held-out books, and boards with few of them."""
+    rows = readings.withColumn("off", B.distance(F.col("read"), F.col("cells")))
+    return rows.agg(F.count(F.lit(1)).alias("boards"), F.sum("off").cast("long").alias("off"), F.sum(F.when(held, F.col("off"))).cast("long").alias("off_held"), F.count_if(F.col("off") <= usable).alias("usable"))

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from ..constants import FULL_PAGE_SHARE, LINE_TOLERANCE, MARGIN_SHARE, MAX_IMAGE_PIXELS, MAX_IMAGES, NEAREST_BOXES, RECT_PAD, ROW_BUCKET, ROW_SHARE
 from ..functions import geometry as G
+from ..functions import text as T
 from ..functions.sweep import nearest_below
 from . import series
 
 #: Side in pixels of the cells of a page that turn a range join into an equality join.
 BAND = 256
 
+# Points that a text object may lie beside its line, and what names of bold fonts hold.
+STYLE_TOLERANCE, BOLD_FONT = 1, r"(?i)bold|black|heavy"
+
 
 def spans_in_blocks(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page, ord, s, e, begin, end): each span with the block that holds it, and its place there; others are dropped.
@@ -125,6 +129,17 @@ def mode_first(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return votes.withColumn("rank", rank).where("rank = 1").select(key, value, "votes")
 
 
+def line_styles(objects: DataFrame, lines: DataFrame, tolerance: float = STYLE_TOLERANCE) -> DataFrame:
+    """(page, box, bold, color): the most frequent style of the text objects whose centre a line (page, box, bbox) holds, the first seen among equals.
+
+    Objects are (page, seq, cx, cy, font, red, green, blue); a font is bold by its name.  Lines without an object have no row.
+    """
+    style = F.struct(F.col("font").rlike(BOLD_FONT).alias("bold"), T.rgb_hex(F.col("red"), F.col("green"), F.col("blue")).alias("color"))
+    held = lines_in_boxes(objects.select("page", "seq", "cx", "cy", style.alias("style")), lines, tolerance)
+    best = mode_first(held.select(F.struct("page", "box").alias("key"), "style", "seq"), "key", "style", "seq")
+    return best.select("key.*", "style.*")
+
+
 def allowed_heights(boxes: DataFrame, share: float = 0.6) -> DataFrame:
     """`allowed`: the least room (page, box) has down to a box that shares its width and begins below `share` of its height.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import PAGE_REACH
 from ..functions import text as T
 
 
@@ -29,12 +32,15 @@ def effective(diagrams: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def page_report(pages: DataFrame, moves: DataFrame, figures: DataFrame) -> DataFrame:
-    """(page, moves, illegal, figures, read, matched, line) of every page, with or without moves and figures."""
-    m = moves.groupBy("page").agg(F.count_if("ok").alias("moves"), F.count_if(~F.col("ok")).alias("illegal"))
+    """(page, moves, illegal, located, figures, read, matched, line) of every page, with or without moves and figures.
+
+    Moves are (page, ok, rects), figures (page, fen, matches); `located` moves have rectangles on the page.
+    """
+    m = moves.groupBy("page").agg(F.count_if("ok").alias("moves"), F.count_if(~F.col("ok")).alias("illegal"), F.count_if(F.size("rects") > 0).alias("located"))
     f = figures.groupBy("page").agg(F.count(F.lit(1)).alias("figures"), F.count("fen").alias("read"), F.count("matches").alias("matched"))
-    out = pages.select("page").distinct().join(m, "page", "left").join(f, "page", "left").fillna(0, ["moves", "illegal", "figures", "read", "matched"])
+    out = pages.select("page").distinct().join(m, "page", "left").join(f, "page", "left").fillna(0, ["moves", "illegal", "located", "figures", "read", "matched"])
     part = lambda c, name: F.when(F.col(c) > 0, F.concat_ws(" ", F.col(c).cast("string"), F.lit(name)))
-    line = F.concat_ws(", ", F.concat(F.col("moves").cast("string"), F.lit(" moves")), part("illegal", "illegal"), part("figures", "figures"), part("read", "read"), part("matched", "matched"))
+    line = F.concat_ws(", ", F.concat(F.col("moves").cast("string"), F.lit(" moves")), part("located", "located"), part("illegal", "illegal"), part("figures", "figures"), part("read", "read"), part("matched", "matched"))
     return out.withColumn("line", line)
 
 
@@ -61,3 +67,16 @@ def broken_keys(messages: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     missing = F.array_join(F.array_except(F.array(*[F.lit(x) for x in languages]), F.col("langs")), ",")
     return sets.select("key", missing.alias("missing"), F.col("placeholders").cast("int").alias("placeholders")).where("missing <> '' or placeholders > 1")
 
+
+
+def near_pages(pages: DataFrame, others: DataFrame, reach: int = PAGE_REACH) -> DataFrame:
+    """(page, q, away, ...): the rows of `others` (q, ...) on pages at most `reach` away from each page; each page meets few keys."""
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    rows = pages.withColumn("_step", steps).withColumn("q", F.col("page") + F.col("_step")).join(others, "q")
+    return rows.select("page", "q", F.abs("_step").alias("away"), *[c for c in others.columns if c != "q"])
+
+
+def stacked(*frames: DataFrame) -> DataFrame:
+    """The rows of all frames, absent columns null, with the number of their frame (`source`) to order by."""
+    numbered = [f.select(F.lit(i).alias("source"), "*") for i, f in enumerate(frames)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)

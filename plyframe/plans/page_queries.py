@@ -22,7 +22,7 @@ from .table_queries import TURNS_SQL, _turn_tokens
 def dedupe_cascade(spark, d):
     """Blocks that run on into the next one, some with misread first words, cut again; texts without white space."""
     after = F.lead("text").over(Window.partitionBy("page").orderBy("ord"))
-    misread = F.concat(F.col("text"), F.lit(" zzzz"), F.substring(after, 9, 10_000_000))
+    misread = F.concat(F.col("text"), F.lit(" zzzz"), F.substring(after, F.lit(9), F.length(after)))
     run_on = F.when(F.col("ord") % 4 == 0, F.concat_ws(" ", F.col("text"), after)).when(F.col("ord") % 4 == 2, F.coalesce(misread, F.col("text"))).otherwise(F.col("text"))
     made = blocks(spark, d).select("page", "ord", F.when(F.col("ord") % 7 == 6, "image").otherwise("text").alias("label"), run_on.alias("text"))
     return K.dedupe(made).select("page", "ord", F.length(T.squash(F.col("text"))).alias("n"), F.md5(T.squash(F.col("text"))).alias("flat_md5"))

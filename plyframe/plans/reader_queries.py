@@ -24,11 +24,12 @@ def reader_flags(spark, d):
 
 
 def text_slices(spark, d):
+    """Whole texts cut at their spans and put together again, and what the first span holds."""
     span = lambda k, size: F.struct((F.length("text") % k).cast("int").alias("s"), (F.length("text") % k + size).cast("int").alias("e"))
     spans = F.array_sort(F.array(span(5, 4), span(11, 3), span(17, 6)))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.rpad("text", 60, ".").alias("text"), spans.alias("spans"))
-    cut = rows.select("conv_id", "turn", R.slices(F.col("text"), F.col("spans")).alias("p"), "text")
-    return cut.select("conv_id", "turn", F.size(F.filter("p", lambda x: x["move"])).alias("moves"), F.array_join(F.transform("p", lambda x: x["part"]), "").eqNullSafe(F.col("text")).alias("whole"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", R.slices(F.col("text"), spans).alias("p"))
+    moves = F.filter("p", lambda x: x["move"])
+    return rows.select("conv_id", "turn", F.size(moves).alias("moves"), F.get(moves, F.lit(0))["part"].alias("first"), F.md5(F.array_join(F.transform("p", lambda x: x["part"]), "")).alias("text_md5"))
 
 
 def page_steps(spark, d):
@@ -128,9 +129,9 @@ QUERIES = {
     "anchor_pages": (anchor_pages, """WITH p AS (SELECT vec_id % 200 AS page, bool_or(vec_id % 3 > 0) AS h FROM embeddings GROUP BY 1), m AS (SELECT conv_id AS page, count(*) AS n, count_if(role <> 'assistant') AS bad FROM conversations GROUP BY 1)
         SELECT p.page FROM p LEFT JOIN m ON p.page = m.page WHERE h AND (coalesce(n, 0) = 0 OR bad > 0)"""),
     "reader_flags": (reader_flags, "SELECT doc_id, doc_id % 5 > 0 AS clickable, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 > 0 THEN doc_id % 2 = 0 END AS white_to_move, length(text) >= 150 AS paragraph FROM documents"),
-    "text_slices": (text_slices, """WITH t AS (SELECT conv_id, turn, length(text) AS n, list_sort([[n % 5, n % 5 + 4], [n % 11, n % 11 + 3], [n % 17, n % 17 + 6]]) AS l FROM conversations),
+    "text_slices": (text_slices, """WITH t AS (SELECT conv_id, turn, text, length(text) AS n, list_sort([[n % 5, n % 5 + 4], [n % 11, n % 11 + 3], [n % 17, n % 17 + 6]]) AS l FROM conversations),
         a AS (SELECT *, l[1][2] AS e1, CASE WHEN l[2][1] >= l[1][2] THEN 1 ELSE 0 END AS k2 FROM t), b AS (SELECT *, CASE WHEN l[3][1] >= CASE WHEN k2 = 1 THEN l[2][2] ELSE e1 END THEN 1 ELSE 0 END AS k3 FROM a)
-        SELECT conv_id, turn, CAST(1 + k2 + k3 AS INTEGER) AS moves, true AS whole FROM b"""),
+        SELECT conv_id, turn, CAST(1 + k2 + k3 AS INTEGER) AS moves, substr(text, CAST(l[1][1] + 1 AS INTEGER), CAST(l[1][2] - l[1][1] AS INTEGER)) AS first, md5(text) AS text_md5 FROM b"""),
     "page_steps": (page_steps, """WITH p AS (SELECT DISTINCT l_orderkey % 40 AS book, l_suppkey AS page FROM lineitem)
         SELECT book, page, coalesce(lag(page) OVER w, page) AS previous, coalesce(lead(page) OVER w, page) AS next FROM p WINDOW w AS (PARTITION BY book ORDER BY page)"""),
     "fit_zoom": (fit_zoom, "SELECT p_partkey, round(greatest(10.0::DOUBLE, least(400.0::DOUBLE, least(800.0::DOUBLE / (p_size * 20.0::DOUBLE), 600.0::DOUBLE / (p_size * 30.0::DOUBLE)) * 100)), 6) AS zoom FROM part"),

@@ -70,3 +70,45 @@ BOARDS_SQL = f"""boards AS (SELECT vec_id AS id, label AS book, array_to_string(
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as moves (page, idx, ok, text): assistant turns are legal."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("idx"), (F.col("role") == "assistant").alias("ok"), "text")
+
+
+def _pick(letters: str, i: Column) -> Column:
+    """The letter of a number, `-` for none."""
+    return F.translate(F.substring(F.lit(letters), (i % len(letters) + 1).cast("int"), F.lit(1)), "-", "")
+
+
+def printed_move(i: Column, pieces: str) -> Column:
+    """A move made from a number: piece, square, sign."""
+    mark = F.get(F.array(*[F.lit(m) for m in ("", "+", "!", "?!")]), (i % 4).cast("int"))
+    return F.concat(_pick("-" + pieces, i), _pick("abcdefgh", i * 5), (i * 3 % 8 + 1).cast("string"), mark)
+
+
+def games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages (page, text) of one printed line each, with a variation, a remark and a result."""
+    key, step = F.col("p_partkey"), F.col("p_size") + 1
+    m = [printed_move(key + j * step, "NBRQK") for j in range(8)]
+    n = [(1 + k + key % 40).cast("string") for k in range(3)]
+    text = F.concat(n[0], F.lit(". "), m[0], F.lit(" "), m[1], F.lit(" "), n[1], F.lit(". "), m[2], F.lit(" ("), n[1], F.lit(". "), m[3], F.lit(" "), m[4], F.lit(") "), n[1], F.lit("... "), m[5],
+                    F.lit(" A good move; "), n[2], F.lit(". "), m[6], F.lit(" "), m[7], F.lit(" 1-0"))
+    return table(spark, sf_dir, "part").select(key.alias("page"), text.alias("text"))
+
+
+def _move_sql(i: str, pieces: str) -> str:
+    return f"(replace(substr('-{pieces}', CAST(1 + ({i}) % {len(pieces) + 1} AS INTEGER), 1), '-', '') || substr('abcdefgh', CAST(1 + ({i}) * 5 % 8 AS INTEGER), 1) || (1 + ({i}) * 3 % 8) || ['', '+', '!', '?!'][1 + ({i}) % 4])"
+
+
+GAMES_SQL = "games AS (SELECT p_partkey AS page, 1 + p_partkey % 40 AS n, [" + ", ".join(_move_sql(f"p_partkey + {j} * (p_size + 1)", "NBRQK") for j in range(8)) + "] AS m FROM part)"
+
+
+def sparse_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards (id, cells) with about every fifth square of the vectors' boards, and kings of their own, which some lack."""
+    def cell(i: Column) -> Column:
+        own = F.substring(F.translate("cells", "Kk", ".."), i + 1, F.lit(1))
+        kings = F.when(i == 60, F.when(F.col("id") % 4 != 1, "K").otherwise(".")).when(i == 4, F.when(F.col("id") % 4 != 2, "k").otherwise("."))
+        return F.coalesce(kings, F.when((i * 7 + F.col("id")) % 5 == 0, own).otherwise("."))
+
+    return boards(spark, sf_dir).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), cell), "").alias("cells"))
+
+
+SPARSE_SQL = BOARDS_SQL.replace("boards AS", "full_boards AS") + """, boards AS (SELECT id, array_to_string(list_transform(range(64), lambda i: CASE WHEN i = 60 THEN CASE WHEN id % 4 <> 1 THEN 'K' ELSE '.' END WHEN i = 4 THEN CASE WHEN id % 4 <> 2 THEN 'k' ELSE '.' END
+            WHEN (i * 7 + id) % 5 = 0 THEN substr(translate(cells, 'Kk', '..'), CAST(i + 1 AS INTEGER), 1) ELSE '.' END), '') AS cells FROM full_boards)"""

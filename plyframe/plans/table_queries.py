@@ -7,20 +7,16 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import blocks as K
+from ..operators import spatial as S
 from ..operators import tables as R
 from ..operators import tokens as N
 from ..streaming import progress
-from .sources import table
-
-LINE = "1. e4 e5 2. Nf3 (2. f4 exf4 3. Nf3) 2... Nc6 A good move; 3. Bb5 a6 [3... Nf6 4. 0-0] 4. Ba4 1-0"
-
-
-def _page(spark, text=LINE):
-    return spark.createDataFrame([(1, text)], "page int, text string")
+from .sources import GAMES_SQL, PLACES_SQL, _move_sql, boxes, games, points, printed_move, table
 
 
 def tokenize_golden(spark, d):
-    return N.tokens(_page(spark), "en").select("idx", "kind", "value")
+    """The tokens of printed lines whose parts are known."""
+    return N.tokens(games(spark, d), "en").select("page", "idx", "kind", "value")
 
 
 def document_tokens(spark, d):
@@ -28,19 +24,9 @@ def document_tokens(spark, d):
     return N.tokens(table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text")), "en")
 
 
-TOKENS = (
-    "num 1.|move e4|move e5|num 2.|move Nf3|open (|num 2.|move f4|move exf4|num 3.|move Nf3|close )|num 2...|move Nc6|prose |semi ;|num 3.|move Bb5|move a6|"
-    "open [|num 3...|move Nf6|num 4.|move 0-0|close ]|num 4.|move Ba4|res 1-0"
-).split("|")
-
-
 def variations_golden(spark, d):
-    """(value, depth, ply, parent) of a line with two variations."""
-    return N.variations(N.tokens(_page(spark), "en")).select("idx", "value", "depth", "ply", "parent")
-
-
-VARIATIONS = ((1, "e4", 0, 0, None), (2, "e5", 0, 1, 1), (4, "Nf3", 0, 2, 2), (7, "f4", 1, 2, 4), (8, "exf4", 1, 3, 7), (10, "Nf3", 1, 4, 8), (13, "Nc6", 0, 3, 4),
-              (17, "Bb5", 0, 4, 13), (18, "a6", 0, 5, 17), (21, "Nf6", 1, 5, 18), (23, "0-0", 1, 6, 21), (26, "Ba4", 0, 6, 18))
+    """Depth, ply and parent of the moves of printed lines with a variation."""
+    return N.variations(N.tokens(games(spark, d), "en")).select("page", "idx", "value", "depth", "ply", "parent")
 
 
 def _turn_tokens(spark, d):
@@ -78,14 +64,15 @@ def start_candidates(spark, d):
 
 def page_band_join(spark, d):
     """Diagrams of pages within two pages of each page, nearest first."""
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("page"), F.explode(F.array(*[F.lit(k) for k in (0, -1, 1, -2, 2)])).alias("step"))
-    other = table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), "label")
-    return pages.withColumn("q", F.col("page") + F.col("step")).join(other, "q").select("page", "q", F.abs("step").alias("away"), "label")
+    return R.near_pages(table(spark, d, "pages").select(F.col("page_id").alias("page")), table(spark, d, "embeddings").select(F.col("vec_id").alias("q"), "label"))
 
 
 def to_san(spark, d):
-    moves = F.array(*[F.lit(m) for m in ("Cf3", "0-0-0", "Fxe4!?", "Td1+", "e8=D", "Rg1", "0-0!", "exd5?")])
-    return spark.range(8).select("id", T.to_san(F.get(moves, F.col("id").cast("int")), "fr").alias("san"), T.plausible_lone(F.get(moves, F.col("id").cast("int")), "fr").alias("lone"))
+    """French moves made from the parts' keys: castling, captures, promotions and plain ones."""
+    i = F.col("p_partkey")
+    move = printed_move(i, "CFTDR")
+    made = F.when(i % 10 == 0, "0-0").when(i % 10 == 1, "0-0-0!").when(i % 10 == 2, F.concat(F.lit("e8="), F.substring(F.lit("CFTD"), (i % 4 + 1).cast("int"), F.lit(1)))).when(i % 10 == 3, F.concat(F.lit("ex"), F.substring(move, -2, 2))).otherwise(move)
+    return table(spark, d, "part").select("p_partkey", T.to_san(made, "fr").alias("san"), T.plausible_lone(made, "fr").alias("lone"))
 
 
 def edit_class(spark, d):
@@ -111,7 +98,7 @@ def ui_language(spark, d):
 
 
 def content_hashes(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"), F.sha1("text").alias("cache_key"))
+    return table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"), T.cache_key(F.col("text"), "v1").alias("cache_key"))
 
 
 def member_names(spark, d):
@@ -172,7 +159,7 @@ def corrections_upsert(spark, d):
 def page_report(spark, d):
     """The report of each conversation as a page: turns are moves, its vectors of the same number figures."""
     rows = table(spark, d, "conversations")
-    moves = rows.select(F.col("conv_id").alias("page"), (F.col("role") == "assistant").alias("ok"))
+    moves = rows.select(F.col("conv_id").alias("page"), (F.col("role") == "assistant").alias("ok"), F.when(F.length("text") % 3 > 0, F.array(F.lit(1))).alias("rects"))
     figures = table(spark, d, "embeddings").select((F.col("vec_id") % 150).alias("page"), F.when(F.col("label") < 6, "x").alias("fen"), F.when(F.col("label") < 3, "y").alias("matches"))
     return R.page_report(rows.select(F.col("conv_id").alias("page")), moves, figures)
 
@@ -204,27 +191,24 @@ def resume_anti(spark, d):
 def unioned_sources(spark, d):
     text = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.lit("text").alias("label"), F.col("n_chars"))
     image = table(spark, d, "embeddings").select(F.col("vec_id").alias("page"), F.lit("image").alias("label"), F.col("label").alias("kind"))
-    return text.unionByName(image, allowMissingColumns=True)
+    return R.stacked(text, image)
 
 
 def text_styles(spark, d):
-    """Bold by font name and colour of text objects, the most frequent one of each line."""
-    from ..operators import spatial
-
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.when(F.col("l_shipdate").isNotNull() & F.concat("l_returnflag", F.lit("-Bold")).rlike("(?i)bold|black|heavy") & (F.col("l_quantity") > 25), "bold"), T.rgb_hex((F.col("l_quantity") % 2 * 255).cast("int"), F.lit(0), F.lit(0))).alias("style"))
-    return spatial.mode_first(rows, "l_orderkey", "style", "l_linenumber")
-
-
-def _rows(values) -> str:
-    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in values)
-
+    """Styles of the orders' boxes as printed lines: the most frequent one of the text objects that stand in them."""
+    font = F.concat(F.col("l_returnflag"), F.when(F.col("l_quantity") > 25, "-SemiBold").when(F.col("l_quantity") > 20, "-BLACK").otherwise("-Roman"))
+    marks = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), font.alias("font"), (F.col("l_quantity") % 2 * 255).cast("int").alias("red"))
+    objects = points(spark, d).join(marks, "line").select("page", F.col("line").alias("seq"), "cx", "cy", "font", "red", F.lit(0).alias("green"), F.lit(16).alias("blue"))
+    return S.line_styles(objects, boxes(spark, d)).select("page", "box", "bold", "color")
 
-TOKEN_ROWS = [(i, *(t.split(" ", 1) if " " in t else (t, ""))) for i, t in enumerate(TOKENS)]
 
 QUERIES = {
-    "tokenize_golden": (tokenize_golden, f"SELECT CAST(idx AS INTEGER) AS idx, kind, value FROM (VALUES {_rows(TOKEN_ROWS)}) AS t(idx, kind, value)"),
+    "tokenize_golden": (tokenize_golden, f"""WITH {GAMES_SQL}, t AS (SELECT page, [('num', n || '.'), ('move', m[1]), ('move', m[2]), ('num', (n + 1) || '.'), ('move', m[3]), ('open', '('), ('num', (n + 1) || '.'), ('move', m[4]), ('move', m[5]), ('close', ')'),
+            ('num', (n + 1) || '...'), ('move', m[6]), ('prose', ''), ('semi', ';'), ('num', (n + 2) || '.'), ('move', m[7]), ('move', m[8]), ('res', '1-0')] AS l FROM games), u AS (SELECT page, l, unnest(range(len(l))) AS i FROM t)
+        SELECT page, CAST(i AS INTEGER) AS idx, l[i + 1][1] AS kind, l[i + 1][2] AS value FROM u"""),
     "document_tokens": (document_tokens, None),
-    "variations_golden": (variations_golden, f"SELECT idx, value, depth, ply, parent FROM (VALUES {_rows(VARIATIONS)}) AS t(idx, value, depth, ply, parent)"),
+    "variations_golden": (variations_golden, f"""WITH {GAMES_SQL}, t AS (SELECT page, n, m, unnest([[1, 1, 0, 0, NULL], [2, 2, 0, 1, 1], [4, 3, 0, 2, 2], [7, 4, 1, 2, 4], [8, 5, 1, 3, 7], [11, 6, 0, 3, 4], [15, 7, 0, 4, 11], [16, 8, 0, 5, 15]]) AS r FROM games)
+        SELECT page, CAST(r[1] AS INTEGER) AS idx, m[r[2]] AS value, CAST(r[3] AS INTEGER) AS depth, CAST(2 * (n - 1) + r[4] AS INTEGER) AS ply, CAST(r[5] AS INTEGER) AS parent FROM t"""),
     "token_pairs": (token_pairs, f"""WITH {TURNS_SQL}, n AS (SELECT *, lead(kind) OVER (PARTITION BY page ORDER BY idx) AS nk FROM toks)
         SELECT page, count_if(kind = 'num' AND nk = 'move') AS pairs, coalesce(bool_or(kind = 'num' AND nk = 'move' AND value = '1.'), false) AS starts FROM n GROUP BY page"""),
     "token_runs": (token_runs, f"""WITH {TURNS_SQL}, r AS (SELECT *, CAST(sum(CAST(kind = 'prose' AS INTEGER)) OVER (PARTITION BY page ORDER BY idx) AS INTEGER) AS run FROM toks)
@@ -237,14 +221,16 @@ QUERIES = {
     "start_candidates": (start_candidates, """WITH m AS (SELECT conv_id AS page, turn AS idx, turn * 13 + conv_id * 7 AS ply, role FROM conversations)
         SELECT f.page, m.page AS other, m.idx, abs(m.page - f.page) AS away FROM m JOIN m f ON f.idx = 0 AND f.ply = m.ply + 1 AND m.role = 'user' AND f.page <> m.page"""),
     "page_band_join": (page_band_join, "SELECT page_id AS page, vec_id AS q, abs(vec_id - page_id) AS away, label FROM pages JOIN embeddings ON abs(vec_id - page_id) <= 2"),
-    "to_san": (to_san, "SELECT * FROM (VALUES (0, 'Nf3', true), (1, 'O-O-O', true), (2, 'Bxe4', true), (3, 'Rd1+', true), (4, 'e8=Q', true), (5, 'Kg1', true), (6, 'O-O', true), (7, 'exd5', true)) AS t(id, san, lone)"),
+    "to_san": (to_san, f"""WITH p AS (SELECT p_partkey AS i, {_move_sql('p_partkey', 'CFTDR')} AS fr, {_move_sql('p_partkey', 'NBRQK')} AS en FROM part)
+        SELECT i AS p_partkey, CASE i % 10 WHEN 0 THEN 'O-O' WHEN 1 THEN 'O-O-O' WHEN 2 THEN 'e8=' || substr('NBRQ', CAST(1 + i % 4 AS INTEGER), 1) WHEN 3 THEN rtrim('ex' || right(en, 2), '!?') ELSE rtrim(en, '!?') END AS san,
+               i % 10 <= 3 OR i % 6 > 0 OR i % 4 >= 2 AS lone FROM p"""),
     "edit_class": (edit_class, """WITH p AS (SELECT p_partkey, p_brand AS a, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN 'x' || p_brand WHEN 2 THEN '?' || substr(p_brand, 2) ELSE substr(p_brand, 2) END AS b FROM part)
         SELECT p_partkey, CASE WHEN a = b THEN 0 WHEN levenshtein(a, b) = 1 AND length(b) = length(a) + 1 THEN 1 WHEN levenshtein(a, b) = 1 AND length(a) = length(b) THEN 2 END AS kind FROM p"""),
     "mmss": (mmss, "SELECT o_orderkey, printf('%02d:%02d', CAST(trunc(o_totalprice) AS BIGINT) // 60, CAST(trunc(o_totalprice) AS BIGINT) % 60) AS shown FROM orders"),
     "plural_message": (plural_message, "SELECT n_nationkey, n_regionkey || CASE WHEN n_nationkey % 3 = 1 AND n_regionkey < 2 OR n_regionkey = 1 THEN ' move' ELSE ' moves' END AS text FROM nation"),
     "ui_language": (ui_language, """WITH n AS (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN lower(n_name[1:2]) WHEN 1 THEN 'es' END AS setting, lower(n_name[1:2]) AS a, CASE WHEN n_regionkey > 2 THEN 'fr' ELSE 'zz' END AS b FROM nation)
         SELECT n_nationkey, CASE WHEN setting IN ('en', 'fr', 'es') THEN setting WHEN a IN ('en', 'fr', 'es') THEN a WHEN b IN ('en', 'fr', 'es') THEN b ELSE 'en' END AS lang FROM n"""),
-    "content_hashes": (content_hashes, "SELECT doc_id, 'sha256:' || sha256(text) AS hash, sha1(text) AS cache_key FROM documents"),
+    "content_hashes": (content_hashes, "SELECT doc_id, 'sha256:' || sha256(text) AS hash, 'v1_' || sha256(text) AS cache_key FROM documents"),
     "member_names": (member_names, "SELECT page_id, printf('pages/p%04d.json', page_id) AS page, 'p' || page_id || '_d1' AS id, printf('#%02x%02x10', page_id % 256, (page_id * 7) % 256) AS colour FROM pages"),
     "garbage_letters": (garbage_letters, """SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '1.Q' || n_name || 'N e5' ELSE '1.♕' || n_name || '♞♞ e5' END AS text, regexp_replace('1.' || n_name || ' e5', '[^a-h1-8xNBRQKO0=+#-]', '', 'g') AS san FROM nation"""),
     "table_cells": (table_cells, "SELECT n_nationkey, n_name || '|' || n_regionkey || '|' || n_name AS cells FROM nation"),
@@ -255,14 +241,15 @@ QUERIES = {
     "corrections_effective": (corrections_effective, f"""WITH {CORRECTIONS_SQL} SELECT id, CASE WHEN type = 'diagram_fen' AND h = 'sha256:' || sha256(fen) THEN 'fixed' ELSE fen END AS value, coalesce(type = 'diagram_fen' AND h = 'sha256:' || sha256(fen), false) AS corrected,
         coalesce(type = 'diagram_fen' AND h <> 'sha256:' || sha256(fen), false) AS needs_review FROM c"""),
     "corrections_upsert": (corrections_upsert, f"""WITH {CORRECTIONS_SQL} SELECT id AS target, CASE WHEN id % 3 = 0 THEN 'diagram_fen' ELSE type END AS type, CASE WHEN id % 3 = 0 THEN 'again' ELSE 'fixed' END AS value FROM c WHERE type IS NOT NULL OR id % 3 = 0"""),
-    "page_report": (page_report, """WITH m AS (SELECT conv_id AS page, count_if(role = 'assistant') AS moves, count_if(role <> 'assistant') AS illegal FROM conversations GROUP BY ALL), f AS (SELECT vec_id % 150 AS page, count(*) AS figures, count_if(label < 6) AS read, count_if(label < 3) AS matched FROM embeddings GROUP BY ALL),
-        j AS (SELECT page, moves, illegal, coalesce(figures, 0) AS figures, coalesce(read, 0) AS read, coalesce(matched, 0) AS matched FROM m LEFT JOIN f USING (page))
-        SELECT *, moves || ' moves' || CASE WHEN illegal > 0 THEN ', ' || illegal || ' illegal' ELSE '' END || CASE WHEN figures > 0 THEN ', ' || figures || ' figures' ELSE '' END || CASE WHEN read > 0 THEN ', ' || read || ' read' ELSE '' END || CASE WHEN matched > 0 THEN ', ' || matched || ' matched' ELSE '' END AS line FROM j"""),
+    "page_report": (page_report, """WITH m AS (SELECT conv_id AS page, count_if(role = 'assistant') AS moves, count_if(role <> 'assistant') AS illegal, count_if(length(text) % 3 > 0) AS located FROM conversations GROUP BY ALL), f AS (SELECT vec_id % 150 AS page, count(*) AS figures, count_if(label < 6) AS read, count_if(label < 3) AS matched FROM embeddings GROUP BY ALL),
+        j AS (SELECT page, moves, illegal, located, coalesce(figures, 0) AS figures, coalesce(read, 0) AS read, coalesce(matched, 0) AS matched FROM m LEFT JOIN f USING (page))
+        SELECT *, moves || ' moves' || CASE WHEN located > 0 THEN ', ' || located || ' located' ELSE '' END || CASE WHEN illegal > 0 THEN ', ' || illegal || ' illegal' ELSE '' END || CASE WHEN figures > 0 THEN ', ' || figures || ' figures' ELSE '' END || CASE WHEN read > 0 THEN ', ' || read || ' read' ELSE '' END || CASE WHEN matched > 0 THEN ', ' || matched || ' matched' ELSE '' END AS line FROM j"""),
     "agreement_ratio": (agreement_ratio, "SELECT count_if(doc_id % 4 > 0 AND doc_id % 3 > 0 AND quality = toxic) AS agree, count_if(doc_id % 4 > 0 AND doc_id % 3 > 0 AND quality IS NOT NULL AND toxic IS NOT NULL) AS total FROM labels"),
     "message_keys": (message_keys, """SELECT n_name AS key, CASE WHEN n_nationkey % 5 = 0 THEN 'fr' ELSE '' END AS missing, CASE WHEN n_nationkey % 6 = 0 THEN 2 ELSE 1 END AS placeholders FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey % 6 = 0"""),
     "progress_latest": (progress_latest, """SELECT event_type AS label, CAST(max(event_id) AS INTEGER) AS i, 20000 AS n, arg_max('u' || user_id, event_id) AS note, max(event_id) / 20000 AS share FROM events GROUP BY event_type"""),
     "resume_anti": (resume_anti, "SELECT doc_id AS page FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
-    "unioned_sources": (unioned_sources, "SELECT doc_id AS page, 'text' AS label, n_chars, CAST(NULL AS INTEGER) AS kind FROM documents UNION ALL SELECT vec_id, 'image', NULL, label FROM embeddings"),
-    "text_styles": (text_styles, """WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'bold ' ELSE '' END || CASE WHEN CAST(l_quantity AS INTEGER) % 2 = 1 THEN '#ff0000' ELSE '#000000' END AS style FROM lineitem),
-        v AS (SELECT l_orderkey, style, count(*) AS votes, min(l_linenumber) AS seen FROM s GROUP BY ALL) SELECT l_orderkey, style, votes FROM v QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY votes DESC, seen, style) = 1"""),
+    "unioned_sources": (unioned_sources, "SELECT 0 AS source, doc_id AS page, 'text' AS label, n_chars, CAST(NULL AS INTEGER) AS kind FROM documents UNION ALL SELECT 1, vec_id, 'image', NULL, label FROM embeddings"),
+    "text_styles": (text_styles, f"""WITH {PLACES_SQL}, m AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_quantity > 20 AS bold, printf('#%02x0010', CAST(l_quantity AS INTEGER) % 2 * 255) AS color FROM lineitem),
+        v AS (SELECT p.page, box, bold, color, count(*) AS votes, min(line) AS seen FROM points p JOIN m USING (line) JOIN boxes b ON p.page = b.page AND cx BETWEEN x0 - 1 AND x1 + 1 AND cy BETWEEN y0 - 1 AND y1 + 1 GROUP BY ALL)
+        SELECT page, box, bold, color FROM v QUALIFY row_number() OVER (PARTITION BY page, box ORDER BY votes DESC, seen, bold, color) = 1"""),
 }
