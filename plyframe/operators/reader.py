@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HEAD_CHARS, PARAGRAPH_CHARS
+from ..functions import boards as B
 from ..functions import text as T
 
 
@@ -94,8 +95,11 @@ def picked(cells: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def labelled(diagrams: DataFrame, hand: DataFrame) -> DataFrame:
-    """Diagrams (book, id, matches, fen) with a position from a game or by hand, the hand label first."""
+    """Diagrams (book, id, matches, fen, flipped) with a position from a game or by hand, the hand label first.
+
+    `fen` is the placement as printed: turned by half where Black is at the bottom of the picture.
+    """
     joined = diagrams.join(hand.withColumnRenamed("fen", "by_hand"), ["book", "id"], "left")
     used = joined.where(F.col("matches").isNotNull() | F.col("by_hand").isNotNull())
-    return used.select("book", "id", F.coalesce("by_hand", "fen").alias("fen"))
-
+    cells = B.squares(F.split(F.coalesce("by_hand", "fen"), " ")[0])
+    return used.select("book", "id", B.placement(F.when(F.col("flipped"), B.rotated(cells)).otherwise(cells)).alias("fen"))

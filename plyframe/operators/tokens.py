@@ -15,7 +15,7 @@ from ..functions import text as T
 # The forms of printed moves, numbers and results.
 _NUMBER = r"(?<![a-h])\d+(?:\.\.\.|\.(?!\.))"
 _CASTLING = r"0-0-0|0-0|O-O-O|O-O"
-_RESULTS = ("1-0", "0-1", "1/2-1/2")
+RESULTS = ("1-0", "0-1", "1/2-1/2")
 #: What may stand right after a move: the end, a sign, a draw sign, or the next number, square, castling or capitalised word.
 _FOLLOWS = "(?=" + "|".join((r"\z", r"[^A-Za-z0-9.=]", r"=(?![A-Za-z0-9])", r"\d+\.", r"[a-h][1-8]", r"0-0", r"O-O", r"[A-Z]['’]?[a-zé]")) + ")"
 
@@ -24,12 +24,12 @@ def token_pattern(lang: str) -> str:
     """Numbers, moves, `;`, brackets and results of a language's notation, as one alternation without groups."""
     p = PIECES[lang]
     move = rf"(?:{_CASTLING}|[{p}]?[a-h]?[1-8]?x?[a-h][1-8](?:=[{p[:4]}]|(?<=[18])[{p[:4]}])?)[+#]?[!?]*"
-    return rf"{_NUMBER}|{move}{_FOLLOWS}|;|[\[(]|[\])]|{'|'.join(_RESULTS)}"
+    return rf"{_NUMBER}|{move}{_FOLLOWS}|;|[\[(]|[\])]|{'|'.join(RESULTS)}"
 
 
 def _kind(value: Column) -> Column:
     return (
-        F.when(value == ";", "semi").when(value.isin("(", "["), "open").when(value.isin(")", "]"), "close").when(value.isin(*_RESULTS), "res")
+        F.when(value == ";", "semi").when(value.isin("(", "["), "open").when(value.isin(")", "]"), "close").when(value.isin(*RESULTS), "res")
         .when(value.rlike(r"^\d+\.+$"), "num").otherwise("move")
     )
 
@@ -67,6 +67,13 @@ def with_next(toks: DataFrame) -> DataFrame:
     return toks.withColumn("next_kind", F.lead("kind").over(Window.partitionBy("page").orderBy("idx")))
 
 
+def with_previous(toks: DataFrame, back: int = 3) -> DataFrame:
+    """`before`: the `back` tokens before each one, the nearest first, as structs (kind, value); fewer at the beginning of a page."""
+    w = Window.partitionBy("page").orderBy("idx")
+    one = F.struct("kind", "value")
+    return toks.withColumn("before", F.array_compact(F.array(*[F.lag(one, k).over(w) for k in range(1, back + 1)])))
+
+
 def move_pairs(toks: DataFrame) -> DataFrame:
     """(page, pairs, starts): numbers followed by a move, and whether the page begins a game at move 1."""
     pair = (F.col("kind") == "num") & (F.col("next_kind") == "move")

@@ -14,17 +14,23 @@ from ..operators import reader, series
 from ..operators import spatial as S
 from ..operators import tables as R
 from ..operators import tokens as N
+from .. import sql
+from ..operators import images as I
+from ..sources import cache, layer, shared
 from ..streaming import progress
-from .sources import BLOCKS_SQL, BOARDS_SQL, PLACES_SQL, blocks, boards, boxes, points, table
+from .sources import BLOCKS_SQL, BOARDS_SQL, PLACES_SQL, blocks, boards, boxes, games, points, table
+from .table_queries import QUERIES as TABLE_SQL
 from .table_queries import TURNS_SQL, _turn_tokens
 
 
 def dedupe_cascade(spark, d):
-    """Blocks that run on into the next one, some with misread first words, cut again; texts without white space."""
+    """Blocks that run on into the next one, some with misread first words, some as markup, cut again; texts without white space."""
     after = F.lead("text").over(Window.partitionBy("page").orderBy("ord"))
     misread = F.concat(F.col("text"), F.lit(" zzzz"), F.substring(after, F.lit(9), F.length(after)))
     run_on = F.when(F.col("ord") % 4 == 0, F.concat_ws(" ", F.col("text"), after)).when(F.col("ord") % 4 == 2, F.coalesce(misread, F.col("text"))).otherwise(F.col("text"))
-    made = blocks(spark, d).select("page", "ord", F.when(F.col("ord") % 7 == 6, "image").otherwise("text").alias("label"), run_on.alias("text"))
+    cells = F.concat(F.lit("<table><tr>\n<td>"), F.replace("text", F.lit(" "), F.lit("</td> <td>")), F.lit("</td></tr></table>"))
+    marked = F.when((F.col("ord") % 5 == 0) & (F.col("label") == "text") & ~F.col("text").rlike("[<>&]"), cells).otherwise(F.col("text"))
+    made = blocks(spark, d).select("page", "ord", F.when(F.col("ord") % 7 == 6, "image").otherwise("text").alias("label"), run_on.alias("text")).withColumn("text", marked)
     return K.dedupe(made).select("page", "ord", F.length(T.squash(F.col("text"))).alias("n"), F.md5(T.squash(F.col("text"))).alias("flat_md5"))
 
 
@@ -34,6 +40,51 @@ def _cascade_sql() -> str:
     return f"CASE {cases} ELSE acc END"
 
 
+def token_previous(spark, d):
+    """The three tokens before each one."""
+    before = N.with_previous(_turn_tokens(spark, d))
+    return before.select("page", "idx", F.array_join(F.transform("before", lambda b: F.concat(b["kind"], F.lit(":"), b["value"])), "|").alias("before"))
+
+
+def lateral_tokens(spark, d):
+    """The tokens of printed lines by the SQL table function."""
+    sql.register(spark)
+    games(spark, d).createOrReplaceTempView("_printed_games")
+    return spark.sql("SELECT page, t.idx, t.kind, t.value FROM _printed_games, LATERAL book_tokens_en(text) AS t")
+
+
+def lateral_moves(spark, d):
+    """The moves of printed lines with depth and ply by the SQL table function."""
+    sql.register(spark)
+    games(spark, d).createOrReplaceTempView("_printed_games")
+    return spark.sql("SELECT page, t.idx, t.value, t.depth, t.ply FROM _printed_games, LATERAL book_moves_en(text) AS t")
+
+
+def block_move_ids(spark, d):
+    """The spans that each line of a document holds, as its moves."""
+    rows = blocks(spark, d)
+    spans = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.explode(F.sequence(F.lit(0), F.length("text").cast("long"), F.lit(37))).alias("s")).withColumn("e", F.col("s") + 5)
+    placed = S.spans_in_blocks(spans, K.with_offsets(rows)).withColumn("id", F.concat_ws("_m", F.concat(F.lit("p"), F.col("page")), F.floor(F.col("s") / 37)))
+    return K.block_moves(rows, placed).select("page", "ord", F.array_join("moves", ",").alias("moves"))
+
+
+def block_list_scan(spark, d):
+    """Blocks written as a JSON list for each page and read again."""
+    one = F.struct(F.col("label").alias("block_label"), F.col("text").alias("block_content"), F.array(*[F.col(f"bbox.{k}").cast("int") for k in ("x0", "y0", "x1", "y1")]).alias("block_bbox"))
+    lists = blocks(spark, d).groupBy("page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("b")))), lambda r: r["b"])).alias("json"))
+    folder = shared.folder(spark, "lists")
+    I.saved(lists.select(F.concat(F.lit("p"), F.col("page"), F.lit(".json")).alias("name"), F.encode("json", "UTF-8").alias("bytes")), folder)
+    return layer.block_lists(spark, folder).join(table(spark, d, "documents").select(F.col("doc_id").alias("page")), "page", "left_semi").select("page", "ord", "label", F.md5("text").alias("text_md5"), F.col("bbox.y1").alias("y1"))
+
+
+def cached_words(spark, d):
+    """Words of documents from the store of results: those of every second one are computed by a call before."""
+    count = lambda rows: rows.select("key", T.n_words(F.col("text")).alias("words"))
+    docs, folder = table(spark, d, "documents").select("doc_id", "text"), shared.folder(spark, "words")
+    cache.through(docs.where("doc_id % 2 = 0"), F.col("text"), folder, "v1", count).count()
+    return cache.through(docs, F.col("text"), folder, "v1", count).select("doc_id", "words")
+
+
 def figure_blocks(spark, d):
     return K.figures(blocks(spark, d)).select("page", "ord", "label")
 
@@ -144,6 +195,15 @@ QUERIES = {
         r AS (SELECT page, ord, ord % 7 <> 6 AS book, regexp_replace(CASE WHEN ord % 4 = 0 THEN concat_ws(' ', text, after) WHEN ord % 4 = 2 THEN coalesce(text || ' zzzz' || substr(after, 9), text) ELSE text END, '\\s+', '', 'g') AS flat FROM n),
         l AS (SELECT a.page, a.ord, a.book, a.flat, coalesce(list(b.flat ORDER BY b.ord) FILTER (WHERE b.flat IS NOT NULL), []) AS later FROM r a LEFT JOIN r b ON a.book AND b.book AND a.page = b.page AND b.ord > a.ord AND length(b.flat) >= 12 GROUP BY ALL),
         c AS (SELECT page, ord, list_reduce([flat] || later, lambda acc, x: {_cascade_sql()}) AS t FROM l) SELECT page, ord, CAST(length(t) AS INTEGER) AS n, md5(t) AS flat_md5 FROM c"""),
+    "token_previous": (token_previous, f"""WITH {TURNS_SQL}, w AS (SELECT page, idx, [lag(kind || ':' || value, 1) OVER w, lag(kind || ':' || value, 2) OVER w, lag(kind || ':' || value, 3) OVER w] AS l FROM toks WINDOW w AS (PARTITION BY page ORDER BY idx))
+        SELECT page, idx, array_to_string(list_filter(l, lambda x: x IS NOT NULL), '|') AS before FROM w"""),
+    "lateral_tokens": (lateral_tokens, TABLE_SQL["tokenize_golden"][1]),
+    "lateral_moves": (lateral_moves, f"SELECT page, idx, value, depth, ply FROM ({TABLE_SQL['variations_golden'][1]})"),
+    "block_move_ids": (block_move_ids, f"""WITH {BLOCKS_SQL}, o AS (SELECT page, ord, CAST(sum(length(text) + 1) OVER (PARTITION BY page ORDER BY ord) - length(text) - 1 AS BIGINT) AS a, length(text) AS n FROM blocks),
+        s AS (SELECT doc_id AS page, unnest(range(0, length(text) + 1, 37)) AS s FROM documents)
+        SELECT o.page, ord, coalesce(string_agg('p' || s.page || '_m' || (s // 37), ',' ORDER BY s), '') AS moves FROM o LEFT JOIN s ON s.page = o.page AND a <= s AND s + 5 <= a + n GROUP BY o.page, ord"""),
+    "block_list_scan": (block_list_scan, f"WITH {BLOCKS_SQL} SELECT page, ord, label, md5(text) AS text_md5, CAST(y1 AS INTEGER) AS y1 FROM blocks WHERE label IN ('text', 'paragraph_title')"),
+    "cached_words": (cached_words, "SELECT doc_id, CAST(CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text), '\\s+')) END AS INTEGER) AS words FROM documents"),
     "figure_blocks": (figure_blocks, f"WITH {BLOCKS_SQL} SELECT page, ord, label FROM blocks WHERE label IN ('image', 'chart', 'seal')"),
     "first_objects": (first_objects, """WITH r AS (SELECT l_linenumber AS page, l_orderkey * 10 + l_linenumber AS object FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey * 10 + l_linenumber) <= 20000)
         SELECT page, count(*) AS n, max(object) AS last FROM r GROUP BY page"""),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import boards as B
 from ..functions import geometry as G
 from ..operators import alignment as L
 from ..operators import reader as R
@@ -113,9 +114,10 @@ def figurine_picks(spark, d):
 
 
 def labelled_diagrams(spark, d):
-    rows = boards(spark, d).select("book", "id", F.when(F.col("id") % 4 == 0, "m1").alias("matches"), F.col("read").alias("fen"))
-    hand = boards(spark, d).where("id % 6 = 0").select("book", "id", F.col("cells").alias("fen"))
-    return R.labelled(rows, hand)
+    """Readings that match a game or have a label by hand, every second one printed with Black at the bottom."""
+    rows = boards(spark, d).select("book", "id", F.when(F.col("id") % 4 == 0, "m1").alias("matches"), B.placement(F.col("read")).alias("fen"), (F.col("id") % 8 < 4).alias("flipped"))
+    hand = boards(spark, d).where("id % 6 = 0").select("book", "id", F.concat(B.placement(F.col("cells")), F.lit(" w - - 0 1")).alias("fen"))
+    return R.labelled(rows, hand).select("book", "id", B.squares(F.col("fen")).alias("cells"))
 
 
 def median_by_parity(spark, d):
@@ -150,7 +152,7 @@ QUERIES = {
         SELECT page, ord, CAST(span AS INTEGER) AS span, CAST(min(a) AS INTEGER) AS s, CAST(max(b) AS INTEGER) AS e, 1.0::DOUBLE AS share, string_agg(rect, '|' ORDER BY row) AS rects FROM r GROUP BY page, ord, span"""),
     "damaged_rects": (damaged_rects, None),
     "figurine_picks": (figurine_picks, "SELECT doc_id, n_name[1:1] AS letter FROM documents JOIN nation ON doc_id % 50 = n_nationkey AND source = 'src' || (n_nationkey % 20)"),
-    "labelled_diagrams": (labelled_diagrams, f"WITH {BOARDS_SQL} SELECT book, id, CASE WHEN id % 6 = 0 THEN cells ELSE read END AS fen FROM boards WHERE id % 4 = 0 OR id % 6 = 0"),
+    "labelled_diagrams": (labelled_diagrams, f"WITH {BOARDS_SQL}, u AS (SELECT book, id, CASE WHEN id % 6 = 0 THEN cells ELSE read END AS c FROM boards WHERE id % 4 = 0 OR id % 6 = 0) SELECT book, id, CASE WHEN id % 8 < 4 THEN reverse(c) ELSE c END AS cells FROM u"),
     "median_by_parity": (median_by_parity, """WITH c AS (SELECT vec_id, unnest(range(64)) AS i, embedding AS e FROM embeddings), k AS (SELECT vec_id || '_' || ((i // 8 + i) % 2) AS key, CAST(e[i + 1] AS DOUBLE) AS x FROM c)
         SELECT key, count(*) AS n, median(x) AS median FROM k GROUP BY key"""),
 }

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DPI
 from ..functions import geometry as G
 from ..functions import text as T
 
+# Fixed value: the labels whose text is read for moves.
+READ_LABELS = ("text", "paragraph_title")
+
 _LINE, _WORD = r"(?s)<line[^>]*>(.*?)</line>", r"(?s)(<word[^>]*>.*?</word>)"
 
 
@@ -33,3 +36,18 @@ def blocks(pages: DataFrame, dpi: int = DPI) -> DataFrame:
     edges = [f(f"bbox.{k}") for f, k in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
     rows = words(pages, dpi).groupBy("page", "ord").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), G.box(*edges).alias("bbox"))
     return rows.select("page", "ord", F.lit("text").alias("label"), "text", "bbox")
+
+
+_LIST = "array<struct<block_label: string, block_content: string, block_bbox: array<int>>>"
+
+
+def block_lists(spark: SparkSession, folder: str, labels: tuple[str, ...] | None = READ_LABELS) -> DataFrame:
+    """(page, ord, label, text, bbox) of JSON files that hold the list of a page's blocks each, with the page's number in their name.
+
+    `ord` is a block's place in its list, also where other labels are left out.
+    """
+    files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"p(\d+)[^/]*\.json$", 1).cast("long").alias("page"), F.from_json("value", _LIST).alias("l"))
+    rows = files.select("page", F.posexplode("l").alias("ord", "b"))
+    kept = rows if labels is None else rows.where(F.col("b.block_label").isin(*labels))
+    corner = lambda i: F.get("b.block_bbox", F.lit(i))
+    return kept.select("page", "ord", F.col("b.block_label").alias("label"), F.col("b.block_content").alias("text"), G.box(*[corner(i) for i in range(4)]).alias("bbox"))

@@ -89,3 +89,19 @@ def test_what_is_stored_is_not_computed_again(spark, tmp_path):
     assert call(["a", "bb", "a", None, ""]) == 3 and call(["a", "bb", "a", None, ""]) == 0
     assert call(["bb", "ccc"]) == 1 and call(["bb", "ccc"], "v2") == 2 and call(["ccc"], "v1") == 0
     assert call([]) == 0
+
+
+def test_table_functions_equal_the_operators(spark):
+    from plyframe import sql
+    from plyframe.operators import tokens as N
+
+    sql.register(spark)
+    rows = [(1, "1. e4 e5 2. Nf3 (2. f4 exf4 3. Nf3) 2... Nc6 A good move; 3. Bb5 a6 [3... Nf6 4. 0-0] 4. Ba4 1-0"), (2, "a) 1. e4, b) 1. d4 (see c) x"), (3, ""), (4, None), (5, "prose only"), (6, ")) 3. Nf3 ( 3. e4 ) 3... e5")]
+    pages = spark.createDataFrame(rows, "page int, text string")
+    pages.createOrReplaceTempView("some_pages")
+    for lang in ("en", "fr"):
+        toks = N.tokens(pages.fillna("", ["text"]), lang)
+        got = spark.sql(f"SELECT page, t.* FROM some_pages, LATERAL book_tokens_{lang}(text) AS t").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, toks.select("page", "idx", "kind", "value", "start", "end").collect()))
+        got = spark.sql(f"SELECT page, t.idx, t.value, t.depth, t.ply, t.start FROM some_pages, LATERAL book_moves_{lang}(text) AS t").collect()
+        assert sorted(map(str, got)) == sorted(map(str, N.variations(toks).select("page", "idx", "value", "depth", "ply", "start").collect()))
