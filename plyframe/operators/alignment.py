@@ -62,11 +62,14 @@ def span_rects(blocks: DataFrame, streams: DataFrame) -> DataFrame:
     otherwise it has one rectangle [x, y, w, h] for each row.  Blocks without a stream have spans of share 0.
     """
     joined = blocks.join(streams, ["page", "ord"], "left").withColumn("to", _partners(F.regexp_replace("text", "\n", " "), F.coalesce("stream", F.lit(""))))
-    spans = joined.select("page", "ord", F.posexplode("spans").alias("span", "x"), "to", "chars").select("page", "ord", "span", "x.s", "x.e", "to", "chars")
+    def placed(x: Column) -> Column:
+        partners = F.filter(F.slice("to", x["s"] + 1, F.greatest(x["e"] - x["s"], F.lit(0))), lambda i: i >= 0)
+        boxes = F.filter(F.transform(partners, lambda i: F.get("chars", i)), lambda b: b.isNotNull())
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.coalesce(boxes, F.array().cast(_BOXES)).alias("hit"))
+
+    # the boxes of each span are picked before spans become rows, so that no row repeats those of the whole block
+    hits = joined.select("page", "ord", F.transform("spans", placed).alias("spans")).select("page", "ord", F.posexplode("spans").alias("span", "x")).select("page", "ord", "span", "x.*")
     size = F.col("e") - F.col("s")
-    partners = F.filter(F.slice("to", F.col("s") + 1, F.greatest(size, F.lit(0))), lambda i: i >= 0)
-    boxes: Column = F.filter(F.transform(partners, lambda i: F.get("chars", i)), lambda b: b.isNotNull())
-    hits = spans.withColumn("hit", F.coalesce(boxes, F.array().cast(_BOXES)))
     enough = (F.size("hit") >= ALIGNED_SHARE * size) & (F.size("hit") > 0)
     share = F.when(size > 0, F.size("hit") / size).otherwise(0.0)
     return hits.select("page", "ord", "span", "s", "e", share.alias("share"), F.when(enough, merged_rows(F.col("hit"))).alias("rects"))
