@@ -8,6 +8,9 @@ CAPTION_LABELS = ("figure_title", "vision_footnote")
 # Piece letters as printed (knight, bishop, rook, queen, king), by language of the book.
 PIECES = {"fr": "CFTDR", "en": "NBRQK"}
 
+# A move with its number, as footers print it.
+NUMBERED = r"\b\d{1,3}\s*\.{1,3}\s*(?:[RDTFC][a-h1-8x]|[a-h][1-8]|0-0|O-O)"
+
 # Pages and blocks.
 MIN_TEXT_WORDS = 60
 DPI = 200
@@ -26,7 +29,7 @@ SURE_RANKS, KING_GAIN = 2.0, 2.0
 CONFIDENCE_FINER, CONFIDENCE_SECOND, VIVID_LEAST = 0.95, 0.99, 0.002
 BOARD_SCORE, ASPECT = 2.5, (0.8, 1.25)
 MAX_WRONG_SQUARES = 12
-START_GOOD, PAGE_REACH, NEAREST_BOXES, STRAY_REACH = 5, 2, 120, 60
+PAGE_REACH, NEAREST_BOXES, STRAY_REACH = 2, 120, 60
 SQUARE_CLASSES = ".PNBRQKpnbrqk"
 
 # Reader.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..constants import NUMBERED
 from ..functions import text as T
 from ..operators import blocks as K
 from ..operators import series
@@ -110,11 +111,12 @@ def word_span_overlap(spark, d):
 
 
 def merge_rects(spark, d):
-    """Rows of text from the words of each page in order; a golden test covers the values."""
+    """Rectangles of the rows of text of each page, from its words in order; a test holds them against a plain loop."""
     word = F.struct("line", F.col("cx").alias("x0"), F.col("cy").alias("y0"), (F.col("cx") + 40).alias("x1"), (F.col("cy") + 20).alias("y1"))
     ordered = points(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(word)).alias("w"))
     only = F.transform("w", lambda b: F.struct(b["x0"].alias("x0"), b["y0"].alias("y0"), b["x1"].alias("x1"), b["y1"].alias("y1")))
-    return ordered.select("page", F.size(S.merged_rows(only)).alias("rows"))
+    rects = F.transform(S.merged_rows(only), lambda r: F.array_join(r.cast("array<string>"), " "))
+    return ordered.select("page", F.size(rects).alias("rows"), F.array_join(rects, "|").alias("rects"))
 
 
 def crop_grid(spark, d):
@@ -147,7 +149,7 @@ def upper_median(spark, d):
 
 QUERIES = {
     "page_range_select": (page_range_select, PAGE_RANGE),
-    "text_block_filter": (text_block_filter, f"""WITH {BLOCKS_SQL}, f AS (SELECT page, ord, CASE WHEN label = 'footer' AND regexp_matches(text, '\\b\\d{{1,3}}\\s*\\.{{1,3}}\\s*(?:[RDTFC][a-h1-8x]|[a-h][1-8]|0-0|O-O)') THEN 'text' ELSE label END AS label, text FROM blocks)
+    "text_block_filter": (text_block_filter, f"""WITH {BLOCKS_SQL}, f AS (SELECT page, ord, CASE WHEN label = 'footer' AND regexp_matches(text, '{NUMBERED}') THEN 'text' ELSE label END AS label, text FROM blocks)
         SELECT page, ord, label FROM f WHERE label IN ('text', 'paragraph_title', 'header', 'doc_title') AND regexp_matches(text, '\\S')"""),
     "page_text_join": (page_text_join, f"""WITH {BLOCKS_SQL}, j AS (SELECT page, string_agg(text, ' ' ORDER BY ord) AS t FROM blocks WHERE label IN ('text', 'paragraph_title', 'header', 'doc_title') AND regexp_matches(text, '\\S') GROUP BY page)
         SELECT page, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM j"""),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import NUMBERED
 from ..operators import blocks as K
 from .sources import BLOCKS_SQL, blocks
 
@@ -17,7 +18,7 @@ def book_report(spark, d):
 
 
 QUERIES = {
-    "book_report": (book_report, f"""WITH {BLOCKS_SQL}, f AS (SELECT page, ord, CASE WHEN label = 'footer' AND regexp_matches(text, '\\b\\d{{1,3}}\\s*\\.{{1,3}}\\s*(?:[RDTFC][a-h1-8x]|[a-h][1-8]|0-0|O-O)') THEN 'text' ELSE label END AS label, text FROM blocks),
+    "book_report": (book_report, f"""WITH {BLOCKS_SQL}, f AS (SELECT page, ord, CASE WHEN label = 'footer' AND regexp_matches(text, '{NUMBERED}') THEN 'text' ELSE label END AS label, text FROM blocks),
         t AS (SELECT page, ord, text, regexp_replace(text, '\\s+', '', 'g') AS flat FROM f WHERE label IN ('text', 'paragraph_title', 'header', 'doc_title') AND regexp_matches(text, '\\S')),
         c AS (SELECT DISTINCT a.page, a.ord FROM t a JOIN t b ON a.page = b.page AND b.ord > a.ord AND length(b.flat) >= 25 AND instr(substr(a.flat, 2), substr(b.flat, 1, 25)) > 0)
         SELECT t.page, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text)) + count(*) - 1 AS BIGINT) AS last, count(c.ord) AS cut FROM t LEFT JOIN c ON t.page = c.page AND t.ord = c.ord GROUP BY t.page"""),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import LANGUAGES
 from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import blocks as K
@@ -94,7 +95,7 @@ def plural_message(spark, d):
 def ui_language(spark, d):
     setting = F.when(F.col("n_nationkey") % 4 == 0, F.lower(F.substring("n_name", 1, 2))).when(F.col("n_nationkey") % 4 == 1, F.lit("es"))
     system = F.array(F.concat(F.lower(F.substring("n_name", 1, 2)), F.lit("_XX")), F.when(F.col("n_regionkey") > 2, F.lit("fr_CA")).otherwise(F.lit("zz")))
-    return table(spark, d, "nation").select("n_nationkey", T.language(setting, system, ("en", "fr", "es")).alias("lang"))
+    return table(spark, d, "nation").select("n_nationkey", T.language(setting, system, LANGUAGES).alias("lang"))
 
 
 def content_hashes(spark, d):
@@ -175,7 +176,7 @@ def message_keys(spark, d):
     rows = table(spark, d, "nation").select(F.col("n_name").alias("key"), "n_nationkey", langs.alias("lang"))
     rows = rows.where("not (n_nationkey % 5 = 0 and lang = 'fr')").withColumn("text", F.when((F.col("n_nationkey") % 7 == 0) & (F.col("lang") == "es"), "{n} of {m}").otherwise("{m} and {n}"))
     rows = rows.withColumn("text", F.when((F.col("n_nationkey") % 6 == 0) & (F.col("lang") == "en"), "{n}").otherwise(F.col("text")))
-    return R.broken_keys(rows, ("en", "fr", "es"))
+    return R.broken_keys(rows, LANGUAGES)
 
 
 def progress_latest(spark, d):

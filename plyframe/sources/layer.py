@@ -46,7 +46,7 @@ def block_lists(spark: SparkSession, folder: str, labels: tuple[str, ...] | None
 
     `ord` is a block's place in its list, also where other labels are left out.
     """
-    files = spark.read.option("wholetext", True).text(folder).select(F.regexp_extract(F.input_file_name(), r"p(\d+)[^/]*\.json$", 1).cast("long").alias("page"), F.from_json("value", _LIST).alias("l"))
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"p(\d+)[^/]*\.json$", 1).cast("long").alias("page"), F.from_json("value", _LIST).alias("l"))
     rows = files.select("page", F.posexplode("l").alias("ord", "b"))
     kept = rows if labels is None else rows.where(F.col("b.block_label").isin(*labels))
     corner = lambda i: F.get("b.block_bbox", F.lit(i))
