@@ -137,7 +137,10 @@ def variations(toks: DataFrame) -> DataFrame:
 
 
 def start_candidates(firsts: DataFrame, moves: DataFrame) -> DataFrame:
-    """(page, other, idx, away): main-line moves of other pages after which a page's first printed ply comes next, nearest page first."""
+    """(page, other, idx, away, rank): main-line moves of other pages after which a page's first printed ply comes next.
+
+    `rank` is their order: the nearest page first, of pages equally far the earlier one, and in a page the first move.
+    """
     main = moves.where("depth = 0").select(F.col("page").alias("other"), "idx", (F.col("ply") + 1).alias("ply"))
-    joined = firsts.join(main, "ply").where(F.col("other") != F.col("page"))
-    return joined.select("page", "other", "idx", F.abs(F.col("other") - F.col("page")).alias("away"))
+    joined = firsts.join(main, "ply").where(F.col("other") != F.col("page")).withColumn("away", F.abs(F.col("other") - F.col("page")))
+    return joined.select("page", "other", "idx", "away", F.row_number().over(Window.partitionBy("page").orderBy("away", "other", "idx")).alias("rank"))

@@ -220,7 +220,7 @@ QUERIES = {
         m AS (SELECT *, least(0, min(level) OVER (PARTITION BY page ORDER BY idx)) AS low FROM s), f AS (SELECT page, min(idx) AS idx FROM m WHERE low = -1 GROUP BY page),
         e AS (SELECT f.page, f.idx, max(m.idx) AS early FROM f JOIN m ON m.page = f.page AND m.idx < f.idx AND m.kind = 'close' AND m.level = 0 AND m.low = 0 GROUP BY ALL) SELECT page, idx, early FROM e WHERE idx - early <= 60"""),
     "start_candidates": (start_candidates, """WITH m AS (SELECT conv_id AS page, turn AS idx, turn * 13 + conv_id * 7 AS ply, role FROM conversations)
-        SELECT f.page, m.page AS other, m.idx, abs(m.page - f.page) AS away FROM m JOIN m f ON f.idx = 0 AND f.ply = m.ply + 1 AND m.role = 'user' AND f.page <> m.page"""),
+        SELECT f.page, m.page AS other, m.idx, abs(m.page - f.page) AS away, CAST(row_number() OVER (PARTITION BY f.page ORDER BY abs(m.page - f.page), m.page, m.idx) AS INTEGER) AS rank FROM m JOIN m f ON f.idx = 0 AND f.ply = m.ply + 1 AND m.role = 'user' AND f.page <> m.page"""),
     "page_band_join": (page_band_join, "SELECT page_id AS page, vec_id AS q, abs(vec_id - page_id) AS away, label FROM pages JOIN embeddings ON abs(vec_id - page_id) <= 2"),
     "to_san": (to_san, f"""WITH p AS (SELECT p_partkey AS i, {_move_sql('p_partkey', 'CFTDR')} AS fr, {_move_sql('p_partkey', 'NBRQK')} AS en FROM part)
         SELECT i AS p_partkey, CASE i % 10 WHEN 0 THEN 'O-O' WHEN 1 THEN 'O-O-O' WHEN 2 THEN 'e8=' || substr('NBRQ', CAST(1 + i % 4 AS INTEGER), 1) WHEN 3 THEN rtrim('ex' || right(en, 2), '!?') ELSE rtrim(en, '!?') END AS san,
