@@ -189,7 +189,11 @@ def featurise(docs: DataFrame, lexicon: Lexicon, keep: list[str], text_col: str)
 def score(
     docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, trees: int = 20, depth: int = 4, entries_kept: int = 2000, least: int = 4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> DataFrame:
-    """(id, held_out boolean, score double, predicted int) of every document."""
+    """(id, held_out boolean, score double, predicted int) of every document.
+
+    Where the rows to train on (by hash of the id) or those to calibrate on lack one of the labels, nothing can be fitted: every document
+    then gets the share of label 1 among the known rows as its score, 0 without any.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg((F.max(label_col) > 0).alias("toxic"))
     n = max(1, known.count())
     known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(n)) < train_rows).withColumn("part", F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(20)))
