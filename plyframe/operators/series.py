@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 from ..constants import TREND_LEAST, TREND_POINTS
 
 
-def trend(rows: DataFrame, key: str, position: Column, value: Column) -> DataFrame:
-    """(key, points, trend): 1 if values grow with the position, -1 if they shrink, null without a clear trend."""
+def trend(rows: DataFrame, key: str | list[str], position: Column, value: Column) -> DataFrame:
+    """(key, points, trend), the key one column or several: 1 if values grow with the position, -1 if they shrink, null without a clear trend."""
     p, v = position.cast("double"), value.cast("double")
     r = F.try_divide(F.covar_pop(p, v), F.stddev_pop(p) * F.stddev_pop(v))
-    out = rows.groupBy(key).agg(F.count(F.when(p.isNotNull() & v.isNotNull(), 1)).alias("points"), r.alias("r"))
+    keys = [key] if isinstance(key, str) else key
+    out = rows.groupBy(*keys).agg(F.count(F.when(p.isNotNull() & v.isNotNull(), 1)).alias("points"), r.alias("r"))
     clear = (F.col("points") >= TREND_POINTS) & (F.abs("r") >= TREND_LEAST)
-    return out.select(key, "points", F.when(clear, F.signum("r").cast("int")).alias("trend"))
+    return out.select(*keys, "points", F.when(clear, F.signum("r").cast("int")).alias("trend"))
 
 
-def agreed(votes: DataFrame, key: str, vote: str) -> DataFrame:
+def agreed(votes: DataFrame, key: str | list[str], vote: str) -> DataFrame:
     """(key, vote): the vote of each key, null unless all that are given agree."""
-    out = votes.groupBy(key).agg(F.min(vote).alias("low"), F.max(vote).alias("high"))
-    return out.select(key, F.when(F.col("low") == F.col("high"), F.col("low")).alias(vote))
+    keys = [key] if isinstance(key, str) else key
+    out = votes.groupBy(*keys).agg(F.min(vote).alias("low"), F.max(vote).alias("high"))
+    return out.select(*keys, F.when(F.col("low") == F.col("high"), F.col("low")).alias(vote))
 
 
 def largest_gap(rows: DataFrame, key: str, value: str) -> DataFrame:

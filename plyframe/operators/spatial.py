@@ -186,7 +186,7 @@ def coordinate_evidence(pieces: DataFrame, boxes: DataFrame, share: float = MARG
     left, right, top, bottom = F.col("b.x0") + share * width, F.col("b.x1") - share * width, F.col("b.y0") + share * height, F.col("b.y1") - share * height
     x0, y0, x1, y1 = (F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1"))
     strips = F.array(strip("rank", True, x0, y0, left, y1), strip("rank", False, right, y0, x1, y1), strip("file", True, x0, y0, x1, top), strip("file", False, x0, bottom, x1, y1))
-    margins = boxes.select("page", "box", F.col("bbox").alias("b")).withColumn("m", F.explode(strips)).select("page", "box", "b", "m.*")
+    margins = boxes.select("page", "box", F.col("bbox").alias("b")).withColumn("m", F.explode(strips)).select("page", "box", "b", "m.*")  # four for each box
     joined = _in_cell(signs).join(_celled(margins, 0), ["page", "_row", "_column", "axis"])
     at, low, high = (F.when(F.col("axis") == "rank", a).otherwise(b) for a, b in ((F.col("cx"), F.col("cy")), (left, top), (right, bottom)))
     kept = G.holds(F.col("b"), F.col("cx"), F.col("cy")) & F.when(F.col("first"), at < low).otherwise((at > high) & (at >= low))
@@ -199,12 +199,10 @@ def printed_orientation(pieces: DataFrame, boxes: DataFrame) -> DataFrame:
 
     With White below, ranks shrink downwards and files grow to the right.
     """
-    found = coordinate_evidence(pieces, boxes).withColumn("key", F.struct("page", "box", "axis"))
-    trends = series.trend(found, "key", F.col("position"), F.col("value")).select("key.*", "trend")
+    trends = series.trend(coordinate_evidence(pieces, boxes), ["page", "box", "axis"], F.col("position"), F.col("value"))
     vote = F.when(F.col("axis") == "rank", F.col("trend") == 1).otherwise(F.col("trend") == -1)
-    voted = trends.select(F.struct("page", "box").alias("key"), F.when(F.col("trend").isNotNull(), vote).alias("flipped"))
-    agreed = series.agreed(voted, "key", "flipped").select("key.*", "flipped")
-    return boxes.select("page", "box").join(agreed, ["page", "box"], "left")
+    voted = trends.select("page", "box", F.when(F.col("trend").isNotNull(), vote).alias("flipped"))
+    return boxes.select("page", "box").join(series.agreed(voted, ["page", "box"], "flipped"), ["page", "box"], "left")
 
 
 def orphan_moves(lines: DataFrame, boxes: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:
