@@ -1,8 +1,10 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 A text of any length is cut only where the split pattern must end a match whatever stands around it: between a
-printable ASCII character and a following blank.  No match of the pattern holds a blank after another character, and
-its look-ahead only looks to the right, so encoding the parts one by one gives the ids of the whole text.
+character that is no white space and a following blank or line feed, and between a letter or digit and a following
+full-width sign of punctuation, for scripts that are written without blanks.  No match of the pattern holds a blank after
+another character or a sign after a letter, and its look-ahead only looks to the right, so encoding the parts one by one
+gives the ids of the whole text.  What is left whole is a run of letters without any sign, which is one match anyway.
 Decoding concatenates raw token bytes and never goes through text, so ids that end inside a character are kept.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows are encoded
@@ -25,7 +27,8 @@ from .common import in_arrow, slices
 
 #: Characters after which a long text is cut at the next safe boundary.
 CHUNK = 1 << 18
-_SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
+# Letters that every version of Unicode has as such: ASCII and its digits, kana, the common ideographs, Hangul syllables.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n])|(?<=[0-9A-Za-z\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3])(?=[\u3001\u3002\uFF01\uFF08\uFF09\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F])")
 
 
 @lru_cache(maxsize=4)

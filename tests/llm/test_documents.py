@@ -225,11 +225,20 @@ def test_safe_boundaries_change_nothing():
     enc = bpe.encoding(queries.RANKS, queries.PATTERN)
     rnd = random.Random(3)
     for _ in range(60):
-        text = "".join(rnd.choice(["a", "Word", " ", "  ", "\n", "'s", "9", "é", "!", "\t", "\u00a0"]) for _ in range(300))
+        text = "".join(rnd.choice(["a", "Word", " ", "  ", "\n", "'s", "9", "é", "!", "\t", "\u00a0", "\u3000", "\x1c", "слово", "漢", "かな", "。", "，", "한글", "'", "\u0301", "🙂"]) for _ in range(300))
         assert bpe.encode_text(text, enc, chunk=7).tolist() == enc.encode_ordinary(text)
         assert "".join(bpe.parts(text, 7)) == text
 
 
+@pytest.mark.parametrize("sentence", ["Съешь ещё этих мягких булок, да выпей чаю. ", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία. ", "نص حكيم له سر قاطع وذو شأن عظيم. ", "我能吞下玻璃而不伤身体，真的没有关系。", "いろはにほへとちりぬるを。", "키스의고유조건은，입술끼리만나야하고。"])
+def test_texts_of_a_megabyte_are_cut_in_every_script(sentence):
+    enc = bpe.encoding(queries.RANKS, queries.PATTERN)
+    text = sentence * (1 + (1 << 20) // len(sentence.encode()))
+    own = list(bpe.parts(text, 1 << 16))
+    assert "".join(own) == text and len(own) > 3 and max(map(len, own)) < (1 << 16) + 100
+    assert bpe.encode_text(text, enc, 1 << 16).tolist() == enc.encode_ordinary(text)
+
+
 def test_local_ranks_are_the_public_ones():
     assert isinstance(bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), queries.PATTERN), tiktoken.Encoding)
 
