@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FULL_PAGE_SHARE, LINE_TOLERANCE, MARGIN_SHARE, MAX_IMAGE_PIXELS, MAX_IMAGES, NEAREST_BOXES, RECT_PAD, ROW_BUCKET, ROW_SHARE
 from ..functions import geometry as G
 from ..functions import text as T
-from ..functions.sweep import nearest_below
+from ..functions.sweep import nearest_below, points_in_strips
 from . import series
 
 #: Side in pixels of the cells of a page that turn a range join into an equality join.
 BAND = 256
 
+#: Pages whose evidence makes one batch.
+SWEPT_PAGES = 64
+
 # Points that a text object may lie beside its line, and what names of bold fonts hold.
 STYLE_TOLERANCE, BOLD_FONT = 1, r"(?i)bold|black|heavy"
 
@@ -171,27 +176,56 @@ def crop_grid(boxes: DataFrame, cells: int = 8, scales: tuple[float, ...] = (1.0
     return grid.withColumn("rank", rank).where(F.col("rank") <= nearest).select("id", "rank", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("ns").alias("side"))
 
 
+def _margin_signs(share: float):
+    """Task function: batches of pages (page, signs, boxes) to rows of evidence, some pages at a time."""
+
+    def run(batches):
+        for batch in (b.slice(at, SWEPT_PAGES) for b in batches for at in range(0, b.num_rows, SWEPT_PAGES)):
+            signs, boxes = batch.column("signs"), batch.column("boxes")
+            s, b = signs.flatten(), boxes.flatten()
+            cx, cy = (s.field(c).to_numpy(zero_copy_only=False) for c in ("cx", "cy"))
+            rank = s.field("rank").to_numpy(zero_copy_only=False).astype(bool)
+            x0, y0, x1, y1 = (b.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+            s_at, b_at = (np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]) for x in (signs, boxes))
+            pages, box, sign = [], [], []
+            for i in range(batch.num_rows):
+                held = slice(b_at[i], b_at[i + 1])
+                for kind, along, across, a0, a1, c0, c1 in ((True, cx, cy, x0, x1, y0, y1), (False, cy, cx, y0, y1, x0, x1)):
+                    own = s_at[i] + np.flatnonzero(rank[s_at[i] : s_at[i + 1]] == kind)
+                    a, b0, b1 = along[own], a0[held], a1[held]
+                    low, high = b0 + share * (b1 - b0), b1 - share * (b1 - b0)
+                    for near, far, is_first in ((b0, np.minimum(low, b1), True), (np.maximum(b0, high), b1, False)):
+                        k, j = points_in_strips(a, near, far)
+                        inside = a[j] < low[k] if is_first else (a[j] > high[k]) & (a[j] >= low[k])
+                        inside &= (across[own][j] >= c0[held][k]) & (across[own][j] <= c1[held][k])
+                        k, j = k[inside], own[j[inside]]
+                        pages.append(np.full(len(k), i))
+                        box.append(b_at[i] + k)
+                        sign.append(j)
+            page, box, sign = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (pages, box, sign))
+            axis, at = pc.if_else(pa.array(rank[sign]), "rank", "file"), np.where(rank[sign], cy[sign], cx[sign])
+            rows = [batch.column("page").take(pa.array(page)), b.field("box").take(pa.array(box)), axis, pa.array(at, pa.float64()), s.field("value").take(pa.array(sign))]
+            yield pa.RecordBatch.from_arrays(rows, ["page", "box", "axis", "position", "value"])
+
+    return run
+
+
 def coordinate_evidence(pieces: DataFrame, boxes: DataFrame, share: float = MARGIN_SHARE) -> DataFrame:
     """(page, box, axis, position, value): single characters in a diagram's margins that may be its printed coordinates.
 
     Of pieces (page, line, cx, cy, text), digits 1-8 near the left or right edge are ranks, by height; letters a-h near the top or
-    bottom edge are files, from left to right.  Signs meet only the margins of their kind, cell by cell of the page.
+    bottom edge are files, from left to right.  The signs and the boxes of a page are one row; each margin finds its signs in their order
+    across it, so a page costs n log n steps and those its narrow strips hold.  Places and boxes that are null, and pages without either, give no rows.
     """
     sign = F.lower(F.trim("text"))
     value = F.when(sign.rlike("^[1-8]$"), sign.cast("int")).when(sign.rlike("^[a-h]$"), F.ascii(sign) - F.lit(97))
-    axis = F.when(sign.rlike("^[1-8]$"), "rank").when(sign.rlike("^[a-h]$"), "file")
-    signs = pieces.select("page", "cx", "cy", axis.alias("axis"), value.cast("int").alias("value")).where(F.col("axis").isNotNull())
-    width, height = F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")
-    strip = lambda axis, first, x0, y0, x1, y1: F.struct(F.lit(axis).alias("axis"), F.lit(first).alias("first"), G.box(x0, y0, x1, y1).alias("bbox"))
-    left, right, top, bottom = F.col("b.x0") + share * width, F.col("b.x1") - share * width, F.col("b.y0") + share * height, F.col("b.y1") - share * height
-    x0, y0, x1, y1 = (F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1"))
-    strips = F.array(strip("rank", True, x0, y0, left, y1), strip("rank", False, right, y0, x1, y1), strip("file", True, x0, y0, x1, top), strip("file", False, x0, bottom, x1, y1))
-    margins = boxes.select("page", "box", F.col("bbox").alias("b")).withColumn("m", F.explode(strips)).select("page", "box", "b", "m.*")  # four for each box
-    joined = _in_cell(signs).join(_celled(margins, 0), ["page", "_row", "_column", "axis"])
-    at, low, high = (F.when(F.col("axis") == "rank", a).otherwise(b) for a, b in ((F.col("cx"), F.col("cy")), (left, top), (right, bottom)))
-    kept = G.holds(F.col("b"), F.col("cx"), F.col("cy")) & F.when(F.col("first"), at < low).otherwise((at > high) & (at >= low))
-    position = F.when(F.col("axis") == "rank", F.col("cy")).otherwise(F.col("cx")).cast("double")
-    return joined.where(kept).select("page", "box", "axis", position.alias("position"), "value")
+    place = F.struct(F.col("cx").cast("double").alias("cx"), F.col("cy").cast("double").alias("cy"), sign.rlike("^[1-8]$").alias("rank"), value.cast("int").alias("value"))
+    signs = pieces.where(sign.rlike("^[1-8a-h]$") & F.col("cx").isNotNull() & F.col("cy").isNotNull()).groupBy("page").agg(F.collect_list(place).alias("signs"))
+    edges = [F.col(f"bbox.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    whole = F.col("bbox.x0").isNotNull() & F.col("bbox.y0").isNotNull() & F.col("bbox.x1").isNotNull() & F.col("bbox.y1").isNotNull()
+    framed = boxes.where(whole).groupBy("page").agg(F.collect_list(F.struct("box", *edges)).alias("boxes"))
+    name = lambda c: boxes.schema[c].dataType.simpleString()
+    return signs.join(framed, "page").select("page", "signs", "boxes").mapInArrow(_margin_signs(share), f"page {signs.schema['page'].dataType.simpleString()}, box {name('box')}, axis string, position double, value int")
 
 
 def printed_orientation(pieces: DataFrame, boxes: DataFrame) -> DataFrame:

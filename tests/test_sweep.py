@@ -5,8 +5,11 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from plyframe.functions.sweep import nearest_below
+from plyframe.functions.sweep import nearest_below, points_in_strips
 from plyframe.operators import reader
 from plyframe.operators import spatial as S
 
@@ -77,3 +80,24 @@ def test_orphan_moves_of_the_query(spark, tables):
                 want.add((page, line, x, y))
                 held.append(tuple(map(round, (x - 30, y - 20, x + 30, y + 20))))
     assert sorted((r.page, r.line) for r in page_queries.orphan_moves(spark, tables).collect()) == sorted((p, n) for p, n, _, _ in want)
+
+
+@given(st.lists(st.integers(0, 9), max_size=20), st.lists(st.tuples(st.integers(-1, 10), st.integers(-1, 10)), max_size=8))
+def test_points_in_strips_equal_all_pairs(at, strips):
+    low, high = (np.array([s[i] for s in strips], float) for i in (0, 1))
+    got = sorted(zip(*(x.tolist() for x in points_in_strips(np.array(at, float), low, high)), strict=True))
+    assert got == [(i, j) for i, (a, b) in enumerate(strips) for j, p in enumerate(at) if a <= p <= b]
+
+
+def test_evidence_of_odd_pages(spark):
+    """Signs on edges, in two margins at once, without a place, on pages without a box; boxes without an edge or turned over."""
+    signs = [(1, 0, 0.0, 50.0, "1"), (1, 1, 15.0, 50.0, "2"), (1, 2, 85.0, 50.0, "3"), (1, 3, 86.0, 100.0, " 4"), (1, 4, 50.0, 14.0, "a"), (1, 5, 14.0, 14.0, "H"),
+             (1, 6, None, 10.0, "5"), (1, 7, 10.0, None, "6"), (1, 8, 10.0, 10.0, "ab"), (1, 9, 10.0, 10.0, None), (2, 1, 10.0, 10.0, "7"), (None, 1, 10.0, 10.0, "7")]
+    pieces = spark.createDataFrame(signs, "page int, line int, cx double, cy double, text string").withColumn("box", F.lit("x"))
+    edges = [(1, 7, 0.0, 0.0, 100.0, 100.0), (1, 8, 0.0, None, 100.0, 100.0), (1, 9, 100.0, 0.0, 0.0, 100.0), (3, 1, 0.0, 0.0, 9.0, 9.0), (None, 1, 0.0, 0.0, 100.0, 100.0)]
+    boxes = spark.createDataFrame(edges, "page int, box long, x0 double, y0 double, x1 double, y1 double")
+    boxes = boxes.select("page", "box", F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.lit(1).alias("signs"))
+    got = S.coordinate_evidence(pieces, boxes)
+    assert got.dtypes == [("page", "int"), ("box", "bigint"), ("axis", "string"), ("position", "double"), ("value", "int")]
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "file", 14.0, 7), (1, 7, "file", 50.0, 0), (1, 7, "rank", 50.0, 1), (1, 7, "rank", 100.0, 4)]
+    assert S.coordinate_evidence(pieces.limit(0), boxes).count() == 0
