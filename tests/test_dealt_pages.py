@@ -13,6 +13,7 @@ LINES = [(1, 40, 2997, 1), (501, 60, 2997, 1), (1001, 80, 2997, 1), (2, 50, 2997
 WANT = {
     "line_in_box_join": {(1, 11, 1), (1, 5011, 1), (1, 10011, 1)},
     "orphan_lines": {(2, 21)},
+    "next_block_below": {(1, 1, 1001), (1, 1001, 501), (1, 501, None), (2, 2, None)},
 }
 
 
