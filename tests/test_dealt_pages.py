@@ -14,6 +14,7 @@ WANT = {
     "line_in_box_join": {(1, 11, 1), (1, 5011, 1), (1, 10011, 1)},
     "orphan_lines": {(2, 21)},
     "next_block_below": {(1, 1, 1001), (1, 1001, 501), (1, 501, None), (2, 2, None)},
+    "layout_obstacles": {(1, 1, 200.0), (1, 1001, 1300.0), (1, 501, None), (2, 2, None)},
 }
 
 
