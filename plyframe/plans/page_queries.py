@@ -143,17 +143,17 @@ def cell_pairs(spark, d):
     return rows.select("conv_id", "turn", F.array_join(F.transform(pairs, lambda p: F.concat(p["left"], F.lit(":"), p["right"])), "|").alias("pairs"))
 
 
-def _pieces(spark, d, dealt=False):
+def _pieces(spark, d):
     sign = F.substring(F.lit("12345678abcdefghX"), (F.col("line") % 17 + 1).cast("int"), F.lit(1))
-    return points(spark, d, dealt).withColumn("text", F.when(F.col("line") % 5 == 0, F.concat(sign, sign)).otherwise(sign))
+    return points(spark, d, dealt=True).withColumn("text", F.when(F.col("line") % 5 == 0, F.concat(sign, sign)).otherwise(sign))
 
 
-def _diagrams(spark, d, dealt=False):
-    return boxes(spark, d, dealt).withColumn("bbox", G.box(F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x0") + 300.0, F.col("bbox.y0") + 900.0))
+def _diagrams(spark, d):
+    return boxes(spark, d, dealt=True).withColumn("bbox", G.box(F.col("bbox.x0"), F.col("bbox.y0"), F.col("bbox.x0") + 300.0, F.col("bbox.y0") + 900.0))
 
 
 def coordinate_evidence(spark, d):
-    return S.coordinate_evidence(_pieces(spark, d, dealt=True), _diagrams(spark, d, dealt=True))
+    return S.coordinate_evidence(_pieces(spark, d), _diagrams(spark, d))
 
 
 def printed_orientation(spark, d):
@@ -185,7 +185,7 @@ def overall_progress(spark, d):
     return progress.overall(rows, ("view", "click", "signup", "purchase"))
 
 
-_PIECES_SQL = """pieces AS (SELECT *, repeat(substr('12345678abcdefghX', CAST(line % 17 + 1 AS INTEGER), 1), CASE WHEN line % 5 = 0 THEN 2 ELSE 1 END) AS t FROM points),
+_PIECES_SQL = f"""{DEALT_SQL}, pieces AS (SELECT *, repeat(substr('12345678abcdefghX', CAST(line % 17 + 1 AS INTEGER), 1), CASE WHEN line % 5 = 0 THEN 2 ELSE 1 END) AS t FROM points),
     held AS (SELECT p.page, b.box, t, cx, cy, x0, y0, x0 + 300 AS x9, y0 + 900 AS y9 FROM pieces p JOIN boxes b ON p.page = b.page AND cx BETWEEN x0 AND x0 + 300 AND cy BETWEEN y0 AND y0 + 900),
     evidence AS (SELECT page, box, 'rank' AS axis, cy AS position, CAST(t AS INTEGER) AS value FROM held WHERE regexp_full_match(t, '[1-8]') AND (cx < x0 + 0.15::DOUBLE * 300 OR cx > x9 - 0.15::DOUBLE * 300)
         UNION ALL SELECT page, box, 'file', cx, CAST(ascii(t) - 97 AS INTEGER) FROM held WHERE regexp_full_match(t, '[a-h]') AND (cy < y0 + 0.15::DOUBLE * 900 OR cy > y9 - 0.15::DOUBLE * 900))"""
@@ -222,8 +222,8 @@ QUERIES = {
     "tiles_by_piece": (tiles_by_piece, "SELECT p_brand, p_size % 2 AS parity, CAST(count(*) AS INTEGER) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS keys FROM part GROUP BY ALL"),
     "cell_pairs": (cell_pairs, """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS w, role FROM conversations)
         SELECT conv_id, turn, array_to_string(list_transform(range(least(len(w), length(role))), lambda i: w[i + 1] || ':' || substr(role, i + 1, 1)), '|') AS pairs FROM w"""),
-    "coordinate_evidence": (coordinate_evidence, f"WITH {DEALT_SQL}, {_PIECES_SQL} SELECT * FROM evidence"),
-    "printed_orientation": (printed_orientation, f"""WITH {PLACES_SQL}, {_PIECES_SQL}, c AS (SELECT page, box, axis, count(*) AS n, covar_pop(position, value) AS c, stddev_pop(position) * stddev_pop(value) AS s FROM evidence GROUP BY ALL),
+    "coordinate_evidence": (coordinate_evidence, f"WITH {_PIECES_SQL} SELECT * FROM evidence"),
+    "printed_orientation": (printed_orientation, f"""WITH {_PIECES_SQL}, c AS (SELECT page, box, axis, count(*) AS n, covar_pop(position, value) AS c, stddev_pop(position) * stddev_pop(value) AS s FROM evidence GROUP BY ALL),
         v AS (SELECT page, box, CASE WHEN n >= 3 AND s <> 0 AND abs(c / s) >= 0.6 THEN (c > 0) = (axis = 'rank') END AS vote FROM c), a AS (SELECT page, box, CASE WHEN min(vote) = max(vote) THEN min(vote) END AS flipped FROM v GROUP BY ALL)
         SELECT b.page, b.box, flipped FROM boxes b LEFT JOIN a ON b.page = a.page AND b.box = a.box"""),
     "orphan_moves": (orphan_moves, None),

@@ -16,6 +16,7 @@ WANT = {
     "next_block_below": {(1, 1, 1001), (1, 1001, 501), (1, 501, None), (2, 2, None)},
     "layout_obstacles": {(1, 1, 200.0), (1, 1001, 1300.0), (1, 501, None), (2, 2, None)},
     "coordinate_evidence": {(1, 1, "file", 40.0, 3), (1, 1, "file", 60.0, 5), (1, 1, "file", 80.0, 7)},
+    "printed_orientation": {(1, 1, False), (1, 501, None), (1, 1001, None), (2, 2, None)},
 }
 
 
