@@ -108,7 +108,9 @@ def row_id(prefix: str, page: Column, kind: str, number: Column) -> Column:
 
 
 def member_name(folder: str, page: Column, suffix: str) -> Column:
-    return F.concat(F.lit(f"{folder}/p"), F.lpad(page.cast("string"), 4, "0"), F.lit(suffix))
+    """The member of a page, its number in four digits or, from 10000 on, in as many as it has."""
+    number = page.cast("string")
+    return F.concat(F.lit(f"{folder}/p"), F.lpad(number, F.greatest(F.length(number), F.lit(4)), F.lit("0")), F.lit(suffix))
 
 
 def plural(n: Column, lang: Column, one: Column, other: Column) -> Column:

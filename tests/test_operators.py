@@ -348,3 +348,8 @@ def test_pages_are_processed_once(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(str(tmp_path / "in"))
     progress.process_new_pages(pages(), lambda df: df, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_members_of_many_pages(spark):
+    rows = spark.sql("SELECT explode(array(7, 9999, 10000, 10003, 1234567)) AS p").select(T.member_name("pages", F.col("p"), ".json"))
+    assert [r[0] for r in rows.collect()] == ["pages/p0007.json", "pages/p9999.json", "pages/p10000.json", "pages/p10003.json", "pages/p1234567.json"]
