@@ -59,6 +59,7 @@ def snapped(readings: DataFrame, known: DataFrame, limit: int = SNAP_LIMIT, marg
 def nearest_exemplar(glyphs: DataFrame, exemplars: DataFrame, cut: float, per_group: int = 1024) -> DataFrame:
     """(id, letter, distance): the nearest exemplar (letter, v) of each glyph (id, v); letter null beyond `cut`.
 
+    Distances are compared as they are and shown to six places; of equal ones the smallest letter is taken.
     Exemplars are usually a handful of pictures per letter: up to `per_group` are gathered into one row, counted and broadcast.
     More are gathered into groups of about that size, and each glyph meets every group by an equality join.
     """
@@ -67,10 +68,10 @@ def nearest_exemplar(glyphs: DataFrame, exemplars: DataFrame, cut: float, per_gr
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     each = glyphs.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")))
     joined = each.join(F.broadcast(row) if groups == 1 else row, "group")
-    best = F.array_min(F.transform("all", lambda e: F.struct(F.bround(gap(F.col("v"), e["v"]), 6).alias("d"), e["letter"].alias("letter"))))
+    best = F.array_min(F.transform("all", lambda e: F.struct(gap(F.col("v"), e["v"]).alias("d"), e["letter"].alias("letter"))))
     found = joined.select("id", best.alias("best"))
     found = found if groups == 1 else found.groupBy("id").agg(F.min("best").alias("best"))
-    return found.select("id", F.when(F.col("best.d") <= cut, F.col("best.letter")).alias("letter"), F.col("best.d").alias("distance"))
+    return found.select("id", F.when(F.col("best.d") <= cut, F.col("best.letter")).alias("letter"), F.bround("best.d", 6).alias("distance"))
 
 
 def full_positions(diagrams: DataFrame, moves: DataFrame) -> DataFrame:

@@ -353,3 +353,11 @@ def test_pages_are_processed_once(spark, tmp_path):
 def test_members_of_many_pages(spark):
     rows = spark.sql("SELECT explode(array(7, 9999, 10000, 10003, 1234567)) AS p").select(T.member_name("pages", F.col("p"), ".json"))
     assert [r[0] for r in rows.collect()] == ["pages/p0007.json", "pages/p9999.json", "pages/p10000.json", "pages/p10003.json", "pages/p1234567.json"]
+
+
+def test_the_nearest_exemplar_before_rounding(spark):
+    exemplars = spark.createDataFrame([("a", [1.0000002]), ("b", [1.0000001])], "letter string, v array<double>")
+    glyphs = spark.createDataFrame([(1, [0.0]), (2, [-0.2999999])], "id int, v array<double>")
+    for per_group in (1, 1024):
+        found = {r["id"]: (r["letter"], r["distance"]) for r in P.nearest_exemplar(glyphs, exemplars, 1.29999995, per_group).collect()}
+        assert found == {1: ("b", 1.0), 2: (None, 1.3)}
