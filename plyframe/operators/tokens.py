@@ -118,22 +118,21 @@ def variations(toks: DataFrame) -> DataFrame:
     """(page, idx, value, depth, ply, parent, start): the moves as a tree.
 
     The ply follows from the last printed number before the move at its own depth; the parent is the move before it on
-    its own line, or the move that its bracket varies.
+    its own line, or the move that its bracket varies.  All are windows over a page: its tokens are made and dealt once, and nothing is joined.
     """
-    deep = with_depth(toks)
-    back = Window.partitionBy("page", "depth").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = deep.withColumn("line", F.when(F.col("depth") > 0, F.last(F.when(F.col("kind") == "open", F.col("idx")), True).over(back)).otherwise(F.lit(-1)))
-    number = F.when(F.col("kind") == "num", F.struct("idx", T.ply_of(F.col("value")).alias("ply")))
-    on_line = Window.partitionBy("page", "depth", "line").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = opened.withColumn("number", F.last(number, True).over(on_line)).withColumn("nth", F.sum((F.col("kind") == "move").cast("int")).over(on_line))
-    first = F.min(F.when(F.col("kind") == "move", F.col("nth"))).over(Window.partitionBy("page", "depth", "line", "number"))
-    moves = marked.withColumn("ply", (F.col("number.ply") + F.col("nth") - first).cast("int")).where("kind = 'move'")
-    same = F.lag("idx").over(Window.partitionBy("page", "depth", "line").orderBy("idx"))
-    outer = moves.select("page", (F.col("depth") + 1).alias("depth"), F.col("idx").alias("at"), F.lit(None).cast("int").alias("idx")).unionByName(moves.select("page", "depth", F.col("line").alias("at"), "idx"))
-    above = Window.partitionBy("page", "depth").orderBy("at", F.col("idx").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    varied = outer.withColumn("varied", F.last(F.when(F.col("idx").isNull(), F.col("at")), True).over(above)).where(F.col("idx").isNotNull()).select("page", "idx", "varied")
-    out = moves.withColumn("same", same).join(varied, ["page", "idx"], "left")
-    return out.select("page", "idx", "value", "depth", "ply", F.coalesce("same", "varied").alias("parent"), "start")
+    move = F.when(F.col("kind") == "move", F.col("idx"))
+    upto = lambda *keys: Window.partitionBy("page", *keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # an opening bracket stands among the tokens around it, so the last move there is the one that it varies
+    deep = with_depth(toks).withColumn("around", F.when(F.col("kind") == "open", F.col("depth") - 1).otherwise(F.col("depth")))
+    seen = deep.withColumn("varied", F.last(move, True).over(upto("around")))
+    bracket = F.last(F.when(F.col("kind") == "open", F.struct("idx", "varied")), True).over(upto("depth"))
+    opened = seen.withColumn("bracket", F.when(F.col("depth") > 0, bracket)).withColumn("line", F.coalesce("bracket.idx", F.lit(-1)))
+    on_line = upto("depth", "line")
+    counted = opened.withColumns({"nth": F.sum((F.col("kind") == "move").cast("int")).over(on_line), "same": F.last(move, True).over(on_line.rowsBetween(Window.unboundedPreceding, -1))})
+    number = F.when(F.col("kind") == "num", F.struct(T.ply_of(F.col("value")).alias("ply"), "nth"))
+    moves = counted.withColumn("number", F.last(number, True).over(on_line)).where("kind = 'move'")
+    ply = (F.col("number.ply") + F.col("nth") - F.col("number.nth") - 1).cast("int")
+    return moves.select("page", "idx", "value", "depth", ply.alias("ply"), F.coalesce("same", "bracket.varied").alias("parent"), "start")
 
 
 def start_candidates(firsts: DataFrame, moves: DataFrame) -> DataFrame:

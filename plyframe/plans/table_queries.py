@@ -27,7 +27,8 @@ def document_tokens(spark, d):
 
 def variations_golden(spark, d):
     """Depth, ply and parent of the moves of printed lines with a variation."""
-    return N.variations(N.tokens(games(spark, d), "en")).select("page", "idx", "value", "depth", "ply", "parent")
+    pages = games(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page")  # texts are dealt, not their tokens
+    return N.variations(N.tokens(pages, "en")).select("page", "idx", "value", "depth", "ply", "parent")
 
 
 def _turn_tokens(spark, d):
