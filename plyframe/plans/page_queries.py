@@ -74,7 +74,8 @@ def block_list_scan(spark, d):
     lists = blocks(spark, d).groupBy("page").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ord", one.alias("b")))), lambda r: r["b"])).alias("json"))
     folder = shared.folder(spark, "lists")
     I.saved(lists.select(F.concat(F.lit("p"), F.col("page"), F.lit(".json")).alias("name"), F.encode("json", "UTF-8").alias("bytes")), folder)
-    return layer.block_lists(spark, folder).join(table(spark, d, "documents").select(F.col("doc_id").alias("page")), "page", "left_semi").select("page", "ord", "label", F.md5("text").alias("text_md5"), F.col("bbox.y1").alias("y1"))
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("page")).distinct()
+    return layer.block_lists(spark, folder, pages=pages).select("page", "ord", "label", F.md5("text").alias("text_md5"), F.col("bbox.y1").alias("y1"))
 
 
 def cached_words(spark, d):

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DPI
 from ..functions import geometry as G
 from ..functions import text as T
+from .bookzip import store
 
 # Fixed value: the labels whose text is read for moves.
 READ_LABELS = ("text", "paragraph_title")
 
+#: Characters of files after which what a task has read goes on.
+READ_CHARS = 4 << 20
+
 _LINE, _WORD = r"(?s)<line[^>]*>(.*?)</line>", r"(?s)(<word[^>]*>.*?</word>)"
 
 
@@ -41,12 +46,37 @@ def blocks(pages: DataFrame, dpi: int = DPI) -> DataFrame:
 _LIST = "array<struct<block_label: string, block_content: string, block_bbox: array<int>>>"
 
 
-def block_lists(spark: SparkSession, folder: str, labels: tuple[str, ...] | None = READ_LABELS) -> DataFrame:
+def _contents(pages: DataFrame, folder: str) -> DataFrame:
+    """(page, value): the files of pages (page) by their names, read in tasks; pages without a file have no row."""
+
+    def run(frames):
+        where, base = store(folder)
+        for frame in frames:
+            found, held = [], 0
+            for page in frame["page"]:
+                try:
+                    with where.open_input_stream(f"{base}/p{page}.json") as file:
+                        found.append((page, file.read().decode()))
+                except FileNotFoundError:
+                    continue
+                held += len(found[-1][1])
+                if held >= READ_CHARS:
+                    yield pd.DataFrame(found, columns=["page", "value"])
+                    found, held = [], 0
+            yield pd.DataFrame(found, columns=["page", "value"])
+
+    return pages.where(F.col("page").isNotNull()).select(F.col("page").cast("long")).mapInPandas(run, "page long, value string")
+
+
+def block_lists(spark: SparkSession, folder: str, labels: tuple[str, ...] | None = READ_LABELS, pages: DataFrame | None = None) -> DataFrame:
     """(page, ord, label, text, bbox) of JSON files that hold the list of a page's blocks each, with the page's number in their name.
 
-    `ord` is a block's place in its list, also where other labels are left out.
+    `ord` is a block's place in its list, also where other labels are left out.  Where `pages` (page) are given, their files p<page>.json are
+    read by name, and the driver lists no files.
     """
-    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"p(\d+)[^/]*\.json$", 1).cast("long").alias("page"), F.from_json("value", _LIST).alias("l"))
+    page = F.regexp_extract(F.input_file_name(), r"p(\d+)[^/]*\.json$", 1).cast("long").alias("page")
+    texts = spark.read.text(folder, wholetext=True).select(page, "value") if pages is None else _contents(pages, folder)
+    files = texts.select("page", F.from_json("value", _LIST).alias("l"))
     rows = files.select("page", F.posexplode("l").alias("ord", "b"))
     kept = rows if labels is None else rows.where(F.col("b.block_label").isin(*labels))
     corner = lambda i: F.get("b.block_bbox", F.lit(i))
